@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folio.llm import line_cleaning
+from folio.llm import line_cleaning, simhash_dedup
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (line_cleaning,):
+for _module in (line_cleaning, simhash_dedup):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
