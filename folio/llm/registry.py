@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folio.llm import html_extract, license_scan, line_cleaning, mixing, packing, simhash_dedup, suffix_dedup, url_filter
+from folio.llm import html_extract, license_scan, line_cleaning, mixing, packing, simhash_dedup, substring_dedup, suffix_dedup, url_filter
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (html_extract, license_scan, line_cleaning, mixing, packing, simhash_dedup, suffix_dedup, url_filter):
+for _module in (html_extract, license_scan, line_cleaning, mixing, packing, simhash_dedup, substring_dedup, suffix_dedup, url_filter):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
