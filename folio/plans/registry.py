@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from folio.operators import predicates, typography
+
 QUERIES: dict = {}
 SQL: dict = {}
+for _module in (predicates, typography):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
