@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folio.operators import predicates, typography
+from folio.operators import geometry, predicates, sequence, sessions, similarity, typography
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (predicates, typography):
+for _module in (geometry, predicates, sequence, sessions, similarity, typography):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
