@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import text as X
+from folio.operators.typography import by_page
 from folio.sources.tables import LINES_SQL, lines, table
 
 
@@ -76,9 +77,7 @@ def f9_line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f13_continues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which lines run on from the one before."""
-    from folio.operators.typography import BY_PAGE
-
-    rows = lines(spark, sf_dir).withColumn("previous", F.lag("text").over(BY_PAGE)).where("previous IS NOT NULL")
+    rows = lines(spark, sf_dir).withColumn("previous", F.lag("text").over(by_page())).where("previous IS NOT NULL")
     return _key(rows, continued=X.continues(F.col("previous"), F.col("text")))
 
 

@@ -4,24 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from folio.sources.tables import LINES_SQL, lines
 
-BY_PAGE = Window.partitionBy("book", "page_no").orderBy("line_no")
 MIN_LINES = 20
 
 
+def by_page() -> WindowSpec:
+    return Window.partitionBy("book", "page_no").orderBy("line_no")
+
+
 def with_gaps(rows: DataFrame) -> DataFrame:
     """Lines with the distance from the line before and to the one after on their page; 0 at its ends."""
-    before = F.lag("mid_mil").over(BY_PAGE) - F.col("mid_mil")
-    after = F.col("mid_mil") - F.lead("mid_mil").over(BY_PAGE)
+    before = F.lag("mid_mil").over(by_page()) - F.col("mid_mil")
+    after = F.col("mid_mil") - F.lead("mid_mil").over(by_page())
     return rows.withColumn("gap_before", F.coalesce(before, F.lit(0))).withColumn("gap_after", F.coalesce(after, F.lit(0)))
 
 
 def typography(rows: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """Per book: upper medians (of two middle values the larger) of line height, character width (of lines with 8 characters or more) and positive gap."""
     kept = rows.where("text <> '' AND conf_pct >= 30")
-    gap = F.col("mid_mil") - F.lead("mid_mil").over(BY_PAGE)
+    gap = F.col("mid_mil") - F.lead("mid_mil").over(by_page())
     kept = kept.withColumn("gap", gap).withColumn("height", F.col("cw_mil") * 2)
     median = lambda c, cond: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c} DESC) FILTER (WHERE {cond})")
     found = kept.groupBy("book").agg(

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folio.operators import geometry, predicates, sequence, sessions, similarity, typography
+from folio.operators import geometry, hyphenation, predicates, sequence, sessions, similarity, structure, typography
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (geometry, predicates, sequence, sessions, similarity, typography):
+for _module in (geometry, hyphenation, predicates, sequence, sessions, similarity, structure, typography):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
