@@ -87,12 +87,11 @@ def _windows(shingles: Column, known: Column, lengths: Column) -> Column:
 
 def _bands(shingles: Column) -> Column:
     """One struct (band, value) for each MinHash value of a shingle array."""
-    return F.array(
-        *[
-            F.struct(F.lit(k).alias("band"), F.array_min(F.transform(shingles, lambda s, k=k: F.xxhash64(s, F.lit(k)))).alias("value"))
-            for k in range(BANDS)
-        ]
-    )
+
+    def value(band: int) -> Column:
+        return F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, F.lit(band))))
+
+    return F.array(*[F.struct(F.lit(k).alias("band"), value(k).alias("value")) for k in range(BANDS)])
 
 
 def _library(spark: SparkSession, templates: tuple) -> DataFrame:
