@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folio.llm.anchors import in_chunks, keyed, merged, shared_contexts, with_spans, word_items
-from folio.llm.common import keep, map_rows, table
+from folio.llm.common import WORD_PATTERN, keep, map_rows, table
 
 WINDOW = 50
 GRAM = 16
@@ -207,5 +207,18 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD_PATTERN}') AS ws FROM documents),
+x AS (SELECT r, doc_id, len(ws) AS n, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d),
+g AS (SELECT r, doc_id, i, n, word, CASE WHEN i + {WINDOW - 1} <= n THEN
+        string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) END AS gram FROM x),
+f AS (SELECT gram, min(doc_id) AS first FROM g WHERE gram IS NOT NULL GROUP BY gram),
+m AS (SELECT r, i, word, coalesce(first < doc_id, false) AS hit FROM g LEFT JOIN f USING (gram)),
+c AS (SELECT r, i, word, bool_or(hit) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM m),
+k AS (SELECT r, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM c GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
 QUERIES = {"op3_substring_dedup": op3_substring_dedup}
-SQL: dict[str, str] = {}
+SQL = {"op3_substring_dedup": ORACLE}

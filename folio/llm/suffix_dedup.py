@@ -284,5 +284,23 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, c * 500 AS base, substring(h, 1000 * c + 1, {1000 + 2 * WINDOW - 2}) AS h
+      FROM (SELECT r, h, unnest(range(0, (len(h) + 999) // 1000)) AS c FROM d)),
+x AS (SELECT r, base, h, unnest(range(0, least(500, len(h) // 2))) AS j FROM p),
+g AS (SELECT r, base + j AS i, substring(h, 2 * j + 1, 2) AS byte,
+             CASE WHEN 2 * j + {2 * WINDOW} <= len(h) THEN md5(substring(h, 2 * j + 1, {2 * WINDOW})) END AS gram FROM x),
+f AS (SELECT gram FROM g WHERE gram IS NOT NULL GROUP BY gram HAVING count(*) > 1),
+m AS (SELECT r, i, byte, f.gram IS NOT NULL AS hit FROM g LEFT JOIN f USING (gram)),
+c AS (SELECT r, i, byte, bool_or(hit) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM m),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS opens FROM c),
+k AS (SELECT r, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+             coalesce(string_agg(byte, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM e GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
 QUERIES = {"op4_suffix_dedup": op4_suffix_dedup}
-SQL: dict[str, str] = {}
+SQL = {"op4_suffix_dedup": ORACLE}
