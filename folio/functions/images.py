@@ -96,3 +96,55 @@ def gutter_fraction(image: np.ndarray, low: float, high: float, depth: float) ->
         return None
     at = lower + int(np.argmin(smooth[lower : upper + 1]))
     return at / w if np.sort(smooth)[w // 2] - smooth[at] >= depth else None
+
+
+def text_free_gap(lines: list[tuple[float, float, float]]) -> tuple[float, float] | None:
+    """The widest run of columns without text, between text and with its centre in the middle third, from (x, w, confidence)."""
+    usable = [(x, x + w) for x, w, c in lines if c >= 0.5 and w >= 0.05]
+    if len(usable) < 4:
+        return None
+    taken = np.zeros(1002, bool)
+    for lo, hi in usable:
+        taken[1 + max(0, int(lo * 1000)) : 2 + min(999, int(hi * 1000))] = True
+    edges = np.flatnonzero(np.diff(taken[1:-1].astype(np.int8)))
+    free = [(a + 1, b) for a, b in zip(edges, edges[1:], strict=False) if not taken[a + 2]]
+    free = [(a, b) for a, b in free if b - a >= 9 and 0.35 <= (a + b + 1) / 2000 <= 0.65]
+    best = max(free, key=lambda r: (r[1] - r[0], -r[0]), default=None)
+    return (best[0] / 1000, (best[1] + 1) / 1000) if best else None
+
+
+def cut_fraction(image: np.ndarray, mode: str, lines: list[tuple[float, float, float]] = ()) -> float | None:
+    """Where a double page is cut, as a share of its width; None if it is one page or the cut would harm text."""
+    if mode == "none" or image.shape[1] / max(image.shape[0], 1) < 1.15:
+        return None
+    if mode == "middle":
+        return 0.5
+    gap = text_free_gap(list(lines))
+    if gap:
+        found = gutter_fraction(image, *gap, 10)
+        cut = sum(gap) / 2 if found is None else found
+    else:
+        found = gutter_fraction(image, 0.35, 0.65, 20)
+        cut = 0.5 if found is None else found
+    if any(c >= 0.3 and w > 0 and cut - x >= 0.15 * w and x + w - cut >= 0.15 * w for x, w, c in lines):
+        return None
+    usable = [(x, x + w) for x, w, c in lines if c >= 0.5 and w >= 0.05]
+    if usable and not (any(r < cut - 0.02 for _, r in usable) and any(x > cut + 0.02 for x, _ in usable)):
+        return None
+    return cut
+
+
+def split(image: np.ndarray, mode: str, lines: list[tuple[float, float, float]] = ()) -> list[np.ndarray]:
+    """The image as one or two pages, left before right."""
+    cut = cut_fraction(image, mode, lines)
+    if cut is None:
+        return [image]
+    at = round(image.shape[1] * cut)
+    return [image[:, :at], image[:, at:]]
+
+
+def prepare(image: np.ndarray, mode: str, turns: int, lines: list[tuple[float, float, float]] = (), auto_rotate: bool = True) -> list[np.ndarray]:
+    """Upright pages of a capture; lines, in upright boxes, count only if the image stands as they do."""
+    if auto_rotate:
+        return split(rotate(image, turns), mode, lines)
+    return split(image, mode, lines if turns % 4 == 0 else ())

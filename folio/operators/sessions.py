@@ -49,6 +49,44 @@ def restore_last(order: Column, trashed: Column, target: Column) -> tuple[Column
     return back, F.slice(trashed, 1, F.greatest(F.size(trashed) - 1, F.lit(0)))
 
 
+def replace_page(order: Column, trashed: Column, page: Column, new: Column) -> tuple[Column, Column]:
+    """New pages in the place of one, which goes to the trash; also how a page is split or turned in place."""
+    return trash_pages(insert_after(order, page, new), trashed, F.array(page))
+
+
+def resolve_rescan(order: Column, trashed: Column, old: Column, new: Column, keep_new: Column) -> tuple[Column, Column]:
+    """After a second scan behind a page: the one that lost goes to the trash."""
+    return trash_pages(order, trashed, F.when(keep_new, F.array(old)).otherwise(new))
+
+
+def archived(sessions: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sessions with pages marked as archived, and of a listing (session, path, bytes) what then stays: no images, no trash."""
+    due = (~F.col("archived")) & (F.size("page_order") > 0)
+    sessions = sessions.withColumn("archived", F.col("archived") | due)
+    marked = sessions.where("archived").select("session")
+    gone = F.startswith("path", F.lit("Papierkorb/")) | (F.lower(F.substring_index("path", ".", -1)) == "heic")
+    return sessions, files.join(marked.withColumn("__a", F.lit(True)), "session", "left").where(~(gone & F.coalesce("__a", F.lit(False)))).drop("__a")
+
+
+def without_trash(files: DataFrame) -> DataFrame:
+    return files.where(~F.startswith("path", F.lit("Papierkorb/")))
+
+
+def directory_for(stamp: Column, title: Column) -> Column:
+    """A session's directory: the time stamp first, then the safe title."""
+    safe = X.file_system_safe(F.coalesce(title, F.lit("")))
+    return F.when(F.length(safe) > 0, F.concat(stamp, F.lit(" "), safe)).otherwise(stamp)
+
+
+def issue_text(kind: Column, first: Column, last: Column) -> Column:
+    """An issue of the page sequence in words."""
+    span = F.when(first == last, F.concat(F.lit("page "), first.cast("string"))).otherwise(F.concat(F.lit("pages "), first.cast("string"), F.lit("–"), last.cast("string")))
+    return (
+        F.when(kind == "missing", F.concat(span, F.lit(" missing"))).when(kind == "duplicate", F.concat(F.lit("duplicate of scan "), first.cast("string")))
+        .when(kind == "outOfOrder", F.concat(F.lit("out of order after page "), first.cast("string")))
+    )
+
+
 def ordered_pages(sessions: DataFrame, pages: DataFrame) -> DataFrame:
     """(session, position from 1, page ..): pages in the session's order; unknown ids are skipped."""
     places = sessions.select("session", F.posexplode("page_order").alias("at", "page"))

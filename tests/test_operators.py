@@ -146,3 +146,18 @@ def test_image_kernels():
     bgra = np.dstack([np.full((8, 8), v, np.uint8) for v in (10, 20, 30, 255)])
     assert (I.gray(bgra, 4) == (10 * 29 + 20 * 150 + 30 * 77) // 256).all() and I.gray(bgra, 4).shape == (4, 4)
     assert I.rotate(page, 1).shape == (160, 100) and I.downscale(page, 80).shape == (50, 80) and I.crop(page, 10, 10, 5, 6).shape == (6, 5)
+
+
+def test_cuts_of_double_pages():
+    page = np.full((100, 160), 220, np.uint8)
+    page[:, 70:74] = 60
+    columns = [(0.05, 0.35, 0.9)] * 3 + [(0.55, 0.4, 0.9)] * 3
+    assert I.cut_fraction(page, "none") is None and I.cut_fraction(page[:, :100], "automatic") is None
+    assert I.cut_fraction(page, "middle") == 0.5
+    assert abs(I.cut_fraction(page, "automatic") - 0.45) < 0.02
+    assert abs(I.cut_fraction(page, "automatic", columns) - 0.45) < 0.02
+    assert abs(I.cut_fraction(page * 0 + 9, "automatic", columns) - 0.475) < 0.01
+    assert I.cut_fraction(page, "automatic", [*columns, (0.2, 0.6, 0.9)]) is None
+    assert I.cut_fraction(page, "automatic", columns[:3]) is None
+    assert [x.shape[1] for x in I.split(page, "middle")] == [80, 80]
+    assert len(I.prepare(page.T, "automatic", 1, columns)) == 2 and len(I.prepare(page.T, "automatic", 1, columns, False)) == 1

@@ -56,3 +56,19 @@ def test_order_edits(spark):
     assert one(order) == ["b"] and one(trash) == ["t", "c", "a"]
     back, left = M.restore_last(arr("b"), arr("t", "c"), F.lit("b"))
     assert one(back) == ["c", "b"] and one(left) == ["t"]
+
+
+def test_replacing_rescans_and_archives(spark):
+    one = lambda *c: spark.range(1).select(*c).first()[:]
+    arr = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    assert one(*M.replace_page(arr("a", "b"), arr(), F.lit("a"), arr("x", "y"))) == (["x", "y", "b"], ["a"])
+    assert one(*M.resolve_rescan(arr("a", "n"), arr(), F.lit("a"), arr("n"), F.lit(True))) == (["n"], ["a"])
+    assert one(*M.resolve_rescan(arr("a", "n"), arr(), F.lit("a"), arr("n"), F.lit(False))) == (["a"], ["n"])
+    assert one(M.directory_for(F.lit("2026"), F.lit(" a/b ")), M.directory_for(F.lit("2026"), F.lit(None).cast("string"))) == ("2026 a b", "2026")
+    assert one(M.issue_text(F.lit("missing"), F.lit(3), F.lit(3)), M.issue_text(F.lit("missing"), F.lit(3), F.lit(4))) == ("page 3 missing", "pages 3–4 missing")
+    sessions = spark.createDataFrame([("s", False, ["a"]), ("t", False, [])], "session string, archived boolean, page_order array<string>")
+    files = spark.createDataFrame([("s", "a.heic", 1), ("s", "Papierkorb/b.heic", 1), ("s", "OCR/a.json", 1), ("t", "c.heic", 1)], "session string, path string, bytes long")
+    marked, left = M.archived(sessions, files)
+    assert sorted((r.session, r.archived) for r in marked.collect()) == [("s", True), ("t", False)]
+    assert sorted(r.path for r in left.collect()) == ["OCR/a.json", "c.heic"]
+    assert M.without_trash(files).count() == 3
