@@ -59,15 +59,16 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, fp) for every document."""
+    """Rows (doc_id, row, fp) for every document; row is a hash of the text, which tells rows of one doc_id apart."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            yield {"doc_id": b["doc_id"], "fp": [fingerprint(t) for t in b["text"]]}
+            yield {"doc_id": b["doc_id"], "row": b["row"], "fp": [fingerprint(t) for t in b["text"]]}
 
+    text = F.col("text").cast("string")
     return map_rows(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")),
-        run, "doc_id long, fp long", pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())]),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text")), run,
+        "doc_id long, row long, fp long", pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.int64())]),
     )
 
 
@@ -204,24 +205,29 @@ def _signed(codes: list[int]) -> list[int]:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row per document: doc_id, fp and component_id, the smallest doc_id linked to it directly or through others."""
+    """One row per document: doc_id, row, fp, component_id, the smallest doc_id linked to it directly or through others,
+    and root, a fingerprint that names the component."""
     marked = keep(fingerprints(docs), "fingerprints")
     codes = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "codes")
     roots = components(link_fingerprints(codes.select("fp"), radius))
     rooted = codes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = keep(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    classes = keep(rooted.join(least, "root").select("fp", "component_id"), "classes")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = keep(rooted.join(least, "root").select("fp", "root", "component_id"), "classes")
+    return marked.join(classes, "fp").select("doc_id", "row", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents that stay: the one with the smallest doc_id of each component, with all columns of ``docs``."""
-    found = near_duplicates(docs, radius)
-    stay = keep(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__n")), "stay")
-    out = docs.join(stay, "doc_id")
-    if stay.where("__n > 1").isEmpty():
-        return out.select(*docs.columns)
-    return out.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each component, with all columns of ``docs``: the smallest doc_id, rows without one last."""
+    last = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    found = keep(near_duplicates(docs.select(last.alias("doc_id"), "text"), radius).select("doc_id", "row", "root"), "found")
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    stay = keep(first.select(F.col("first.doc_id").alias("__doc"), F.col("first.row").alias("__row")), "stay")
+    twins = found.groupBy("doc_id", "row").agg(F.count("*").alias("n")).where("n > 1")
+    named = docs.withColumn("__doc", last).withColumn("__row", F.xxhash64(F.col("text").cast("string")))
+    out = named.join(stay, ["__doc", "__row"])
+    if not twins.isEmpty():
+        out = out.dropDuplicates(["__doc", "__row"])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

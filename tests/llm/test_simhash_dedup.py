@@ -93,3 +93,6 @@ def test_empty_and_repeated_rows(spark):
     twice = spark.createDataFrame([(1, "same words here"), (1, "same words here"), (2, None), (None, "same words here")], schema)
     assert sorted(map(str, (tuple(r) for r in S.near_duplicates(twice).select("doc_id", "component_id").collect()))) == sorted(map(str, [(1, 1), (1, 1), (2, 2), (None, 1)]))
     assert S.one_of_each(twice).where(F.col("doc_id") == 1).count() == 1
+    odd = [(5, "alpha beta"), (5, "gamma delta"), (5, "gamma delta"), (None, "eta"), (None, "eta"), (None, "theta iota"), (9, "alpha beta"), (None, "alpha beta")]
+    stay = sorted(((r.doc_id or 0), r.text) for r in S.one_of_each(spark.createDataFrame(odd, schema)).collect())
+    assert stay == [(0, "eta"), (0, "theta iota"), (5, "alpha beta"), (5, "gamma delta")]
