@@ -128,6 +128,10 @@ def _verdict(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({k: [x[k] for x in found] for k in _FIELDS})
 
 
+# Spark would push a filter on the verdict below it and judge every text twice.
+_verdict = _verdict.asNondeterministic()
+
+
 def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, the figures, ``base_failed``, ``kept`` and ``clean_text``. A narrow step, no shuffle."""
     return docs.select(F.col(id_col).alias("doc_id"), _verdict(F.col(text_col)).alias("v")).select("doc_id", "v.*")
