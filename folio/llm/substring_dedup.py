@@ -5,7 +5,7 @@ anchor, so all text that a window must be looked up in stands in the contexts of
 equal as a whole are settled by their smallest doc_id. For the others a suffix automaton is built over the reference
 shard, the contexts of one anchor in the order of their doc_ids: a document's context is streamed through the automaton
 of all smaller documents for its matching statistics, its maximal spans of at least ``WINDOW`` words are recorded, and
-only then, and only if it holds something new, is the automaton extended by it. The shards hold the whole corpus
+only then, and only if it holds a new window, is the automaton extended by it. The shards hold the whole corpus
 together, which has no size bound, so they are not broadcast but meet their documents in the shuffle; a shard of more
 than ``CHUNK`` contexts is met as pairs of chunks, so no automaton grows with the data.
 
@@ -72,7 +72,11 @@ class SuffixAutomaton:
             last = new
 
     def matches(self, words: list, least: int) -> list[tuple[int, int]]:
-        """The spans of ``words`` covered by substrings of at least ``least`` words that the sequences hold."""
+        """The spans of ``words`` covered by substrings of at least ``least`` words that the sequences hold.
+
+        A span ends where the window of ``least`` words that ends there is not held, so spans may overlap, and one span
+        over all words says that the sequences hold every window.
+        """
         state, length, spans = 0, 0, []
         for i, w in enumerate(words):
             while state and w not in self.next[state]:
@@ -82,11 +86,10 @@ class SuffixAutomaton:
                 state = self.next[state][w]
                 length += 1
             if length >= least:
-                begin = i + 1 - length
-                if spans and begin <= spans[-1][1]:
-                    spans[-1] = (min(spans[-1][0], begin), i + 1)
+                if spans and spans[-1][1] == i:
+                    spans[-1] = (spans[-1][0], i + 1)
                 else:
-                    spans.append((begin, i + 1))
+                    spans.append((i + 1 - length, i + 1))
         return spans
 
 

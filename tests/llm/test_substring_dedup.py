@@ -73,3 +73,22 @@ def test_automaton_finds_all_common_windows():
             if tuple(query[i : i + 4]) in held:
                 gone |= set(range(i, i + 4))
         assert {x for a, b in automaton.matches(query, 4) for x in range(a, b)} == gone
+
+
+def test_context_covered_by_two_others_is_still_reference():
+    w = list(range(84))
+    shard = [(0, 0, w[:50]), (1, 1, w[34:]), (2, 2, w), (3, 3, w[10:60]), (4, 4, w[10:60] + ["x"])]
+    gone = {}
+    for doc, a, b in S.match_shard(shard, 50):
+        gone.setdefault(doc, set()).update(range(a, b))
+    assert gone == {2: set(w), 3: set(range(50)), 4: set(range(50))}
+
+
+def test_windows_of_covered_documents_match_brute_force(spark):
+    rows = []
+    for k in range(60):
+        w = [f"{k}.{i}" for i in range(12)]
+        rows += [(4 * k + i, " ".join(w[a:b])) for i, (a, b) in enumerate([(0, 8), (4, 12), (0, 12), (2, 10)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed, r.kept) for r in S.deduplicate(docs, 8, 4).collect())
+    assert got == brute(rows, 8)
