@@ -48,6 +48,7 @@ SKIPPED_WORDS = frozenset(
     "footer header masthead comment comments disqus cookie cookies consent notice notices alert popup modal newsletter subscribe share sharing social "
     "related recommended widget toolbar pagination pager complementary contentinfo search".split()
 )
+FORMATTING = frozenset("a b big code em font i s small strike strong tt u".split())
 CLOSES_P = frozenset(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
@@ -57,13 +58,15 @@ _SPLIT = re.compile(r"[\s_-]+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "children", "skipped", "main", "blocks", "number")
+    __slots__ = ("tag", "label", "children", "skipped", "main", "blocks", "number", "hides", "inner")
 
     def __init__(self, tag: str, label: str, skipped: bool, main: bool) -> None:
         self.tag, self.label, self.skipped, self.main = tag, label, skipped, main
         self.children: list[Node] = []
         self.blocks: list[tuple[int, str]] = []
         self.number = 0
+        #: Whether it is boilerplate by itself, and how many plain inline elements of its tag are open inside.
+        self.hides, self.inner = False, 0
 
 
 def parse(html: str | None) -> tuple[Node, list[tuple[Node, str]]]:
@@ -75,21 +78,26 @@ def parse(html: str | None) -> tuple[Node, list[tuple[Node, str]]]:
         if run:
             text = " ".join(entities.unescape("".join(run)).split())
             if text:
-                blocks.append((open_nodes[-1], text))
+                # Text of skipped nodes is not kept, so the run stands in the deepest node that is not skipped.
+                blocks.append((next(n for n in reversed(open_nodes) if not n.skipped), text))
             run.clear()
 
+    def show(text: str) -> None:
+        if not open_nodes[-1].skipped:
+            run.append(text)
+
     html = html or ""
     at, end = 0, len(html)
     while at < end:
         start = html.find("<", at)
         if start < 0:
-            run.append(html[at:])
+            show(html[at:])
             break
         if start > at:
-            run.append(html[at:start])
+            show(html[at:start])
         m = _TOKEN.match(html, start)
         if not m:
-            run.append("<")
+            show("<")
             at = start + 1
             continue
         at = m.end()
@@ -105,11 +113,32 @@ def parse(html: str | None) -> tuple[Node, list[tuple[Node, str]]]:
                 flush()
             continue
         if tag in INLINE:
-            if tag in ("br", "img", "wbr") and tag != "wbr":
-                run.append(" ")
-            if closing or not _skipped("", m[3]):
+            if tag in ("br", "img"):
+                show(" ")
+            if tag in VOID:
+                continue
+            # Of inline elements only skipped ones are nodes; they hide their text and do not end the run around them.
+            own = next((i for i in range(len(open_nodes) - 1, 0, -1) if open_nodes[i].tag == tag), 0) if open_nodes[-1].skipped else 0
+            crossed = own and any(n.tag not in INLINE for n in open_nodes[own + 1 :])
+            if own and (closing or tag == "a"):
+                if open_nodes[own].inner and not crossed:
+                    open_nodes[own].inner -= 1
+                elif not crossed:
+                    del open_nodes[own:]
+                elif tag in FORMATTING:
+                    # As browsers do, blocks left open go on outside the ended element.
+                    left = [n for n in open_nodes[own + 1 :] if n.tag not in INLINE]
+                    del open_nodes[own:]
+                    for n in left:
+                        open_nodes.append(_child(open_nodes[-1], n.tag, n.label, n.hides))
+                own = 0
+            if closing:
                 continue
-            # A skipped inline element hides its text as a block element would.
+            if own and not crossed:
+                open_nodes[own].inner += 1
+            elif _skipped("", m[3]) and not m[3].rstrip().endswith("/"):
+                open_nodes.append(_child(open_nodes[-1], tag, f"{tag} {_words(m[3])}", True))
+            continue
         flush()
         if closing:
             for i in range(len(open_nodes) - 1, 0, -1):
@@ -122,21 +151,26 @@ def parse(html: str | None) -> tuple[Node, list[tuple[Node, str]]]:
                 if open_nodes[i].tag == "p":
                     del open_nodes[i:]
                     break
-                if open_nodes[i].tag not in ("b", "span"):
+                if open_nodes[i].tag not in INLINE:
                     break
         elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            if open_nodes[-1].tag in (("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)):
-                open_nodes.pop()
+            last = next(i for i in range(len(open_nodes) - 1, -1, -1) if open_nodes[i].tag not in INLINE)
+            if open_nodes[last].tag in (("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)):
+                del open_nodes[last:]
         if tag in VOID or m[3].rstrip().endswith("/") or len(open_nodes) >= MAX_DEPTH:
             continue
-        above = open_nodes[-1]
-        node = Node(tag, f"{tag} {_words(m[3])}", above.skipped or _skipped(tag, m[3]), above.main or tag in ("article", "main"))
-        above.children.append(node)
-        open_nodes.append(node)
+        open_nodes.append(_child(open_nodes[-1], tag, f"{tag} {_words(m[3])}", _skipped(tag, m[3])))
     flush()
     return root, blocks
 
 
+def _child(above: Node, tag: str, label: str, hides: bool) -> Node:
+    node = Node(tag, label, above.skipped or hides, above.main or tag in ("article", "main"))
+    node.hides = hides
+    above.children.append(node)
+    return node
+
+
 def _words(attributes: str) -> str:
     return " ".join(v or w or x for k, v, w, x in _ATTR.findall(attributes) if k.lower() == "class") if attributes else ""
 

@@ -16,6 +16,15 @@ def test_article_text():
     assert H.main_text("<article>" + "<div>" * 5000 + "deep" + "</div>" * 5000 + "</article>") == "deep"
 
 
+def test_text_after_a_skipped_inline_element():
+    assert H.main_text('<p>Text <span class="ad">x</span> rest</p>') == "Text rest"
+    assert H.main_text('<article><a class="social-share">Share</a><p>One.</p><p>Two.</p></article><p>out</p>') == "One.\nTwo."
+    assert H.main_text('<article><p>a <span class="ad">x <span>y</span> z</span> b <img class="ad"> c</p></article>') == "a b c"
+    assert H.main_text('<article>a <a class="share"><div>x</div>y</a> b</article>') == "a\nb"
+    assert H.main_text('<article><div><a class="share"><div>x</a>y</div>z</div>w</article>') == "y\nz\nw"
+    assert H.main_text('<article><div class="related"><span class="ad">x</span>y</div><p>z</p></article>') == "z"
+
+
 def brute(a, b):
     if a.label != b.label:
         return 0
