@@ -10,7 +10,9 @@ word. Where a page has neither, the varying slots outside boilerplate elements a
 between starts and ends of block elements; white space becomes one space, character references are decoded, and blocks
 are joined in page order by one newline.
 
-Null or empty html gives an empty text; cut-off tags at the end are dropped, other broken markup is read as browsers do.
+Null or empty html gives an empty text; cut-off tags at the end are dropped, and raw elements that are self-closed or never
+closed hide nothing after their own tag (an unclosed script or style hides the rest, which is code); other broken markup is
+read as browsers do. Elements may lie at any depth.
 Urls without a host share the empty host. Repeated rows are extracted alike; an empty table gives an empty result. Only
 counts by (host, reference node, text hash) are shuffled, combined before; one page of each host is its reference.
 """
@@ -19,7 +21,9 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -31,8 +35,6 @@ from folio.llm.url_filter import url_parts
 
 CONSTANT = 0.9
 MIN_PAGES = 5
-#: Deeper elements are folded into their parents at this depth, for bounded recursion.
-MAX_DEPTH = 60
 
 # Element names and boilerplate words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -73,6 +75,8 @@ def parse(html: str | None) -> tuple[Node, list[tuple[Node, str]]]:
     """The tree of block elements, and each block of text with the element it stands in, in page order."""
     root = Node("", "", False, False)
     open_nodes, blocks, run = [root], [], []
+    raw: dict[str, Callable[[int], int | None]] = {}
+    opened: Counter[str] = Counter()
 
     def flush() -> None:
         if run:
@@ -82,6 +86,18 @@ def parse(html: str | None) -> tuple[Node, list[tuple[Node, str]]]:
                 blocks.append((next(n for n in reversed(open_nodes) if not n.skipped), text))
             run.clear()
 
+    def close(i: int) -> None:
+        opened.subtract(n.tag for n in open_nodes[i:])
+        del open_nodes[i:]
+
+    def start_node(tag: str, label: str, hides: bool) -> None:
+        above = open_nodes[-1]
+        node = Node(tag, label, above.skipped or hides, above.main or tag in ("article", "main"))
+        node.hides = hides
+        above.children.append(node)
+        open_nodes.append(node)
+        opened[tag] += 1
+
     def show(text: str) -> None:
         if not open_nodes[-1].skipped:
             run.append(text)
@@ -107,10 +123,14 @@ def parse(html: str | None) -> tuple[Node, list[tuple[Node, str]]]:
             break
         tag, closing = m[2].lower(), bool(m[1])
         if tag in RAW and not closing:
-            done = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|$)", re.I).search(html, at)
-            at = done.end() if done else end
-            if tag not in INLINE:
-                flush()
+            if tag not in raw:
+                raw[tag] = _raw_ends(html, tag)
+            code = tag in ("script", "style")
+            if code or not m[3].rstrip().endswith("/"):
+                done = raw[tag](start)
+                at = done or (end if code else html.find("<", at) if tag == "option" else at)
+                at = end if at < 0 else at
+            flush()
             continue
         if tag in INLINE:
             if tag in ("br", "img"):
@@ -118,57 +138,67 @@ def parse(html: str | None) -> tuple[Node, list[tuple[Node, str]]]:
             if tag in VOID:
                 continue
             # Of inline elements only skipped ones are nodes; they hide their text and do not end the run around them.
-            own = next((i for i in range(len(open_nodes) - 1, 0, -1) if open_nodes[i].tag == tag), 0) if open_nodes[-1].skipped else 0
+            own = next((i for i in range(len(open_nodes) - 1, 0, -1) if open_nodes[i].tag == tag), 0) if opened[tag] else 0
             crossed = own and any(n.tag not in INLINE for n in open_nodes[own + 1 :])
             if own and (closing or tag == "a"):
                 if open_nodes[own].inner and not crossed:
                     open_nodes[own].inner -= 1
                 elif not crossed:
-                    del open_nodes[own:]
+                    close(own)
                 elif tag in FORMATTING:
                     # As browsers do, blocks left open go on outside the ended element.
                     left = [n for n in open_nodes[own + 1 :] if n.tag not in INLINE]
-                    del open_nodes[own:]
+                    close(own)
                     for n in left:
-                        open_nodes.append(_child(open_nodes[-1], n.tag, n.label, n.hides))
+                        start_node(n.tag, n.label, n.hides)
                 own = 0
             if closing:
                 continue
             if own and not crossed:
                 open_nodes[own].inner += 1
             elif _skipped("", m[3]) and not m[3].rstrip().endswith("/"):
-                open_nodes.append(_child(open_nodes[-1], tag, f"{tag} {_words(m[3])}", True))
+                start_node(tag, f"{tag} {_words(m[3])}", True)
             continue
         flush()
         if closing:
-            for i in range(len(open_nodes) - 1, 0, -1):
-                if open_nodes[i].tag == tag:
-                    del open_nodes[i:]
-                    break
+            if opened[tag]:
+                close(next(i for i in range(len(open_nodes) - 1, 0, -1) if open_nodes[i].tag == tag))
             continue
         if tag in CLOSES_P:
             for i in range(len(open_nodes) - 1, 0, -1):
                 if open_nodes[i].tag == "p":
-                    del open_nodes[i:]
+                    close(i)
                     break
                 if open_nodes[i].tag not in INLINE:
                     break
         elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             last = next(i for i in range(len(open_nodes) - 1, -1, -1) if open_nodes[i].tag not in INLINE)
             if open_nodes[last].tag in (("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)):
-                del open_nodes[last:]
-        if tag in VOID or m[3].rstrip().endswith("/") or len(open_nodes) >= MAX_DEPTH:
+                close(last)
+        if tag in VOID or m[3].rstrip().endswith("/"):
             continue
-        open_nodes.append(_child(open_nodes[-1], tag, f"{tag} {_words(m[3])}", _skipped(tag, m[3])))
+        start_node(tag, f"{tag} {_words(m[3])}", _skipped(tag, m[3]))
     flush()
     return root, blocks
 
 
-def _child(above: Node, tag: str, label: str, hides: bool) -> Node:
-    node = Node(tag, label, above.skipped or hides, above.main or tag in ("article", "main"))
-    node.hides = hides
-    above.children.append(node)
-    return node
+def _raw_ends(html: str, tag: str) -> Callable[[int], int | None]:
+    """For a start of the raw element ``tag``: the end of its closing tag, None if it is never closed."""
+    tags = re.finditer(rf"<(/?){tag}(?=[\s/>]|$)[^>]*(?:>|$)", html, re.I)
+    if tag in ("script", "style", "title", "textarea", "iframe"):
+        # Their content is plain text, so the next closing tag ends them.
+        ends = [(m.start(), m.end()) for m in tags if m[1]]
+        starts = [a for a, _ in ends]
+        return lambda at: ends[i][1] if (i := bisect_right(starts, at)) < len(ends) else None
+    closed: dict[int, int] = {}
+    waiting: list[int] = []
+    for m in tags:
+        if m[1]:
+            if waiting:
+                closed[waiting.pop()] = m.end()
+        elif not m[0].endswith("/>"):
+            waiting.append(m.start())
+    return closed.get
 
 
 def _words(attributes: str) -> str:
@@ -185,15 +215,20 @@ def _skipped(tag: str, attributes: str) -> bool:
 
 def skeleton(html: str | None) -> str:
     """The tree without texts, as tags in brackets, to be matched against."""
-    out: list[str] = []
+    return write_skeleton(parse(html)[0])
 
-    def walk(node: Node) -> None:
-        for child in node.children:
-            out.append("(" + re.sub(r"[()]", "", child.label))
-            walk(child)
-            out.append(")")
 
-    walk(parse(html)[0])
+def write_skeleton(root: Node) -> str:
+    out: list[str] = []
+    todo: list[Node | None] = root.children[::-1]
+    while todo:
+        node = todo.pop()
+        if node is None:
+            out.append(")")
+            continue
+        out.append("(" + re.sub(r"[()]", "", node.label))
+        todo.append(None)
+        todo += reversed(node.children)
     return "".join(out)
 
 
@@ -215,19 +250,28 @@ def read_skeleton(text: str) -> Node:
 def align(page: Node, reference: Node) -> None:
     """Simple tree matching: number each node of the page after the reference node it is matched with, else 0."""
     sizes: dict[tuple[int, int], tuple[int, list[tuple[Node, Node]]]] = {}
-
-    def match(a: Node, b: Node) -> int:
-        if a.label != b.label:
-            return 0
-        if (got := sizes.get((id(a), id(b)))) is not None:
-            return got[0]
+    if page.label != reference.label:
+        return
+    # Pairs of nodes whose children are to be matched, each after the pairs of its children.
+    pending = [(page, reference, False)]
+    while pending:
+        a, b, ready = pending.pop()
+        if (id(a), id(b)) in sizes:
+            continue
+        if not ready:
+            pending.append((a, b, True))
+            by_label: dict[str, list[Node]] = {}
+            for y in b.children:
+                by_label.setdefault(y.label, []).append(y)
+            pending += [(x, y, False) for x in a.children for y in by_label.get(x.label, ())]
+            continue
         rows, cols = a.children, b.children
         best = [[0] * (len(cols) + 1) for _ in range(len(rows) + 1)]
         for i, x in enumerate(rows):
             line, above = best[i + 1], best[i]
             for j, y in enumerate(cols):
                 value = above[j + 1] if above[j + 1] >= line[j] else line[j]
-                if x.label == y.label and (both := above[j] + match(x, y)) > value:
+                if x.label == y.label and (both := above[j] + sizes[id(x), id(y)][0]) > value:
                     value = both
                 line[j + 1] = value
         pairs, i, j = [], len(rows), len(cols)
@@ -240,9 +284,6 @@ def align(page: Node, reference: Node) -> None:
                 i, j = i - 1, j - 1
                 pairs.append((rows[i], cols[j]))
         sizes[id(a), id(b)] = (1 + best[-1][-1], pairs)
-        return 1 + best[-1][-1]
-
-    match(page, reference)
     todo = [(page, reference)]
     while todo:
         a, b = todo.pop()

@@ -25,6 +25,23 @@ def test_text_after_a_skipped_inline_element():
     assert H.main_text('<article><div class="related"><span class="ad">x</span>y</div><p>z</p></article>') == "z"
 
 
+def test_deep_and_unclosed_elements():
+    deep = "<div>" * 100
+    page = f"<article>{deep}a<nav>menu</nav><div class='ad'>buy</div><div>b</div>{'</div>' * 100}<p>c</p></article>"
+    assert H.main_text(page) == "a\nb\nc"
+    assert H.main_text(f"out{deep}<article>in</article>{'</div>' * 100}out") == "in"
+    many = "<div>" * 3000 + "x" + "</div>" * 3000
+    tree = H.parse(many)[0]
+    H.align(tree, H.read_skeleton(H.skeleton(many)))
+    assert tree.children[0].children[0].number == 2
+    for tag in ("button", "svg", "iframe", "noscript", "template", "select", "math"):
+        assert H.main_text(f"<article>a<{tag} id=q><p>b</p></article>") == "a\nb"
+        assert H.main_text(f"<article>a<{tag}>x</{tag}><p>b</p></article>") == "a\nb"
+    assert H.main_text("<article>a<svg/><p>b</p><svg>x</svg>c</article>") == "a\nb\nc"
+    assert H.main_text("<article>a<svg>x<svg>y</svg>z</svg>b<svg><p>c</p><svg>z</svg>d</article>") == "a\nb\nc\nd"
+    assert H.main_text("<article>a<script>b") == "a"
+
+
 def brute(a, b):
     if a.label != b.label:
         return 0
