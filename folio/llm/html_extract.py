@@ -1,7 +1,9 @@
 """HTML main text by wrapper induction over the pages of a host.
 
-The first page of a host (smallest page_id, then url) is its reference tree. Every page's tree of block elements is
-aligned with it by simple tree matching: two nodes match if tag and class agree, children are matched in order so that
+A host's reference tree is merged from the layouts (trees without texts) of its pages, the commonest first, by partial
+tree alignment: nodes that the reference lacks are put in beside their matched neighbours. Layouts of more than
+1 - ``CONSTANT`` of the pages are enough, as a node on ``CONSTANT`` of all pages stands in one of them; pages without
+elements give none. Every page's tree of block elements is aligned with the reference by simple tree matching: two nodes match if tag and class agree, children are matched in order so that
 the number of matched nodes is largest. An aligned node outside the article whose text is the same on at least
 ``CONSTANT`` of a host's pages, over all of them and at least ``MIN_PAGES``, is template; what varies is a content slot.
 
@@ -14,7 +16,7 @@ Null or empty html gives an empty text; cut-off tags at the end are dropped, and
 closed hide nothing after their own tag (an unclosed script or style hides the rest, which is code); other broken markup is
 read as browsers do. Elements may lie at any depth.
 Urls without a host share the empty host. Repeated rows are extracted alike; an empty table gives an empty result. Only
-counts by (host, reference node, text hash) are shuffled, combined before; one page of each host is its reference.
+counts by (host, layout) and by (host, reference node, text hash) are shuffled, combined before.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.llm.common import keep, map_rows, table
@@ -247,6 +249,17 @@ def read_skeleton(text: str) -> Node:
     return root
 
 
+def unnumbered(skeleton: str) -> Node:
+    """The tree of a skeleton as a page's, not as a reference."""
+    root = read_skeleton(skeleton)
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        node.number = 0
+        todo += node.children
+    return root
+
+
 def align(page: Node, reference: Node) -> None:
     """Simple tree matching: number each node of the page after the reference node it is matched with, else 0."""
     sizes: dict[tuple[int, int], tuple[int, list[tuple[Node, Node]]]] = {}
@@ -291,6 +304,48 @@ def align(page: Node, reference: Node) -> None:
         todo += sizes.get((id(a), id(b)), (0, []))[1]
 
 
+def merge(reference: Node, page: Node) -> None:
+    """Partial tree alignment: put the nodes of the page that ``reference`` lacks beside their matched neighbours."""
+    nodes: list[Node] = []
+    todo = [reference]
+    while todo:
+        node = todo.pop()
+        node.number = len(nodes)
+        nodes.append(node)
+        todo += reversed(node.children)
+    align(page, reference)
+    both = [(page, reference)]
+    while both:
+        a, b = both.pop()
+        children, at = [], 0
+        for x in a.children:
+            if x.number:
+                y = nodes[x.number]
+                upto = b.children.index(y, at) + 1
+                children += b.children[at:upto]
+                at = upto
+                both.append((x, y))
+            else:
+                children.append(x)
+        b.children = children + b.children[at:]
+
+
+def aligned(page: Node, layout: str, reference: Node, known: dict[str, list[int]]) -> None:
+    """``align``, which depends on the layout only, once for each layout."""
+    nodes, todo = [], [page]
+    while todo:
+        node = todo.pop()
+        nodes.append(node)
+        todo += node.children
+    if layout in known:
+        for node, number in zip(nodes, known[layout], strict=True):
+            node.number = number
+        return
+    align(page, reference)
+    if len(known) < 1000:
+        known[layout] = [n.number for n in nodes]
+
+
 def main_text(html: str | None, reference: Node | None = None, template: frozenset = frozenset()) -> str:
     """The content blocks of a page, given its host's reference tree and template slots (node number, text hash)."""
     root, blocks = parse(html)
@@ -309,30 +364,61 @@ def induce(pages: DataFrame) -> DataFrame:
     """(host, skeleton, slots): each host's reference tree and its template slots (node, hash), from all its pages."""
     host = url_parts(F.col("url"))[0]
     hosted = pages.select(host.alias("host"), "page_id", "url", "html")
-    first = hosted.groupBy("host").agg(F.min_by("html", F.struct("page_id", "url")).alias("html"), F.count("*").alias("pages"))
 
-    def skeletons(batches: Iterator[dict]) -> Iterator[dict]:
+    def layouts(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            found = Counter((h, skeleton(html)) for h, html in zip(b["host"], b["html"], strict=True))
+            yield {"host": [h for h, _ in found], "skeleton": [x for _, x in found], "n": list(found.values())}
+
+    counted = map_rows(hosted.select("host", "html"), layouts, "host string, skeleton string, n long",
+                       pa.schema([("host", pa.string()), ("skeleton", pa.string()), ("n", pa.int64())]))
+    counted = keep(counted.groupBy("host", "skeleton").agg(F.sum("n").alias("n")), "layouts")
+    total = keep(counted.groupBy("host").agg(F.sum("n").alias("pages")), "hosts")
+    commonest = Window.partitionBy("host").orderBy(F.desc("n"), "skeleton").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = counted.where("skeleton <> ''").join(total.where(F.col("pages") >= MIN_PAGES), "host")
+    wanted = wanted.withColumn("before", F.coalesce(F.sum("n").over(commonest), F.lit(0)))
+    wanted = wanted.where(F.col("before") <= F.col("pages") - F.ceil(CONSTANT * F.col("pages")))
+
+    def references(batches: Iterator[dict]) -> Iterator[dict]:
+        now, pages, tree = None, 0, Node("", "", False, False)
         for b in batches:
-            yield {"host": b["host"], "pages": b["pages"], "skeleton": [skeleton(h) for h in b["html"]]}
+            out: dict = {"host": [], "pages": [], "skeleton": []}
+            for h, n, skel in zip(b["host"], b["pages"], b["skeleton"], strict=True):
+                if h != now:
+                    if now is not None:
+                        out["host"].append(now), out["pages"].append(pages), out["skeleton"].append(write_skeleton(tree))
+                    now, pages, tree = h, n, Node("", "", False, False)
+                merge(tree, unnumbered(skel))
+            yield out
+        if now is not None:
+            yield {"host": [now], "pages": [pages], "skeleton": [write_skeleton(tree)]}
 
+    ordered = wanted.select("host", "pages", "skeleton", "n").repartition("host").sortWithinPartitions("host", F.desc("n"), "skeleton")
     reference = keep(
-        map_rows(first.select("host", "pages", "html"), skeletons, "host string, pages long, skeleton string",
+        map_rows(ordered, references, "host string, pages long, skeleton string",
                  pa.schema([("host", pa.string()), ("pages", pa.int64()), ("skeleton", pa.string())])),
         "reference",
     )
 
     def slots(batches: Iterator[dict]) -> Iterator[dict]:
+        known: dict[str, tuple[Node, dict]] = {}
         for b in batches:
             out: dict = {"host": [], "node": [], "hash": []}
             for h, skel, html in zip(b["host"], b["skeleton"], b["html"], strict=True):
                 root, blocks = parse(html)
-                align(root, read_skeleton(skel))
+                if all(n.main for n, _ in blocks):
+                    continue
+                if h not in known:
+                    if len(known) > 100:
+                        known.clear()
+                    known[h] = (read_skeleton(skel), {})
+                aligned(root, write_skeleton(root), *known[h])
                 for node, code in {(n.number, _hash(t)) for n, t in blocks if not n.main and n.number}:
                     out["host"].append(h), out["node"].append(node), out["hash"].append(code)
             yield out
 
     seen = map_rows(
-        hosted.join(reference.where(F.col("pages") >= MIN_PAGES), "host").select("host", "skeleton", "html"), slots,
+        hosted.join(reference, "host").select("host", "skeleton", "html"), slots,
         "host string, node int, hash long", pa.schema([("host", pa.string()), ("node", pa.int32()), ("hash", pa.int64())]),
     )
     counted = seen.groupBy("host", "node", "hash").agg(F.count("*").alias("n"))

@@ -71,3 +71,18 @@ def test_constant_slots_become_template(spark):
     got = [(r.page_id, r.text) for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
     assert sorted(got) == sorted([(i, f"Story {i} begins.\nIt goes on {i}.") for i in [*range(8), 3]] + [(8, ""), (9, "alone")])
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_reference_comes_from_all_pages_of_a_host(spark):
+    page = "<html><body><div>Site name</div><div><p>Story {0} begins.</p></div><div>All about us</div></body></html>"
+    pages = [(i, f"http://{h}.org/{i}", page.format(i)) for h in "abc" for i in range(1, 20)]
+    odd = [(0, "http://a.org/0", None), (0, "http://b.org/0", ""), (0, "http://c.org/0", "<section><h1>Error</h1></section>")]
+    got = {(r.url, r.text) for r in H.extract(spark.createDataFrame(pages + odd, "page_id long, url string, html string")).collect()}
+    assert got == {(u, f"Story {i} begins.") for i, u, _ in pages} | {("http://a.org/0", ""), ("http://b.org/0", ""), ("http://c.org/0", "Error")}
+
+
+def test_merged_reference_holds_nodes_of_all_layouts():
+    tree = H.read_skeleton("")
+    for html in ("<div><p>1</p></div><ul><li>a</ul>", "<div><h1>t</h1><p>1</p><p>2</p></div><section>n</section><ul><li>a</ul>"):
+        H.merge(tree, H.unnumbered(H.skeleton(html)))
+    assert H.write_skeleton(tree) == H.skeleton("<div><h1>t</h1><p>1</p><p>2</p></div><section>n</section><ul><li>a</ul>")
