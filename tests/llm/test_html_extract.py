@@ -86,3 +86,9 @@ def test_merged_reference_holds_nodes_of_all_layouts():
     for html in ("<div><p>1</p></div><ul><li>a</ul>", "<div><h1>t</h1><p>1</p><p>2</p></div><section>n</section><ul><li>a</ul>"):
         H.merge(tree, H.unnumbered(H.skeleton(html)))
     assert H.write_skeleton(tree) == H.skeleton("<div><h1>t</h1><p>1</p><p>2</p></div><section>n</section><ul><li>a</ul>")
+
+
+def test_copies_of_one_article_keep_their_text(spark):
+    rows = [(i, f"http://h.org/{i}", "<div>Site</div><article><p>Same story.</p></article>") for i in range(8)]
+    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in got] == ["Same story."] * 8
