@@ -174,20 +174,22 @@ def j6_duplicate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_pages(page_keys(rows.unionByName(again)))
 
 
-def _page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = lines(spark, sf_dir).select("book", "page_no", F.filter(snapshot_words(F.col("text")), lambda w: F.regexp_like(w, F.lit("^[a-z0-9]+$"))).alias("ws"))
+def _page_words(rows: DataFrame) -> DataFrame:
+    words = rows.select("book", "page_no", snapshot_words(F.col("text")).alias("ws"))
     return words.groupBy("book", "page_no").agg(F.array_sort(F.flatten(F.collect_list("ws"))).alias("words"))
 
 
 def j7_shared_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shared words of each page and the next, by plain letters."""
-    pages = _page_words(spark, sf_dir)
+    """Shared words of each page and the next, by plain letters, as its SQL says."""
+    pages = _page_words(lines(spark, sf_dir))
+    pages = pages.withColumn("words", F.filter("words", lambda w: F.regexp_like(w, F.lit("^[a-z0-9]+$"))))
     following = pages.select("book", (F.col("page_no") - 1).alias("page_no"), F.col("words").alias("b"))
     return shared_words(pages.withColumnRenamed("words", "a").join(following, ["book", "page_no"]))
 
 
 def c10_new_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return new_pages(_page_words(spark, sf_dir))
+    """New pages by words of any letters; documents have no tiles, so pages of under twelve words count as new."""
+    return new_pages(_page_words(lines(spark, sf_dir)))
 
 
 def _contents_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

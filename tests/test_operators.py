@@ -9,7 +9,7 @@ from folio.functions import text as X
 from folio.operators import render
 from folio.operators.geometry import quadrant, reading_order, rotated_box
 from folio.operators.sequence import check, printed_numbers
-from folio.operators.similarity import edit_distance, same_page, word_share
+from folio.operators.similarity import c10_new_pages, edit_distance, same_page, word_share
 from folio.operators.titles import compose
 from folio.streaming.motion import settled_pages, step
 
@@ -161,3 +161,12 @@ def test_cuts_of_double_pages():
     assert I.cut_fraction(page, "automatic", columns[:3]) is None
     assert [x.shape[1] for x in I.split(page, "middle")] == [80, 80]
     assert len(I.prepare(page.T, "automatic", 1, columns)) == 2 and len(I.prepare(page.T, "automatic", 1, columns, False)) == 1
+
+
+def test_new_pages_take_words_of_any_letters(spark, tmp_path):
+    same = [chr(0x430 + i % 30) * 2 + "слово" + chr(0x430 + i // 2) for i in range(60)]
+    other = [f"größe{chr(97 + i % 26)}{'äöü'[i // 26]}{i * i}" for i in range(60)]
+    rows = [(0, " ".join(same * 10)), (1, " ".join(other * 5 + same * 5)), (2, " ".join(other * 5 + [w + "ß" * 4 for w in other] * 5))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.book, r.page_no): r.is_new for r in c10_new_pages(spark, str(tmp_path)).collect()}
+    assert got == {(0, 0): True, (0, 1): False, (1, 0): True, (1, 1): True, (2, 0): True, (2, 1): True}
