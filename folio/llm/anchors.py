@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import keep, map_rows
+from folio.llm.common import keep, map_rows, named
 
 #: Positions fit into the low bits of a sort key; longer texts are read in blocks of this many positions.
 _BITS = 20
@@ -134,21 +134,37 @@ def shared_contexts(rows: DataFrame, items: Callable, window: int, k: int) -> Da
     return keep(every.join(shared, "hash"), "contexts")
 
 
-def in_chunks(members: DataFrame, chunk: int) -> DataFrame:
-    """``members`` (hash, digest, of ..) of anchors with ``of`` contexts, with chunks i <= j of at most ``chunk`` rows.
+def split_by_size(members: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """``members`` of anchors with at most ``most`` differing contexts (column of), which meet as one group, and the others."""
+    return members.where(F.col("of") <= most), members.where(F.col("of") > most)
 
-    A larger group is met as pairs of chunks, so that any two of its contexts meet in at least one bounded group.
+
+def window_digests(asked: DataFrame, items: Callable, window: int) -> DataFrame:
+    """(key, doc, row, a, known): a 128-bit digest for each window of the wanted contexts, kept.
+
+    For anchors with more contexts than a group may hold: their windows are counted one by one, spread by their digests.
     """
-    m = F.ceil(F.col("of") / chunk).cast("int")
-    own = F.pmod(F.xxhash64("digest"), m).cast("int")
-    spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), m - 1)))
-    return spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other", "of")
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        digest = xxhash.xxh3_128_digest
+        for b in batches:
+            out: dict = {"key": [], "doc": [], "row": [], "a": [], "known": []}
+            for doc, row, text, want in zip(b["doc"], b["row"], b["text"], b["want"], strict=True):
+                _, part = items(text)
+                for x in want:
+                    for a in range(x["first"], x["first"] + x["windows"]):
+                        for name, v in (("key", digest(part(a, a + window))), ("doc", doc), ("row", row), ("a", a), ("known", x["known"])):
+                            out[name].append(v)
+            yield out
+
+    kinds = [("key", pa.binary()), ("doc", pa.int64()), ("row", pa.int64()), ("a", pa.int32()), ("known", pa.bool_())]
+    return keep(map_rows(asked, run, "key binary, doc long, row long, a int, known boolean", pa.schema(kinds)), "windows")
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with __spans, the array of (a, b) structs found for the row's content, null if none."""
     by_row = spans.groupBy("doc", "row").agg(F.collect_set(F.struct("a", "b")).alias("__spans"))
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    named = docs.withColumn("__doc", F.coalesce(doc_id, F.lit(-(1 << 63)))).withColumn("__row", F.xxhash64(doc_id, text))
+    marked = docs.withColumn("__doc", F.coalesce(doc_id, F.lit(-(1 << 63)))).withColumn("__row", F.xxhash64(doc_id, text))
     by_row = by_row.select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), "__spans")
-    return named.join(by_row, ["__doc", "__row"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__spans")
+    return marked.join(by_row, ["__doc", "__row"], "left").select(*map(named, docs.columns), "__spans")

@@ -7,11 +7,16 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a longest run of characters other than space and U+0009..U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD_SPACE = " \t\n\x0b\x0c\r"
+#: Bytes of an Arrow batch that a Python task turns into objects at once; a single longer row is taken alone.
+SLICE = 2 << 20
+_KEPT: list[DataFrame] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; set here only where it is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="folio-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -35,22 +48,66 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
+    _KEPT.append(out)
     return out
 
 
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by ``keep`` which nothing reads any more."""
     for df in tables:
+        _KEPT[:] = [x for x in _KEPT if x is not df]
         jvm = df.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._kept_at)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def kept_tables() -> int:
+    """How many kept tables there are, for ``drop_since``."""
+    return len(_KEPT)
+
+
+def drop_since(mark: int, *stay: DataFrame) -> None:
+    """Delete all tables kept since there were ``mark``, but for those that stay."""
+    drop(*[x for x in _KEPT[mark:] if all(x is not s for s in stay)])
+
+
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in order, in slices of at most ``size`` bytes or of one row."""
+    for batch in batches:
+        todo = [batch]
+        while todo:
+            part = todo.pop()
+            n = part.num_rows
+            if n > 1 and part.nbytes > size:
+                todo += [part.slice(n // 2), part.slice(0, n // 2)]
+            else:
+                yield part
+    pa.default_memory_pool().release_unused()
+
+
 def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str, arrow: pa.Schema) -> DataFrame:
-    """``mapInArrow`` for a function from column lists to column lists, one Arrow batch at a time."""
+    """``mapInArrow`` for a function from column lists to column lists, a slice of bounded bytes at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in fn(b.to_pydict() for b in batches):
+        for out in fn(b.to_pydict() for b in slices(batches)):
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def map_columns(df: DataFrame, fn: Callable[[list[pa.Array]], list[pa.Array]], schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for a function from the columns of a slice to those of its result, whatever their names."""
+    inner = [f"c{i}" for i in range(len(schema))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays(fn(b.columns), inner)
+
+    plain = T.StructType([T.StructField(c, f.dataType) for c, f in zip(inner, schema.fields, strict=True)])
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, plain).toDF(*schema.names)
+
+
+def with_length(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like``, from ``df``; n_chars, where there is one, becomes the length of the text."""
+    length = F.length("text").cast(like.schema["n_chars"].dataType) if "n_chars" in like.columns else None
+    return df.select(*[length.alias(c) if c == "n_chars" else named(c) for c in like.columns])

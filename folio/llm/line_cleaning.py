@@ -14,12 +14,13 @@ each; other input columns are ignored by ``judge_lines`` and carried by ``clean_
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from folio.llm.common import WORD_PATTERN, WORD_SPACE, table
+from folio.llm.common import WORD_PATTERN, WORD_SPACE, map_columns, map_rows, named, table, with_length
 
 # Fixed values of the rules.
 SYMBOLS = "#*$%&|<>"
@@ -108,41 +109,36 @@ def judge_text(text: str | None) -> dict:
     }
 
 
-_FIELDS = {
-    "n_words": T.LongType(),
-    "word_chars": T.LongType(),
-    "n_symbols": T.LongType(),
-    "n_dup_lines": T.LongType(),
-    "n_repeat_words": T.LongType(),
-    "kept_words": T.LongType(),
-    "base_failed": T.BooleanType(),
-    "kept": T.BooleanType(),
-    "clean_text": T.StringType(),
-}
-_VERDICT = T.StructType([T.StructField(k, v) for k, v in _FIELDS.items()])
-
-
-@F.pandas_udf(_VERDICT)
-def _verdict(texts: pd.Series) -> pd.DataFrame:
-    found = [judge_text(t) for t in texts]
-    return pd.DataFrame({k: [x[k] for x in found] for k in _FIELDS})
-
-
-# Spark would push a filter on the verdict below it and judge every text twice.
-_verdict = _verdict.asNondeterministic()
+_FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "kept_words")
+_VERDICTS = ("base_failed", "kept")
 
 
 def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, the figures, ``base_failed``, ``kept`` and ``clean_text``. A narrow step, no shuffle."""
-    return docs.select(F.col(id_col).alias("doc_id"), _verdict(F.col(text_col)).alias("v")).select("doc_id", "v.*")
+    kinds = [("doc_id", pa.int64()), *((c, pa.int64()) for c in _FIGURES), *((c, pa.bool_()) for c in _VERDICTS), ("clean_text", pa.string())]
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            found = [judge_text(t) for t in b["text"]]
+            yield {"doc_id": b["doc_id"], **{c: [x[c] for x in found] for c, _ in kinds[1:]}}
+
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in _FIGURES) + ", base_failed boolean, kept boolean, clean_text string"
+    return map_rows(docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text")), run, schema, pa.schema(kinds))
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """The documents that stay, their failing lines removed; the columns are those of ``docs``, ``n_chars`` following the text."""
-    judged = docs.withColumn("__v", _verdict(F.col("text"))).where("__v.kept").withColumn("text", F.col("__v.clean_text"))
-    if "n_chars" in docs.columns:
-        judged = judged.withColumn("n_chars", F.length("text").cast("long"))
-    return judged.select(*[F.col(f"`{c}`") for c in docs.columns])
+    texts = docs.withColumn("text", F.col("text").cast("string"))
+    index = docs.columns.index("text")
+
+    def run(arrays: list[pa.Array]) -> list[pa.Array]:
+        found = [judge_text(t) for t in arrays[index].to_pylist()]
+        stay = pa.array([i for i, x in enumerate(found) if x["kept"]], pa.int64())
+        columns = [c.take(stay) for c in arrays]
+        columns[index] = pa.array([x["clean_text"] for x in found if x["kept"]], pa.string())
+        return columns
+
+    return with_length(map_columns(texts, run, texts.schema), docs)
 
 
 def op8_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:

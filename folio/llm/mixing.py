@@ -8,7 +8,8 @@ by the target. All copies are ordered by that time and taken until the next woul
 
 Running sums are taken in two steps, by hash bucket and then inside a bucket, so that a source with a third of all rows
 is spread over 4,096 groups; the cut is found in sums by ranges of virtual time, narrowed twice. Null text has size 0.
-Rows of one doc_id, size and source are interchangeable. Empty tables and all-empty sources get target 0 and give
+Rows of one doc_id, size and source stand in the order of a hash of their text; equal rows are interchangeable. Texts may
+have any length. Empty tables and all-empty sources get target 0 and give
 nothing. Other columns are carried and clashing names are safe, as working columns begin with ``__``.
 """
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import WORD_PATTERN, keep, table
+from folio.llm.common import WORD_PATTERN, keep, named, table
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -33,6 +34,7 @@ def _sized(docs: DataFrame) -> DataFrame:
         docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long"))
         .withColumn("__key", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("t")))
         .withColumn("__order", order)
+        .withColumn("__text", F.xxhash64(F.col("text").cast("string")))
         .withColumn("__bucket", F.substring("__order", 1, 3))
     )
 
@@ -60,7 +62,7 @@ def _targets(fill: DataFrame) -> DataFrame:
 
 def _placed(docs: DataFrame, offsets: DataFrame) -> DataFrame:
     """Documents with __first and __second: the virtual finish times of their copies."""
-    inside = Window.partitionBy("__key", "__bucket").orderBy("__order", "doc_id", "__size")
+    inside = Window.partitionBy("__key", "__bucket").orderBy("__order", "doc_id", "__size", "__text")
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sized = _sized(docs).join(offsets, ["__key", "__bucket"])
     sized = sized.withColumn("__words_upto", F.col("__before") + F.sum("__size").over(inside))
@@ -118,7 +120,7 @@ def mix(docs: DataFrame) -> DataFrame:
         )
     taken = F.when(F.col("__first").isNull() | (F.col("__size") == 0), 0).otherwise(copies)
     extra = {"size": "__size", "source_size": "__source_size", "target": "__target", "finish_time": "__first"}
-    carried = [F.col(f"`{c}`") for c in docs.columns if c not in {*extra, "copies"}]
+    carried = [named(c) for c in docs.columns if c not in {*extra, "copies"}]
     return placed.select(*carried, *[F.col(v).alias(k) for k, v in extra.items()], taken.cast("int").alias("copies"))
 
 
@@ -127,7 +129,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     A document without words takes no room and stays once.
     """
-    found = mix(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    found = mix(docs.withColumn("__row", F.struct(*map(named, docs.columns))))
     times = F.greatest("copies", F.when(F.col("size") == 0, 1).otherwise(0))
     out = found.where(times > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), times)))
     first = F.col("finish_time")

@@ -10,7 +10,8 @@ rank among the pieces of its length; ranks are summed over ``SALTS`` groups a le
 pieces share is spread.
 
 Null text is empty: one piece that holds only the end token. Rows of one doc_id are packed each on its own, and rows
-equal in all columns are interchangeable. An empty table gives an empty result; other columns are ignored.
+equal in all columns are interchangeable. Texts may have any length. An empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -56,6 +57,24 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
+def token_ids(text: str | None, path: str) -> np.ndarray:
+    """A text's ids. Runs of white space too long for the rank tokenizer's pattern go to the tokenizers library, which gives the same ids."""
+    try:
+        return encoder(path).encode_to_numpy(text or "", allowed_special="all")
+    except ValueError:
+        return np.array(_library(path).encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+def _library(path: str):
+    """The same vocabulary in the tokenizers library: the .json file beside the rank file."""
+    path = path.removesuffix(".tiktoken") + ".json"
+    if path not in _ENCODERS:
+        from tokenizers import Tokenizer
+
+        _ENCODERS[path] = Tokenizer.from_file(path)
+    return _ENCODERS[path]
+
+
 def cut(n: int, capacity: int = CAPACITY) -> list[int]:
     """Piece lengths of a document of n tokens; the first may be shorter."""
     short = [n % capacity] if n % capacity else []
@@ -69,11 +88,10 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
     fields += [("ids", pa.list_(pa.int32()))] if with_ids else []
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        encode = encoder(vocabulary).encode_to_numpy
         for b in batches:
             out: dict = {k: [] for k, _ in fields}
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                ids = np.append(encode(text or "", allowed_special="all"), END).astype("<u4")
+                ids = np.append(token_ids(text, vocabulary), END).astype("<u4")
                 start = 0
                 for k, n in enumerate(cut(len(ids), capacity)):
                     part = ids[start : start + n]

@@ -8,7 +8,9 @@ built where its shard's fingerprints are shuffled to. A shard of more than ``CHU
 each pair of chunks is one group, so no group grows with the data.
 
 Null and word-less texts have fingerprint zero and link like any other. Repeated rows share everything. Only distinct
-fingerprints are linked; groups of exact copies cost one entry.
+fingerprints are linked; groups of exact copies cost one entry. Texts may have any length; an empty table gives an empty
+result. ``one_of_each`` carries all columns, whatever their names; of rows with one doc_id the one with the smaller hash of
+its text stays, of equal rows any.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import keep, map_rows, table
+from folio.llm.common import drop, keep, map_rows, named, table
 from folio.llm.components import components
 
 SHINGLE = 4
@@ -197,7 +199,9 @@ def link_fingerprints(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
         members.repartition(*key).sortWithinPartitions(*key, "fp"), run, "a long, b long",
         pa.schema([("a", pa.int64()), ("b", pa.int64())]),
     )
-    return links.distinct()
+    links = keep(links.distinct(), "links")
+    drop(shared, members)
+    return links
 
 
 def _signed(codes: list[int]) -> list[int]:
@@ -223,11 +227,11 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first"))
     stay = keep(first.select(F.col("first.doc_id").alias("__doc"), F.col("first.row").alias("__row")), "stay")
     twins = found.groupBy("doc_id", "row").agg(F.count("*").alias("n")).where("n > 1")
-    named = docs.withColumn("__doc", last).withColumn("__row", F.xxhash64(F.col("text").cast("string")))
-    out = named.join(stay, ["__doc", "__row"])
+    marked = docs.withColumn("__doc", last).withColumn("__row", F.xxhash64(F.col("text").cast("string")))
+    out = marked.join(stay, ["__doc", "__row"])
     if not twins.isEmpty():
         out = out.dropDuplicates(["__doc", "__row"])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*map(named, docs.columns))
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,13 @@ equal as a whole are settled by their smallest doc_id. For the others a suffix a
 shard, the contexts of one anchor in the order of their doc_ids: a document's context is streamed through the automaton
 of all smaller documents for its matching statistics, its maximal spans of at least ``WINDOW`` words are recorded, and
 only then, and only if it holds a new window, is the automaton extended by it. The shards hold the whole corpus
-together, which has no size bound, so they are not broadcast but meet their documents in the shuffle; a shard of more
-than ``CHUNK`` contexts is met as pairs of chunks, so no automaton grows with the data.
+together, which has no size bound, so they are not broadcast but meet their documents in the shuffle. No automaton grows
+with the data: an anchor with more than ``CHUNK`` differing contexts has its windows looked up one by one by their 128-bit
+digests, which spreads them over all tasks.
 
 Windows are judged on the input. Null text has no words; rows without a doc_id lose nothing and take nothing from
-others. Rows of one doc_id are the same document and take nothing from each other. Empty tables give empty results.
+others. Rows of one doc_id are the same document and take nothing from each other. Texts may have any length; empty tables
+give empty results. Other columns are carried; only ``spans``, ``n_words``, ``n_removed`` and ``kept`` are replaced.
 """
 
 from __future__ import annotations
@@ -22,11 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.anchors import in_chunks, keyed, merged, shared_contexts, with_spans, word_items
-from folio.llm.common import WORD_PATTERN, keep, map_rows, table
+from folio.llm.anchors import keyed, merged, shared_contexts, split_by_size, window_digests, with_spans, word_items
+from folio.llm.common import WORD_PATTERN, keep, map_columns, map_rows, named, table
 
 WINDOW = 50
 GRAM = 16
+#: Differing contexts of an anchor that meet in one automaton.
 CHUNK = 1024
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
@@ -116,9 +119,9 @@ def match_shard(contexts: list[tuple[int, tuple, list]], least: int) -> Iterator
         at = upto
 
 
-def duplicated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def duplicated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int | None = None) -> DataFrame:
     """(doc, row, a, b): word spans of ``anchors.keyed`` rows under windows that a smaller document holds too."""
-    rows = keyed(docs.where("doc_id IS NOT NULL"))
+    rows, group = keyed(docs.where("doc_id IS NOT NULL")), group or CHUNK
     contexts = shared_contexts(rows, word_items, window, gram)
     classes = keep(contexts.groupBy("hash", "digest").agg(F.min("doc").alias("least")), "classes")
     several = classes.groupBy("hash").agg(F.count("*").alias("of"), F.min("least").alias("low"))
@@ -128,11 +131,9 @@ def duplicated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         "doc", "row", F.col("first").alias("a"), (F.col("first") + F.col("windows") + window - 1).alias("b")
     )
     members = settled.where("doc = least").join(several, "hash")
-    spread = in_chunks(members.select("hash", "digest", "of", "doc", "row", "first", "windows"), CHUNK)
-    wanted = spread.groupBy("doc", "row").agg(F.collect_set(F.struct("hash", "i", "j", "first", "windows")).alias("want"))
-    asked = rows.join(wanted, ["doc", "row"])
-    key = ["hash", "i", "j"]
-    names = [*key, "doc", "row", "first", "words"]
+    grouped, common = split_by_size(members.select("hash", "of", "doc", "row", "first", "windows", F.lit(False).alias("known")), group)
+    asking = lambda m: rows.join(m.groupBy("doc", "row").agg(F.collect_set(F.struct("hash", "known", "first", "windows")).alias("want")), ["doc", "row"])
+    names = ["hash", "doc", "row", "first", "words"]
 
     def send(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
@@ -141,7 +142,7 @@ def duplicated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                 words = (text or "").encode().split()
                 for x in want:
                     held = b" ".join(words[x["first"] : x["first"] + x["windows"] + window - 1])
-                    for c, v in zip(names, (x["hash"], x["i"], x["j"], doc, row, x["first"], held), strict=True):
+                    for c, v in zip(names, (x["hash"], doc, row, x["first"], held), strict=True):
                         out[c].append(v)
             yield out
 
@@ -150,7 +151,7 @@ def duplicated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         now = None
         for b in batches:
             out: list = []
-            for *at, doc, row, first, words in zip(*(b[c] for c in names), strict=True):
+            for at, doc, row, first, words in zip(*(b[c] for c in names), strict=True):
                 if at != now:
                     out += match_shard(held, window)
                     held, now = [], at
@@ -164,44 +165,48 @@ def duplicated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
             "a": [p[2] + a for p, a, _ in found], "b": [p[2] + b for p, _, b in found],
         }
 
-    kinds = [("hash", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("doc", pa.int64()), ("row", pa.int64()), ("first", pa.int32()), ("words", pa.binary())]
-    sent = map_rows(asked, send, "hash long, i int, j int, doc long, row long, first int, words binary", pa.schema(kinds))
+    kinds = [("hash", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("first", pa.int32()), ("words", pa.binary())]
+    sent = map_rows(asking(grouped), send, "hash long, doc long, row long, first int, words binary", pa.schema(kinds))
     span = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
     differing = map_rows(
-        sent.repartition(*key).sortWithinPartitions(*key), match, "doc long, row long, a int, b int", span
+        sent.repartition("hash").sortWithinPartitions("hash"), match, "doc long, row long, a int, b int", span
     )
-    return alike.union(differing)
+    found = alike.union(differing)
+    if several.where(F.col("of") > group).isEmpty():
+        return found
+    windows = window_digests(asking(common), word_items, window)
+    least = windows.groupBy("key").agg(F.min("doc").alias("least"))
+    single = windows.join(least, "key").where("doc > least").select("doc", "row", "a", (F.col("a") + window).alias("b"))
+    return found.union(single)
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int | None = None) -> DataFrame:
     """``docs`` with spans, the removed word ranges (start, end), n_words, and kept, the words that stay, joined by one space."""
-    marked = with_spans(docs, duplicated_spans(docs, window, gram))
+    marked = with_spans(docs, duplicated_spans(docs, window, gram, group))
     given = docs.columns
     added = ("spans", "n_words", "n_removed", "kept")
     columns = [c for c in given if c not in added]
     index = given.index("text")
-    schema = docs.select(*columns).schema
+    schema = docs.select(*map(named, columns)).schema
     schema = schema.add("spans", SPANS).add("n_words", "long").add("n_removed", "long").add("kept", "string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for b in batches:
-            spans, total, removed, kept = [], [], [], []
-            found = b.column(b.num_columns - 1).to_pylist()
-            for text, own in zip(b.column(index).to_pylist(), found, strict=True):
-                words = (text or "").encode().split()
-                cut = merged([(x["a"], x["b"]) for x in own or ()])
-                edges = [0, *(x for s in cut for x in s), len(words)]
-                stay = [w for a, z in zip(edges[::2], edges[1::2], strict=True) for w in words[a:z]]
-                spans.append([{"start": a, "end": z} for a, z in cut])
-                total.append(len(words))
-                removed.append(len(words) - len(stay))
-                kept.append(b" ".join(stay).decode())
-            arrays = [b.column(i) for i, c in enumerate(given) if c in columns]
-            made = [pa.array(spans, span), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays([*arrays, *made], [*columns, *added])
-
-    return marked.mapInArrow(run, schema)
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(arrays: list[pa.Array]) -> list[pa.Array]:
+        spans, total, removed, kept = [], [], [], []
+        for text, own in zip(arrays[index].to_pylist(), arrays[-1].to_pylist(), strict=True):
+            words = (text or "").encode().split()
+            cut = merged([(x["a"], x["b"]) for x in own or ()])
+            edges = [0, *(x for s in cut for x in s), len(words)]
+            stay = [w for a, z in zip(edges[::2], edges[1::2], strict=True) for w in words[a:z]]
+            spans.append([{"start": a, "end": z} for a, z in cut])
+            total.append(len(words))
+            removed.append(len(words) - len(stay))
+            kept.append(b" ".join(stay).decode())
+        made = [pa.array(spans, span), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
+        return [*(x for x, c in zip(arrays, given, strict=False) if c in columns), *made]
+
+    return map_columns(marked, run, schema)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

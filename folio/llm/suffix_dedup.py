@@ -9,8 +9,12 @@ again. Beside the sorted suffixes stand the reversed texts before the anchors. A
 anchor repeats exactly if another suffix shares its first ``WINDOW`` - l bytes and another text before it its first l,
 both in one context: for few contexts each pair's common lengths tell, for many the blocks of both sorted orders do.
 
+No group grows with the data: an anchor with more than ``CHUNK`` differing contexts (a common passage in ever other
+surroundings) has its strings counted one by one by their 128-bit digests, which spreads them over all tasks.
+
 Strings are judged on the input. Null text is empty. Repeated rows are documents of their own, so all of their long
-texts repeat. Texts may have any length; groups of contexts are cut into pairs of chunks of ``CHUNK``.
+texts repeat; ties need no order, as all copies of a string go. Texts may have any length, empty tables give empty
+results, and other columns are carried; only ``spans`` and ``kept`` are replaced by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -20,31 +24,31 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.anchors import byte_items, in_chunks, keyed, merged, shared_contexts, with_spans
-from folio.llm.common import keep, map_rows, table
+from folio.llm.anchors import byte_items, keyed, merged, shared_contexts, split_by_size, window_digests, with_spans
+from folio.llm.common import keep, map_columns, map_rows, named, table, with_length
 
 WINDOW = 200
 GRAM = 64
+#: Differing contexts of an anchor that are sorted as one group.
 CHUNK = 16384
 #: Contexts of one exchanged bucket, about.
 BUCKET = 20_000
 #: Up to so many contexts of an anchor, pairs are looked at one by one.
 FEW = 24
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-#: Bytes of anchor and chunk pair at the head of each exchanged suffix.
-KEY_SIZE = 12
+#: Bytes of the anchor at the head of each exchanged suffix.
+KEY_SIZE = 8
 _ITEM = struct.Struct("<HHBqqqBB")  # common prefix, own bytes, known, doc, row, anchor's place in the document, windows, at
 
 
-def group_key(anchor: int, i: int, j: int) -> bytes:
-    return struct.pack(">qHH", anchor, i, j)
+def group_key(anchor: int) -> bytes:
+    return struct.pack(">q", anchor)
 
 
 def common_prefix(a: bytes, b: bytes, at: int = 0) -> int:
@@ -158,9 +162,9 @@ def repeated(group: list[tuple[int, bytes, bytes, tuple]], skip: int, window: in
             yield i, before, window - before
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int | None = None) -> DataFrame:
     """(doc, row, a, b): byte spans of ``anchors.keyed`` rows under strings of ``window`` bytes that start elsewhere too."""
-    rows = keyed(docs)
+    rows, group = keyed(docs), group or CHUNK
     contexts = shared_contexts(rows, byte_items, window, gram)
     first = F.min(F.struct("doc", "row", "first", "windows", "at")).alias("one")
     classes = keep(contexts.groupBy("hash", "digest").agg(F.count("*").alias("n"), first), "classes")
@@ -169,9 +173,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     several = keep(classes.groupBy("hash").agg(F.count("*").alias("of")).where("of > 1"), "several")
     buckets = 1 + (several.agg(F.sum("of")).first()[0] or 0) // BUCKET
     members = classes.join(several, "hash").select("hash", "digest", "of", (F.col("n") > 1).alias("known"), "one.*")
-    spread = in_chunks(members, CHUNK)
-    wanted = spread.groupBy("doc", "row").agg(F.collect_list(F.struct("hash", "i", "j", "known", "first", "windows", "at")).alias("want"))
-    asked = rows.join(wanted, ["doc", "row"])
+    grouped, common = split_by_size(members, group)
+    asking = lambda m: rows.join(m.groupBy("doc", "row").agg(F.collect_list(F.struct("hash", "known", "first", "windows", "at")).alias("want")), ["doc", "row"])
 
     def runs(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
@@ -179,7 +182,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
             for doc, row, text, want in zip(b["doc"], b["row"], b["text"], b["want"], strict=True):
                 data = (text or "").encode()
                 for x in want:
-                    key = group_key(x["hash"], x["i"], x["j"])
+                    key = group_key(x["hash"])
                     begin, anchor = x["first"], x["first"] + x["at"]
                     suffix = key + data[anchor : begin + x["windows"] + window - 1]
                     payload = (x["known"], doc, row, anchor, x["windows"], x["at"])
@@ -204,74 +207,85 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
 
     def found(held: list[bytes]) -> dict:
         out: dict = {"doc": [], "row": [], "a": [], "b": []}
-        group: list = []
+        alike: list = []
 
         def close() -> None:
             spans = defaultdict(list)
-            if len(group) > 1 and not all(g[3][0] for g in group):
-                for i, before, after in repeated(group, KEY_SIZE, window):
-                    if not group[i][3][0]:
-                        anchor = group[i][3][3]
+            if len(alike) > 1 and not all(g[3][0] for g in alike):
+                for i, before, after in repeated(alike, KEY_SIZE, window):
+                    if not alike[i][3][0]:
+                        anchor = alike[i][3][3]
                         spans[i].append((anchor - before, anchor + after))
             for i, own in spans.items():
                 for a, z in merged(own):
-                    for name, v in (("doc", group[i][3][1]), ("row", group[i][3][2]), ("a", a), ("b", z)):
+                    for name, v in (("doc", alike[i][3][1]), ("row", alike[i][3][2]), ("a", a), ("b", z)):
                         out[name].append(v)
-            group.clear()
+            alike.clear()
 
         for item in merge_runs(held):
             if item[0] < KEY_SIZE:
                 close()
-            group.append(item)
+            alike.append(item)
         close()
         return out
 
-    exchanged = map_rows(asked, runs, "bucket long, run binary", pa.schema([("bucket", pa.int64()), ("run", pa.binary())]))
+    exchanged = map_rows(asking(grouped), runs, "bucket long, run binary", pa.schema([("bucket", pa.int64()), ("run", pa.binary())]))
     span = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
     differing = map_rows(
         exchanged.repartition("bucket").sortWithinPartitions("bucket"), merge, "doc long, row long, a int, b int", span
     )
-    return alike.union(differing)
+    found_spans = alike.union(differing)
+    if several.where(F.col("of") > group).isEmpty():
+        return found_spans
+    windows = window_digests(asking(common), byte_items, window)
+    twice = windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    single = windows.join(twice, "key").where("NOT known").select("doc", "row", "a", (F.col("a") + window).alias("b"))
+    return found_spans.union(single)
+
 
+def cut_out(data: bytes, spans: list) -> tuple[list[tuple[int, int]], bytes]:
+    """The spans joined, and what the data holds outside them."""
+    cut = merged([(x["a"], x["b"]) for x in spans])
+    edges = [0, *(x for s in cut for x in s), len(data)]
+    return cut, b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``docs`` with spans, the removed byte ranges (start, end), and kept, the bytes that stay."""
-    marked = with_spans(docs, repeated_spans(docs, window, gram))
+
+def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int | None = None) -> DataFrame:
+    """``docs`` with spans, the removed byte ranges (start, end), and kept, the bytes that stay; both replace such columns."""
+    marked = with_spans(docs, repeated_spans(docs, window, gram, group))
     given = docs.columns
     columns = [c for c in given if c not in ("spans", "kept")]
     index = given.index("text")
-    schema = docs.select(*columns).schema
+    schema = docs.select(*map(named, columns)).schema.add("spans", SPANS).add("kept", "binary")
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for b in batches:
-            found = b.column(b.num_columns - 1).to_pylist()
-            spans, kept = [], []
-            for text, own in zip(b.column(index).to_pylist(), found, strict=True):
-                data = (text or "").encode()
-                cut = merged([(x["a"], x["b"]) for x in own or ()])
-                spans.append([{"start": a, "end": z} for a, z in cut])
-                edges = [0, *(x for s in cut for x in s), len(data)]
-                kept.append(b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)) if cut else data)
-            arrays = [b.column(i) for i, c in enumerate(given) if c in columns]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(spans, span), pa.array(kept, pa.binary())], [*columns, "spans", "kept"])
+    def run(arrays: list[pa.Array]) -> list[pa.Array]:
+        spans, kept = [], []
+        for text, own in zip(arrays[index].to_pylist(), arrays[-1].to_pylist(), strict=True):
+            cut, left = cut_out((text or "").encode(), own or ())
+            spans.append([{"start": a, "end": z} for a, z in cut])
+            kept.append(left)
+        return [*(x for x, c in zip(arrays, given, strict=False) if c in columns), pa.array(spans, span), pa.array(kept, pa.binary())]
 
-    return marked.mapInArrow(run, schema.add("spans", SPANS).add("kept", "binary"))
+    return map_columns(marked, run, schema)
 
 
 def cleaned_documents(docs: DataFrame) -> DataFrame:
-    """All documents with the repeated bytes out of their texts; characters cut in two go too. n_chars follows the text."""
-    slim = deduplicate(docs.withColumn("text", F.col("text").cast("string")))
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(_decoded(F.col("kept")))
-    out = slim.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
-
-
-@F.pandas_udf(T.StringType())
-def _decoded(kept: pd.Series) -> pd.Series:
-    return kept.map(lambda b: b.decode("utf-8", "ignore"))
+    """All documents with the repeated bytes out of their texts; characters cut in two go too. n_chars follows the text.
+
+    All columns are those of ``docs``, whatever their names; texts that lose nothing stay as they are, null ones too.
+    """
+    typed = docs.withColumn("text", F.col("text").cast("string"))
+    index = docs.columns.index("text")
+
+    def run(arrays: list[pa.Array]) -> list[pa.Array]:
+        *columns, found = arrays
+        if found.null_count < len(found):
+            pairs = zip(columns[index].to_pylist(), found.to_pylist(), strict=True)
+            columns[index] = pa.array([cut_out(t.encode(), own)[1].decode("utf-8", "ignore") if own else t for t, own in pairs], pa.string())
+        return columns
+
+    return with_length(map_columns(with_spans(typed, repeated_spans(typed)), run, typed.schema), docs)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

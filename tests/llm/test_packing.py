@@ -87,3 +87,18 @@ def test_documents_are_packed_whole(spark):
     ids = P.token_pieces(docs).where("doc_id = 45").first()
     assert ids.ids == [*tokenizer.encode(texts[45], add_special_tokens=False).ids, 2]
     assert P.pack_documents(docs.where("false")).collect() == []
+
+
+def test_ids_of_very_long_texts_equal_the_library():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    for text in (" " * 1_000_000, "a " + "\n" * 1_200_000 + "b", "ab " * 700_000, "!" * 300_000, " \t" * 600_000 + "x", "é" * 200_000):
+        assert P.token_ids(text, P.default_vocabulary()).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_a_very_long_text_is_packed_whole(spark):
+    docs = spark.createDataFrame([(1, " " * 1_000_000), (2, "x")], "doc_id long, text string")
+    got = P.pack_documents(docs).where("doc_id = 1").collect()
+    assert sum(r.length for r in got) == 1_000_001 and max(r.length for r in got) == 1024

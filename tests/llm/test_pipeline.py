@@ -59,3 +59,31 @@ def test_empty_documents_pass_through(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.keep(stage(spark, docs, SF), "empty")
         assert docs.count() == 0
+
+
+def test_stages_take_nulls_ties_long_texts_and_other_columns(spark):
+    def prose(k, n=80):
+        return "\n".join(" ".join(f"w{k}x{i}y{j}" for j in range(10)) + "." for i in range(n // 10))
+
+    long = prose(7, 60_000)
+    rows = [
+        (1, prose(1), "en", "a", 5, "k1", 1.5), (2, prose(1), "en", "a", 5, "k2", None), (2, prose(1), "en", "a", 5, "k2", None), (3, None, None, None, None, None, None),
+        (4, "", "en", "b", 0, "", 0.0), (5, prose(5), None, None, None, None, 2.5), (None, prose(6), "de", "b", 9, "k6", None), (7, long, "fr", "a", 1, "k7", 7.5),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, `a.b` double")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.keep(stage(spark, docs, SF), name)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "kept", "a.b"]
+        got = {(r.doc_id, r.text, r.kept, r["a.b"]) for r in docs.collect()}
+        want = {(1, prose(1), "k1", 1.5), (5, prose(5), None, 2.5), (None, prose(6), "k6", None), (7, long, "k7", 7.5)}
+        assert got == want | {(2, prose(1), "k2", None)} if name == "quality_rules" else got <= want and (got == want or name == "source_mix")
+    packed = corpus_pipeline.sequences(spark, docs, SF).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
+
+
+def test_run_deletes_what_its_stages_kept(spark):
+    mark = corpus_pipeline.kept_tables()
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    from folio.llm.common import _KEPT
+
+    assert not [x for x in _KEPT[mark:] if any(n in x._kept_at for n in ("quality_rules", "near_duplicates", "fingerprints", "contexts"))]

@@ -92,3 +92,12 @@ def test_windows_of_covered_documents_match_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed, r.kept) for r in S.deduplicate(docs, 8, 4).collect())
     assert got == brute(rows, 8)
+
+
+def test_a_very_long_text_and_other_columns(spark):
+    words = [f"w{i}" for i in range(150_000)]
+    rows = [(1, " ".join(words), "mine", 1), (2, "a " + " ".join(words[90_000:90_070]) + " b", None, 2), (3, None, "x", 3)]
+    out = S.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, kept int"))
+    assert out.columns == ["doc_id", "text", "a.b", "spans", "n_words", "n_removed", "kept"]
+    got = {r.doc_id: (r.n_words, r.n_removed, r["a.b"]) for r in out.collect()}
+    assert got == {1: (150_000, 0, "mine"), 2: (72, 70, None), 3: (0, 0, "x")}

@@ -103,3 +103,23 @@ def test_pairs_and_blocks_agree():
                 own[i].append((-before, after))
             spans.append([A.merged(x) for x in own])
         assert spans[0] == spans[1]
+
+
+def test_columns_of_any_name_are_carried(spark):
+    long = "x1 y2 z3 " * 40
+    rows = [(1, long, "mine", 1.5, "dot", None), (2, "b" + long, "yours", None, None, 7), (3, None, "k", 2.5, "", 1)]
+    schema = "doc_id long, text string, kept string, spans double, `a.b` string, n_chars int"
+    out = S.cleaned_documents(spark.createDataFrame(rows, schema))
+    assert out.columns == ["doc_id", "text", "kept", "spans", "a.b", "n_chars"]
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == [(1, "", "mine", 1.5, "dot", 0), (2, "b", "yours", None, None, 1), (3, None, "k", 2.5, "", None)]
+    again = S.deduplicate(spark.createDataFrame(rows, schema)).collect()
+    assert {(r.doc_id, bytes(r.kept), r["a.b"]) for r in again} == {(1, b"", "dot"), (2, b"b", None), (3, b"", "")}
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(5)
+    body = "".join(rng.choice("abcdefgh ") for _ in range(1_300_000))
+    docs = spark.createDataFrame([(1, body), (2, "zz" + body[700_000:700_300] + "zz")], "doc_id long, text string")
+    got = {r.doc_id: (len(r.kept), [(s.start, s.end) for s in r.spans]) for r in S.deduplicate(docs).collect()}
+    assert got == {1: (1_299_700, [(700_000, 700_300)]), 2: (4, [(2, 302)])}
