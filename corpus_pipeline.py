@@ -1,6 +1,10 @@
 """A training-data pipeline over ``documents``: five stages, each an operator of ``folio.llm`` on what the one before kept.
 
-Every stage is written as Parquet to the shared folder and read again, so a lost executor costs one stage at most.
+Every stage is written as Parquet to the shared folder and read again, so a lost executor costs one stage at most; what a
+stage kept for itself is deleted after it. All but the last stage return the columns of ``documents``, extra ones too,
+whatever their names. Null and empty texts have no words and go at the first stage, as do texts of under 50 words; repeated
+rows and rows of one doc_id meet in the second, where one stays; ties fall to the smaller doc_id. Texts may have any
+length. Empty tables pass through all stages.
 """
 
 from __future__ import annotations
@@ -8,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm import line_cleaning, mixing, packing, simhash_dedup, suffix_dedup
-from folio.llm.common import keep, table
+from folio.llm.common import drop, drop_since, keep, kept_tables, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +55,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
+        mark = kept_tables()
         docs = keep(stage(spark, docs, sf_dir), name)
+        drop_since(mark, docs)
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
