@@ -33,6 +33,14 @@ def downscale(image: np.ndarray, longest: int) -> np.ndarray:
     return image[: h * step, : w * step].reshape(h, step, w, step, *image.shape[2:]).mean(axis=(1, 3)).astype(image.dtype)
 
 
+def square(pixels: list[int]) -> np.ndarray:
+    """A square gray frame from its pixels; what is missing to a square is black."""
+    side = int(np.ceil(np.sqrt(len(pixels))))
+    out = np.zeros(side * side, np.uint8)
+    out[: len(pixels)] = pixels
+    return out.reshape(side, side)
+
+
 def mean_difference(a: np.ndarray, b: np.ndarray) -> float:
     if not a.size or a.shape != b.shape:
         return 0.0

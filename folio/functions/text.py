@@ -139,9 +139,37 @@ def restore_markers(text: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """A sort key under which 9 stands before 10: each run of digits gets its length in front."""
-    padded = F.regexp_replace(F.lower(name), r"([0-9]+)", "0000000000000000000$1")
-    return F.regexp_replace(padded, r"[0-9]*([0-9]{19})", "$1")
+    """A sort key under which 9 stands before 10: runs of digits as nineteen, longer ones behind them by length and value."""
+
+    def part(token: Column) -> Column:
+        digits = F.regexp_replace(token, "^0+(?=[0-9])", "")
+        length = F.length(digits)
+        long = F.concat(F.lit(":"), F.lpad(length.cast("string"), 9, "0"), digits)
+        return F.when(~F.regexp_like(token, F.lit("^[0-9]")), token).when(length <= 19, F.lpad(digits, 19, "0")).otherwise(long)
+
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(name), F.lit("[0-9]+|[^0-9]+"), F.lit(0)), part), "")
+
+
+def short_camera_name(name: Column, megapixels: Column, prefixes: tuple[str, ...] = ("Kamera von ", "Camera of "), wrapped: Column | None = None) -> Column:
+    """A camera's name without what its system puts before the device's, and its megapixels; ``wrapped`` takes the place of the bare device name.
+
+    ``wrapped`` is a format with one %s, null where the device name stands alone.
+    """
+    bare = F.lit(None).cast("string")
+    for p in reversed(prefixes):
+        bare = F.when(F.startswith(name, F.lit(p)), F.trim(F.substring(name, F.lit(len(p) + 1), F.length(name)), F.lit('„“" '))).otherwise(bare)
+    if wrapped is not None:
+        bare = F.coalesce(F.replace(wrapped, F.lit("%s"), bare), bare)
+    return F.concat(F.coalesce(bare, name), F.lit(" · "), F.format_string("%.1f MP", megapixels.cast("double")))
+
+
+def issue_text(kind: Column, first: Column, last: Column) -> Column:
+    """An issue of the page sequence in words."""
+    span = F.when(first == last, F.concat(F.lit("page "), first.cast("string"))).otherwise(F.concat(F.lit("pages "), first.cast("string"), F.lit("–"), last.cast("string")))
+    return (
+        F.when(kind == "missing", F.concat(span, F.lit(" missing"))).when(kind == "duplicate", F.concat(F.lit("duplicate of scan "), first.cast("string")))
+        .when(kind == "outOfOrder", F.concat(F.lit("out of order after page "), first.cast("string")))
+    )
 
 
 def display_name(title: Column, directory: Column) -> Column:

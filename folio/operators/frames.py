@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.functions.images import changed_share, gutter_fraction
+from folio.functions.images import changed_share, gutter_fraction, motion_level, square
+from folio.functions.text import snapshot_words
+from folio.operators.similarity import new_pages
 from folio.schema import Motion
 from folio.sources.tables import table
-from folio.streaming.motion import step
 
 
 def mean_difference(a: Column, b: Column) -> Column:
@@ -26,25 +26,38 @@ def level_of_small_frames(a: Column, b: Column, quantile: float = Motion.quantil
     return F.get(apart, F.least(F.size(apart) - 1, F.floor(F.size(apart) * (1 - quantile)).cast("int")))
 
 
-def fired(levels: DataFrame, rule: Motion) -> DataFrame:
-    """(stream, event_id, seconds) where a stream settled, from (stream, event_id, seconds, level): a fold in time order."""
-
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        state, since = "idle", None
-        out = []
-        for event, seconds, level in rows.sort_values(["seconds", "event_id"])[["event_id", "seconds", "level"]].itertuples(index=False):
-            state, since, fires = step(state, since, seconds, level, rule)
-            if fires:
-                out.append((key[0], event, seconds))
-        return pd.DataFrame(out, columns=["stream", "event_id", "seconds"])
-
-    return levels.groupBy("stream").applyInPandas(fold, "stream long, event_id long, seconds long")
+def fired(levels: DataFrame, rule: Motion, chunk_seconds: int = 86_400) -> DataFrame:
+    """(stream, event_id, seconds) where a stream settled, from (stream, event_id, seconds, level), in order of time.
+
+    A movement opens an episode, and any frame that is not still opens a run; an episode's page settles at the first frame
+    that is still ``settle_seconds`` after the first still frame of its run. Movements and runs are counted within chunks
+    of time and then over the chunks, so a stream may hold any share of the rows.
+    """
+    chunk = F.floor(F.col("seconds") / chunk_seconds).cast("long")
+    marked = levels.select("stream", "event_id", "seconds", (F.col("level") > rule.moving).cast("long").alias("moves"), (F.col("level") > rule.still).cast("long").alias("stirs"), chunk.alias("chunk"))
+    inside = Window.partitionBy("stream", "chunk").orderBy("seconds", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("stream").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = marked.groupBy("stream", "chunk").agg(F.sum("moves").alias("m"), F.sum("stirs").alias("s"))
+    sums = sums.select("stream", "chunk", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("m"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s"))
+    counted = marked.withColumn("episode", F.sum("moves").over(inside)).withColumn("run", F.sum("stirs").over(inside)).join(sums, ["stream", "chunk"])
+    frame = F.struct("seconds", "event_id")
+    still = counted.select("stream", (F.col("episode") + F.col("m")).alias("episode"), (F.col("run") + F.col("s")).alias("run"), "stirs", frame.alias("frame"))
+    still = still.where("stirs = 0 AND episode > 0")
+    began = still.groupBy("stream", "run").agg(F.min("frame").alias("start"))
+    over = (F.col("frame") > F.col("start")) & (F.col("frame.seconds") - F.col("start.seconds") >= rule.settle_seconds)
+    settled = still.join(began, ["stream", "run"]).where(over).groupBy("stream", "episode").agg(F.min("frame").alias("frame"))
+    return settled.select("stream", "frame.event_id", "frame.seconds")
+
+
+def _gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as 8 by 8 gray frames."""
+    pixel = F.transform("embedding", lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((v.cast("double") + 0.5) * 255).cast("int"))))
+    return table(spark, sf_dir, "embeddings").select("vec_id", pixel.alias("pixels"))
 
 
 def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as 8 by 8 gray frames with the frame before."""
-    pixel = F.transform("embedding", lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((v.cast("double") + 0.5) * 255).cast("int"))))
-    frames = table(spark, sf_dir, "embeddings").select("vec_id", pixel.alias("pixels"))
+    """The small frames with the frame before."""
+    frames = _gray(spark, sf_dir)
     before = frames.select((F.col("vec_id") + 1).alias("vec_id"), F.col("pixels").alias("before"))
     return frames.join(before, "vec_id")
 
@@ -64,21 +77,32 @@ def c9_motion_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _large_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixteen embeddings each as a frame of 32 by 32 pixels."""
-    frames = _pixels(spark, sf_dir).withColumn("frame", F.expr("vec_id div 16"))
+    """Sixteen embeddings each as a frame of 32 by 32 pixels; the last one may be filled up with black."""
+    frames = _gray(spark, sf_dir).withColumn("frame", F.expr("vec_id div 16"))
     packed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "pixels"))), lambda x: x["pixels"]))
-    return frames.groupBy("frame").agg(packed.alias("pixels")).where("size(pixels) = 1024")
+    return frames.groupBy("frame").agg(packed.alias("p")).select("frame", F.concat("p", F.array_repeat(F.lit(0), F.greatest(1024 - F.size("p"), F.lit(0)))).alias("pixels"))
 
 
 @F.pandas_udf(T.DoubleType())
 def _changed(a: pd.Series, b: pd.Series) -> pd.Series:
-    square = lambda x: np.asarray(x, np.uint8).reshape(32, 32)
     return pd.Series([changed_share(square(x), square(y)) for x, y in zip(a, b, strict=True)])
 
 
 @F.pandas_udf(T.DoubleType())
 def _gutter(a: pd.Series) -> pd.Series:
-    return a.map(lambda x: gutter_fraction(np.asarray(x, np.uint8).reshape(32, 32), 0.35, 0.65, 10.0))
+    return a.map(lambda x: gutter_fraction(square(x), 0.35, 0.65, 10.0))
+
+
+@F.pandas_udf(T.DoubleType())
+def _level(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([motion_level(square(x), square(y)) for x, y in zip(a, b, strict=True)])
+
+
+def a14_motion_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The motion level of each large frame against the one before, over tiles of two by two pixels."""
+    frames = _large_frames(spark, sf_dir)
+    before = frames.select((F.col("frame") + 1).alias("frame"), F.col("pixels").alias("before"))
+    return frames.join(before, "frame").select("frame", _level("before", "pixels").alias("motion_level"))
 
 
 def a16_changed_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +112,13 @@ def a16_changed_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.join(before, "frame").select("frame", _changed("before", "pixels").alias("changed_share"), F.coalesce(_gutter("pixels"), F.lit(-1.0)).alias("gutter"))
 
 
+def t6_page_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which frames show a new page: eight in a row are a stream, the words are those of the document of the frame's number."""
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("frame"), snapshot_words(F.coalesce("text", F.lit(""))).alias("words"))
+    frames = _large_frames(spark, sf_dir).join(words, "frame", "left")
+    return new_pages(frames.select(F.expr("frame div 8").alias("book"), F.expr("cast(frame % 8 as int)").alias("page_no"), "words", "pixels"))
+
+
 def t1_sampled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every eighth event of each stream, as frames are sampled, with its number from 1."""
     place = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -95,11 +126,17 @@ def t1_sampled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("frame_no % 8 = 0").select("user_id", "event_id", "frame_no")
 
 
-QUERIES = {"a15_frame_difference": a15_frame_difference, "a16_changed_tiles": a16_changed_tiles, "c9_motion_trigger": c9_motion_trigger, "t1_sampled_events": t1_sampled_events}
+QUERIES = {"a14_motion_levels": a14_motion_levels, "a15_frame_difference": a15_frame_difference, "a16_changed_tiles": a16_changed_tiles, "c9_motion_trigger": c9_motion_trigger, "t6_page_turns": t6_page_turns, "t1_sampled_events": t1_sampled_events}
 SQL = {
     "a15_frame_difference": """WITH f AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(least(255, greatest(0, floor((CAST(v AS DOUBLE) + 0.5) * 255))) AS INT)) AS p FROM embeddings),
 d AS (SELECT a.vec_id, list_transform(range(1, len(a.p) + 1), lambda i: abs(a.p[i] - b.p[i])) AS d FROM f a JOIN f b ON a.vec_id = b.vec_id + 1)
 SELECT vec_id, list_sum(d) / len(d) AS difference, CAST(list_sort(d)[least(len(d) - 1, CAST(floor(len(d) * 0.75) AS INT)) + 1] AS BIGINT) AS motion_level FROM d""",
+    "a14_motion_levels": """WITH p AS (SELECT vec_id // 16 AS frame, row_number() OVER (PARTITION BY vec_id // 16 ORDER BY vec_id, i) - 1 AS at,
+CAST(least(255, greatest(0, floor((CAST(v AS DOUBLE) + 0.5) * 255))) AS INT) AS v FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings)),
+g AS (SELECT DISTINCT p.frame, x.at FROM p, (SELECT unnest(range(1024)) AS at) x),
+f AS (SELECT g.frame, g.at, p.v FROM g LEFT JOIN p ON p.frame = g.frame AND p.at = g.at),
+d AS (SELECT b.frame, b.at // 64 * 16 + b.at % 32 // 2 AS tile, sum(abs(coalesce(a.v, 0) - coalesce(b.v, 0))) / 4 AS d FROM f a JOIN f b ON b.frame = a.frame + 1 AND a.at = b.at GROUP BY ALL)
+SELECT frame, list_sort(list(d))[193] AS motion_level FROM d GROUP BY frame""",
     "c9_motion_trigger": """WITH RECURSIVE e AS (SELECT user_id AS stream, event_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS s, value AS v,
 row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch_us(ts) / 1000000) AS BIGINT), event_id) AS i FROM events),
 r AS (SELECT stream, event_id, s, i, CASE WHEN v > 60 THEN 'moving' ELSE 'idle' END AS st, CAST(NULL AS BIGINT) AS since, false AS fires FROM e WHERE i = 1

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folio.functions.arrays import each_row, gathered
 from folio.sources.tables import LINES_SQL, lines, table
 
 
@@ -33,13 +36,14 @@ def reading_order(boxes: list[tuple[float, float, float, float]]) -> list[int]:
 def in_reading_order(rows: DataFrame) -> DataFrame:
     """(book, page_no, line_no, place): a fold over each page's lines with x, y, w, h, from their line_no on ties."""
 
-    def order(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("line_no")
-        found = reading_order(list(zip(page["x"], page["y"], page["w"], page["h"], strict=True)))
-        numbers = page["line_no"].tolist()
-        return pd.DataFrame({"book": key[0], "page_no": key[1], "line_no": [numbers[i] for i in found], "place": range(len(found))})
+    def order(row: dict) -> Iterator[tuple]:
+        page = row["members"]
+        for place, i in enumerate(reading_order([(b["x"], b["y"], b["w"], b["h"]) for b in page])):
+            yield row["book"], row["page_no"], page[i]["line_no"], place
 
-    return rows.groupBy("book", "page_no").applyInPandas(order, "book long, page_no int, line_no int, place int")
+    kinds = [("book", pa.int64()), ("page_no", pa.int32()), ("line_no", pa.int32()), ("place", pa.int32())]
+    pages = gathered(rows, ["book", "page_no"], "line_no", "x", "y", "w", "h")
+    return each_row(pages, order, "book long, page_no int, line_no int, place int", pa.schema(kinds))
 
 
 def quadrant(angle: Column) -> Column:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,5 +93,34 @@ def c8_joined_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("book", "page_no", joined(F.col("texts")).alias("text"))
 
 
-QUERIES = {"c8_joined_pages": c8_joined_pages}
-SQL = {"c8_joined_pages": f"WITH {LINES_SQL} SELECT book, page_no, string_agg(text, ' ' ORDER BY line_no) AS text FROM lines GROUP BY ALL"}
+#: Words of the query below; the hyphens it resolves stand at line ends, where listed words alone keep a compound apart.
+LISTED = frozenset(CONJUNCTIONS)
+
+
+def hyphenated_lines(rows: DataFrame) -> DataFrame:
+    """The lines with a long last word of small letters broken after three of them, its rest at the head of the next line."""
+    page = Window.partitionBy("book", "page_no").orderBy("line_no")
+    end = F.regexp_extract("text", r"(?:^|\s)(\p{Ll}{6,})$", 1)
+    rest = F.substring(end, F.lit(4), F.length(end))
+    broken = (end != "") & F.lead("line_no").over(page).isNotNull() & ~rest.isin(*CONJUNCTIONS)
+    rows = rows.withColumn("rest", F.when(broken, rest))
+    cut = F.when(F.col("rest").isNotNull(), F.concat(F.substring("text", F.lit(1), F.length("text") - F.length("rest")), F.lit("-"))).otherwise(F.col("text"))
+    before = F.lag("rest").over(page)
+    return rows.select("book", "page_no", "line_no", F.concat_ws(" ", before, cut).alias("text"))
+
+
+def x5_dehyphenated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose lines were broken inside words, as running text by a word list: each word is whole again."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"])
+    pages = hyphenated_lines(lines(spark, sf_dir)).groupBy("book", "page_no").agg(ordered.alias("texts"))
+    broken = F.size(F.filter("texts", lambda t: F.endswith(t, F.lit("-")))).cast("long")
+    return pages.select("book", "page_no", joined(F.col("texts"), LISTED).alias("text"), broken.alias("broken"))
+
+
+QUERIES = {"c8_joined_pages": c8_joined_pages, "x5_dehyphenated": x5_dehyphenated}
+SQL = {
+    "c8_joined_pages": f"WITH {LINES_SQL} SELECT book, page_no, string_agg(text, ' ' ORDER BY line_no) AS text FROM lines GROUP BY ALL",
+    "x5_dehyphenated": rf"""WITH {LINES_SQL}, e AS (SELECT *, regexp_extract(text, '(?:^|\s)(\p{{Ll}}{{6,}})$', 1) AS word, lead(line_no) OVER (PARTITION BY book, page_no ORDER BY line_no) AS after FROM lines)
+SELECT book, page_no, string_agg(text, ' ' ORDER BY line_no) AS text,
+count(*) FILTER (WHERE right(text, 1) = '-' OR word <> '' AND after IS NOT NULL AND word[4:] NOT IN ({", ".join(f"'{c}'" for c in CONJUNCTIONS)})) AS broken FROM e GROUP BY ALL""",
+}

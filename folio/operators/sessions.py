@@ -78,15 +78,6 @@ def directory_for(stamp: Column, title: Column) -> Column:
     return F.when(F.length(safe) > 0, F.concat(stamp, F.lit(" "), safe)).otherwise(stamp)
 
 
-def issue_text(kind: Column, first: Column, last: Column) -> Column:
-    """An issue of the page sequence in words."""
-    span = F.when(first == last, F.concat(F.lit("page "), first.cast("string"))).otherwise(F.concat(F.lit("pages "), first.cast("string"), F.lit("–"), last.cast("string")))
-    return (
-        F.when(kind == "missing", F.concat(span, F.lit(" missing"))).when(kind == "duplicate", F.concat(F.lit("duplicate of scan "), first.cast("string")))
-        .when(kind == "outOfOrder", F.concat(F.lit("out of order after page "), first.cast("string")))
-    )
-
-
 def ordered_pages(sessions: DataFrame, pages: DataFrame) -> DataFrame:
     """(session, position from 1, page ..): pages in the session's order; unknown ids are skipped."""
     places = sessions.select("session", F.posexplode("page_order").alias("at", "page"))
@@ -189,6 +180,13 @@ def s14_best_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_formats(formats).select("device", *[F.col(c).cast("long").alias(c) for c in ("width", "height", "pixels")])
 
 
+def x23_camera_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as cameras, named in four ways."""
+    name = F.expr("""concat(element_at(array('Camera of "', 'Kamera von „', 'Camera at ', ''), cast(p_partkey % 4 + 1 as int)), p_brand, IF(p_partkey % 4 < 2, '"', ''))""")
+    wrapped = F.expr("IF(p_partkey % 3 = 0, 'Desk (%s)', NULL)")
+    return table(spark, sf_dir, "part").select("p_partkey", X.short_camera_name(name, F.col("p_size") / 10, wrapped=wrapped).alias("camera"))
+
+
 def s21_export_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Export file names: a safe title, or the time stamp where the title is empty; directory and ISO stamps beside."""
     at = F.col("o_orderdate").cast("timestamp")
@@ -204,7 +202,7 @@ def s21_export_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "u3_set_order": u3_set_order, "m_edits": m_edits, "j1_ordered_pages": j1_ordered_pages, "j2_page_texts": j2_page_texts,
-    "a6_session_rollup": a6_session_rollup, "a7_library_total": a7_library_total, "s14_best_formats": s14_best_formats, "s21_export_names": s21_export_names,
+    "a6_session_rollup": a6_session_rollup, "a7_library_total": a7_library_total, "s14_best_formats": s14_best_formats, "x23_camera_names": x23_camera_names, "s21_export_names": s21_export_names,
 }
 _SESSIONS = f"{LINES_SQL}, ss AS (SELECT book AS session, list_transform(range(0, max(page_no) + 1), lambda i: 'p' || i) AS o FROM lines GROUP BY book)"
 _ROLLUP = f"""f AS (SELECT page_id % 40 AS session, {_PATH} AS path, strlen(html) AS bytes FROM pages),
@@ -226,6 +224,8 @@ SELECT session, row_number() OVER (PARTITION BY session ORDER BY page_no DESC) A
     "s14_best_formats": """WITH f AS (SELECT p_brand AS device, p_size * 16 + p_partkey % 7 AS width, p_size * 9 AS height FROM part WHERE p_partkey % 30 >= 10),
 b AS (SELECT device, arg_max(width, (width * height, width, height)) AS width, arg_max(height, (width * height, width, height)) AS height FROM f GROUP BY device)
 SELECT device, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height, CAST(width * height AS BIGINT) AS pixels FROM b""",
+    "x23_camera_names": """SELECT p_partkey, CASE WHEN p_partkey % 4 < 2 THEN CASE WHEN p_partkey % 3 = 0 THEN 'Desk (' || p_brand || ')' ELSE p_brand END
+WHEN p_partkey % 4 = 2 THEN 'Camera at ' || p_brand ELSE p_brand END || ' · ' || printf('%.1f MP', p_size / 10) AS camera FROM part""",
     "s21_export_names": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Buchscan ' || strftime(o_orderdate, '%Y-%m-%d %H-%M') ELSE
 trim(left(trim(regexp_replace(replace(o_orderpriority || ': No. ', ':', ' '), '\\s+', ' ', 'g')), 80), '. ') END || '.pdf' AS file,
 strftime(o_orderdate, '%Y-%m-%d %H-%M-%S') AS directory, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') AS iso, true AS round_trip FROM orders""",

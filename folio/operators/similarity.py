@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import TOC_HEADINGS, normalized, snapshot_words, without_toc_numbers
-from folio.operators.predicates import _ENDS, _STARTS, list_pages
+from folio.functions.arrays import each_row, gathered, let
+from folio.functions.images import changed_share, square
+from folio.functions.text import TOC_HEADINGS, ends_with_number, normalized, snapshot_words, starts_with_number, without_toc_numbers
+from folio.operators.predicates import _ENDS, _STARTS
 from folio.schema import Duplicate, SamePage
 from folio.sources.tables import LINES_SQL, lines
 
@@ -36,23 +40,32 @@ def near_pages(keys: DataFrame, rule: Duplicate = Duplicate()) -> DataFrame:
     return spread.join(other, ["book", "earlier"]).select("book", "page_no", "earlier", jaccard(F.col("keys"), F.col("before")).alias("similarity"))
 
 
+_KEPT = "array<struct<page_no: int, keys: array<string>>>"
+_TWINS = "array<struct<page_no: int, of: int>>"
+
+
 def duplicate_pages(keys: DataFrame, rule: Duplicate = Duplicate()) -> DataFrame:
-    """(book, page_no, of): pages like one of the last three kept ones; a duplicate is not kept, so this is a fold."""
+    """(book, page_no, of): pages like one of the last three kept ones; a duplicate is not kept, so this is a fold.
+
+    The fold runs in the JVM over a book's pages as one array.
+    """
+
+    def after(state: Column, page: Column) -> Column:
+        like = lambda o: F.size(F.array_intersect(o["keys"], page["keys"])) >= rule.share * F.size(F.array_union(o["keys"], page["keys"]))
+        twin = F.when(F.size(page["keys"]) >= rule.least_keys, F.get(F.filter(state["kept"], like), F.lit(0))["page_no"])
+
+        def outcome(twin: Column) -> Column:
+            more = F.concat(state["kept"], F.array(page)).cast(_KEPT)
+            kept = F.when(twin.isNotNull(), state["kept"]).otherwise(F.slice(more, -F.least(F.size(more), F.lit(rule.window)), rule.window))
+            twins = F.concat(state["twins"], F.array(F.struct(page["page_no"].alias("page_no"), twin.alias("of"))))
+            return F.struct(kept.alias("kept"), F.when(twin.isNotNull(), twins).otherwise(state["twins"]).cast(_TWINS).alias("twins"))
 
-    def fold(key: tuple, pages: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[int, set]] = []
-        found = []
-        for page, own in sorted(zip(pages["page_no"], map(set, pages["keys"]), strict=True), key=lambda x: x[0]):
-            twin = None
-            if len(own) >= rule.least_keys:
-                twin = next((p for p, k in kept if len(own & k) >= rule.share * len(own | k)), None)
-            if twin is None:
-                kept = [*kept, (page, own)][-rule.window :]
-            else:
-                found.append((key[0], page, twin))
-        return pd.DataFrame(found, columns=["book", "page_no", "of"])
+        return let(twin, outcome)
 
-    return keys.groupBy("book").applyInPandas(fold, "book long, page_no int, of int")
+    start = F.struct(F.array().cast(_KEPT).alias("kept"), F.array().cast(_TWINS).alias("twins"))
+    books = gathered(keys, ["book"], "page_no", "keys")
+    found = F.aggregate(F.col("members").cast(_KEPT), start, after, lambda s: s["twins"])
+    return books.select("book", F.explode(found).alias("x")).select("book", "x.page_no", "x.of")
 
 
 def tolerance(word: Column) -> Column:
@@ -72,7 +85,7 @@ def shared_words(pairs: DataFrame) -> DataFrame:
     short = pairs.select(*keys, F.explode("p.s").alias("word")).withColumn("initial", initial)
     long = pairs.select(*keys, F.explode("p.l").alias("word")).withColumn("initial", initial).withColumnRenamed("word", "other")
     near = (F.length("other") >= 4) & (F.abs(F.length("word") - F.length("other")) <= tolerance(F.col("word")))
-    like = (F.col("word") == F.col("other")) | (near & (F.levenshtein("word", "other", 2).between(0, 2)) & (F.levenshtein("word", "other") <= tolerance(F.col("word"))))
+    like = (F.col("word") == F.col("other")) | (near & F.levenshtein("word", "other", 2).between(F.lit(0), tolerance(F.col("word"))))
     found = short.join(long.where("other <> ''"), [*keys, "initial"]).where(like).select(*keys, "word").distinct()
     matched = found.groupBy(*keys).agg(F.count("*").alias("shared"))
     total = pairs.select(*keys, F.size("p.s").cast("long").alias("total"))
@@ -80,48 +93,61 @@ def shared_words(pairs: DataFrame) -> DataFrame:
 
 
 def toc_titles(rows: DataFrame) -> DataFrame:
-    """(book, title): distinct normalised entries of pages headed as contents, or list pages of at least six lines."""
-    place = Window.partitionBy("book", "page_no").orderBy("line_no")
-    rows = rows.where("text <> ''").withColumn("place", F.row_number().over(place))
-    headed = rows.where("place <= 3").where(normalized(F.col("text")).isin(*TOC_HEADINGS)).select("book", "page_no").distinct()
-    listed = list_pages(rows).where("is_list AND n_lines >= 6").select("book", "page_no")
-    entries = rows.join(headed.union(listed).distinct(), ["book", "page_no"], "left_semi")
+    """(book, title): distinct normalised entries of pages headed as contents, or list pages of at least six lines.
+
+    A page's lines are brought together once, for the places of its first lines and for its counts.
+    """
+    page = Window.partitionBy("book", "page_no")
+    numbered = starts_with_number(F.col("text")) | ends_with_number(F.col("text"))
+    rows = rows.where("text <> ''").select("book", "page_no", "line_no", "text", numbered.alias("numbered"))
+    rows = rows.withColumn("place", F.row_number().over(page.orderBy("line_no")))
+    heading = F.when(F.col("place") <= 3, normalized(F.col("text")).isin(*TOC_HEADINGS))
+    rows = rows.withColumn("headed", F.max(heading).over(page)).withColumn("n", F.count("*").over(page)).withColumn("many", F.count_if("numbered").over(page))
+    entries = rows.where(F.col("headed") | ((F.col("n") >= 6) & (5 * F.col("many") >= 2 * F.col("n"))))
     titles = entries.select("book", normalized(without_toc_numbers(F.col("text"))).alias("title"))
     return titles.where(F.length("title") >= 6).distinct()
 
 
+class Snapshot:
+    """The words read on a page: how many, which, and the longer ones by initial for inexact look-ups."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.count = len(words)
+        self.words = dict.fromkeys(words)
+        self.by_initial: dict[str, list[tuple[str, int]]] = {}
+        for w in self.words:
+            if len(w) >= 4:
+                self.by_initial.setdefault(w[0], []).append((w, letters(w)))
+
+    def holds(self, word: str) -> bool:
+        """Whether the word is here, or one that its length lets it be a misreading of."""
+        if word in self.words:
+            return True
+        edits = (len(word) >= 5) + (len(word) >= 7)
+        if not edits:
+            return False
+        own = letters(word)
+        close = (w for w, bits in self.by_initial.get(word[0], ()) if abs(len(w) - len(word)) <= edits and (own ^ bits).bit_count() <= 2 * edits)
+        return any(edit_distance(word, w, edits) <= edits for w in close)
+
+    def share_with(self, other: Snapshot) -> float:
+        """The part of the smaller set of words (this one if equal) that the larger one holds."""
+        small, large = (other, self) if len(other.words) < len(self.words) else (self, other)
+        return sum(map(large.holds, small.words)) / len(small.words) if small.words else 0.0
+
+    def same_page(self, other: Snapshot, changed: float, rule: SamePage = SamePage()) -> bool:
+        """Many words decide alone, a few need the tiles' consent, hardly any leave it to the tiles."""
+        fewer = min(self.count, other.count)
+        need_words, need_tiles = fewer >= rule.least_words, fewer < rule.few_words
+        return (not need_words or self.share_with(other) >= rule.share) and (not need_tiles or changed < rule.changed_tiles)
+
+
 def same_page(a: list[str], b: list[str], changed: float, rule: SamePage = SamePage()) -> bool:
-    """Whether two snapshots show one page: by words if there are enough, else by the share of changed tiles."""
-    fewer = min(len(a), len(b))
-    if fewer >= rule.least_words:
-        same = word_share(a, b) >= rule.share
-        if fewer >= rule.few_words or not same:
-            return same
-    return changed < rule.changed_tiles
+    return Snapshot(a).same_page(Snapshot(b), changed, rule)
 
 
 def word_share(a: list[str], b: list[str]) -> float:
-    x, y = list(dict.fromkeys(a)), list(dict.fromkeys(b))
-    short, long = (x, y) if len(x) <= len(y) else (y, x)
-    if not short:
-        return 0.0
-    held = set(long)
-    by_initial: dict[str, list[tuple[str, int]]] = {}
-    for w in long:
-        if len(w) >= 4:
-            by_initial.setdefault(w[0], []).append((w, letters(w)))
-    hits = 0
-    for w in short:
-        most = 2 if len(w) >= 7 else 1 if len(w) >= 5 else 0
-        if w in held:
-            hits += 1
-        elif most:
-            own = letters(w)
-            hits += any(
-                abs(len(w) - len(o)) <= most and (own ^ bits).bit_count() <= 2 * most and edit_distance(w, o) <= most
-                for o, bits in by_initial.get(w[0], ())
-            )
-    return hits / len(short)
+    return Snapshot(a).share_with(Snapshot(b))
 
 
 def letters(word: str) -> int:
@@ -132,30 +158,42 @@ def letters(word: str) -> int:
     return bits
 
 
-def edit_distance(a: str, b: str) -> int:
+def edit_distance(a: str, b: str, limit: int | None = None) -> int:
+    """Edits between two words; anything above the limit, once a row of the table is wholly above it."""
     row = list(range(len(b) + 1))
     for i, c in enumerate(a, 1):
         corner, row[0] = row[0], i
         for j, d in enumerate(b, 1):
             best = corner if c == d else 1 + min(corner, row[j], row[j - 1])
             corner, row[j] = row[j], best
+        if limit is not None and min(row) > limit:
+            return limit + 1
     return row[-1]
 
 
 def new_pages(snapshots: DataFrame, rule: SamePage = SamePage()) -> DataFrame:
-    """(book, page_no, is_new) of snapshots (book, page_no, words): a page is new if it differs from the last three."""
-
-    def fold(key: tuple, pages: pd.DataFrame) -> pd.DataFrame:
-        known: list[list[str]] = []
-        out = []
-        for page, words in sorted(zip(pages["page_no"], map(list, pages["words"]), strict=True), key=lambda x: x[0]):
-            same = [same_page(k, words, 1.0, rule) for k in known]
-            out.append((key[0], page, not any(same)))
-            if not any(same) or same[-1]:
-                known = [*(known[:-1] if same and same[-1] else known), words][-rule.remembered :]
-        return pd.DataFrame(out, columns=["book", "page_no", "is_new"])
+    """(book, page_no, is_new) of snapshots (book, page_no, words[, pixels]): a page is new if it differs from the last three.
 
-    return snapshots.groupBy("book").applyInPandas(fold, "book long, page_no int, is_new boolean")
+    Pixels are those of square gray frames; without them no tile is taken as unchanged.
+    """
+    frames = "pixels" in snapshots.columns
+
+    def fold(row: dict) -> Iterator[tuple]:
+        known: list[tuple[Snapshot, object]] = []
+        for page in row["members"]:
+            here = Snapshot(page["words"] or [])
+            pixels = square(page["pixels"]) if frames and page["pixels"] else None
+            changed = lambda o: 1.0 if pixels is None or o is None else changed_share(o, pixels)  # noqa: B023, E731
+            same = [here.same_page(words, changed(seen), rule) for words, seen in known]
+            yield row["book"], page["page_no"], not any(same)
+            if same and same[-1]:
+                known[-1] = (here, pixels)
+            elif not any(same):
+                known = [*known, (here, pixels)][-rule.remembered :]
+
+    books = gathered(snapshots, ["book"], "page_no", "words", *["pixels"] * frames)
+    kinds = pa.schema([("book", pa.int64()), ("page_no", pa.int32()), ("is_new", pa.bool_())])
+    return each_row(books, fold, "book long, page_no int, is_new boolean", kinds)
 
 
 def a10_page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,10 +205,10 @@ def a11_near_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j6_duplicate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each book with its second page scanned again at the end."""
+    """Each book with its third page from the end (the first of shorter ones) scanned again at the end."""
     rows = lines(spark, sf_dir)
-    last = rows.groupBy("book").agg((F.max("page_no") + 1).alias("last"))
-    again = rows.where("page_no = 1").join(last.where("last <= 4"), "book").withColumn("page_no", F.col("last").cast("int")).drop("last")
+    ends = rows.groupBy("book").agg((F.max("page_no") + 1).alias("end"))
+    again = rows.join(ends, "book").where(F.col("page_no") == F.greatest(F.col("end") - 3, F.lit(0))).withColumn("page_no", F.col("end").cast("int")).drop("end")
     return duplicate_pages(page_keys(rows.unionByName(again)))
 
 
@@ -231,6 +269,18 @@ SQL = {
     "a11_near_pages": f"""WITH {_KEYS} SELECT a.book, a.page_no, b.page_no AS earlier,
 len(list_intersect(a.keys, b.keys)) / len(list_distinct(list_concat(a.keys, b.keys))) AS similarity
 FROM keys a JOIN keys b ON a.book = b.book AND b.page_no BETWEEN a.page_no - 3 AND a.page_no - 1 WHERE len(a.keys) >= 6 AND len(b.keys) >= 6""",
+    "j6_duplicate_pages": f"""WITH RECURSIVE {LINES_SQL},
+al AS (SELECT book, page_no, text, conf_pct FROM lines UNION ALL
+       SELECT l.book, past, text, conf_pct FROM lines l JOIN (SELECT book, max(page_no) + 1 AS past FROM lines GROUP BY book) e ON e.book = l.book AND l.page_no = greatest(past - 3, 0)),
+kk AS (SELECT book, page_no, list(DISTINCT {_NORM.format("text")}) FILTER (WHERE conf_pct >= 50 AND length({_NORM.format("text")}) >= 12) AS ks FROM al GROUP BY ALL),
+pk AS (SELECT book, page_no, coalesce(ks, []) AS keys, row_number() OVER (PARTITION BY book ORDER BY page_no) AS k FROM kk),
+wk AS (SELECT book, k, page_no, CAST(NULL AS INT) AS twin, [{{'p': page_no, 'ks': keys}}] AS kept FROM pk WHERE k = 1
+ UNION ALL
+ SELECT book, k, page_no, twin, CASE WHEN twin IS NULL THEN (list_append(kept, {{'p': page_no, 'ks': keys}}))[-{Duplicate.window}:] ELSE kept END
+ FROM (SELECT pk.*, kept, CASE WHEN len(keys) >= {Duplicate.least_keys} THEN list_filter(kept, lambda o:
+         len(list_intersect(o.ks, keys)) >= CAST({Duplicate.share} AS DOUBLE) * len(list_distinct(list_concat(o.ks, keys))))[1].p END AS twin
+       FROM wk JOIN pk ON pk.book = wk.book AND pk.k = wk.k + 1))
+SELECT book, page_no, twin AS "of" FROM wk WHERE twin IS NOT NULL""",
     "j7_shared_words": rf"""WITH {LINES_SQL}, ww AS (SELECT DISTINCT book, page_no, word FROM (SELECT book, page_no,
 unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}]+')) AS word FROM lines) WHERE length(word) >= 4 AND regexp_matches(word, '^[a-z0-9]+$')),
 ps AS (SELECT DISTINCT book, page_no FROM lines), n AS (SELECT book, page_no, count(word) AS n FROM ps LEFT JOIN ww USING (book, page_no) GROUP BY ALL),

@@ -8,13 +8,15 @@ pages; only the assembly across pages, where a merge changes what the next page
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from folio.functions import text as X
+from folio.functions.arrays import each_row, gathered
 from folio.operators.hyphenation import join_lines, joined, word_test
 from folio.operators.sequence import printed_numbers
 from folio.operators.similarity import duplicate_pages, page_keys, toc_titles
@@ -249,23 +251,18 @@ def books(rows: DataFrame, words: frozenset | None = None, titles: DataFrame | N
     printed = printed_numbers(rows.where("text <> ''")).where("lo > 0")
     label = F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(F.concat(F.col("lo").cast("string"), F.lit("–"), F.col("hi").cast("string")))
     pages = pages.join(blocks.groupBy(*PAGE).agg(packed.alias("blocks")), PAGE, "left").join(printed.select(*PAGE, label.alias("printed")), PAGE, "left")
-    pages = pages.join(titles.select("book", "title"), "book", "left") if titles is not None else pages.withColumn("title", F.lit(None).cast("string"))
-
-    def fold(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("page_no")
-        some = lambda x: None if x is None or x != x else x
-        given = [
-            (int(p) + 1, some(label), None if pd.isna(twin) else int(twin) + 1, [(b["kind"], b["level"], b["text"], some(b["uncertain"])) for b in (found if found is not None else ())])
-            for p, label, twin, found in zip(own["page_no"], own["printed"], own["twin"], own["blocks"], strict=True)
-        ]
-        done = assemble(given, some(own["title"].iloc[0]), word_test(words))
-        table = pd.DataFrame(done, columns=["kind", "level", "text", "scan", "printed"])
-        table.insert(0, "block_no", range(len(table)))
-        table.insert(0, "book", key[0])
-        return table
-
-    kept = pages.select("book", "page_no", "printed", "twin", "blocks", "title")
-    return kept.groupBy("book").applyInPandas(fold, "book long, block_no int, kind string, level int, text string, scan int, printed string")
+    books = gathered(pages, ["book"], "page_no", "printed", "twin", "blocks")
+    books = books.join(titles.select("book", "title"), "book", "left") if titles is not None else books.withColumn("title", F.lit(None).cast("string"))
+    knows = word_test(words)
+
+    def fold(row: dict) -> Iterator[tuple]:
+        twin = lambda p: None if p["twin"] is None else p["twin"] + 1
+        given = [(p["page_no"] + 1, p["printed"], twin(p), [(b["kind"], b["level"], b["text"], b["uncertain"]) for b in p["blocks"] or ()]) for p in row["members"]]
+        for i, block in enumerate(assemble(given, row["title"], knows)):
+            yield row["book"], i, *block
+
+    kinds = [("book", pa.int64()), ("block_no", pa.int32()), ("kind", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("scan", pa.int32()), ("printed", pa.string())]
+    return each_row(books, fold, "book long, block_no int, kind string, level int, text string, scan int, printed string", pa.schema(kinds))
 
 
 def boxed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

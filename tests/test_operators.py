@@ -1,41 +1,87 @@
 """Golden vectors of the page operators."""
 
+import datetime as dt
+
+import duckdb
 import numpy as np
-import pytest
+import pandas as pd
 from pyspark.sql import functions as F
 
 from folio.functions import images as I
 from folio.functions import text as X
 from folio.operators import render
 from folio.operators.geometry import quadrant, reading_order, rotated_box
-from folio.operators.sequence import check, printed_numbers
-from folio.operators.similarity import c10_new_pages, edit_distance, same_page, word_share
-from folio.operators.titles import compose
+from folio.operators.sequence import ISSUES_SQL, PRINTED_SQL, live_issues, printed_numbers, sequence_issues
+from folio.operators.similarity import c10_new_pages, edit_distance, new_pages, same_page, word_share
+from folio.operators.titles import composed
 from folio.streaming.motion import settled_pages, step
 
 
 def ranges(text):
-    return [None if p == "nil" else tuple(map(int, (p.split("–") * 2)[:2])) for p in text.split(",")]
-
-
-@pytest.mark.parametrize(
-    "numbers,want",
-    [
-        ("1,2,nil,4,5", {}),
-        ("10,11,14,15,15,16,17", {2: ("missing", 12, 13), 4: ("duplicate", 4)}),
-        ("10,11,14,15,12,13,16", {4: ("outOfOrder", 15)}),
-        ("20,21,23,22", {3: ("outOfOrder", 23)}),
-        ("36,37,86,39,40", {}),
-        ("5,6,600", {}),
-        ("5,6,10", {2: ("missing", 7, 9)}),
-        ("10–11,12–13,nil,16–17", {}),
-        ("10–11,12–13,16–17", {2: ("missing", 14, 15)}),
-        ("1207,nil,5,6,7", {}),
-        ("1207,nil,5", {}),
-    ],
-)
-def test_sequence_check(numbers, want):
-    assert check(ranges(numbers)) == want
+    return [(0, 0) if p == "-" else tuple(map(int, (p.split("–") * 2)[:2])) for p in text.split(",")]
+
+
+#: Page sequences and the issues their rules give: (page, kind, first, last).
+SEQUENCES = {
+    "7,8,-,10,11": [],
+    "100,101,105,106": [(2, "missing", 102, 104)],
+    "30,31,32,31,33": [(3, "duplicate", 2, 2)],
+    "50,51,55,56,53,57": [(2, "missing", 52, 54), (4, "outOfOrder", 56, 56), (5, "missing", 54, 54)],
+    "3,4,6,5": [(3, "outOfOrder", 6, 6)],
+    "61,62,26,64,65": [],
+    "8,9,900": [],
+    "8,9,38": [(2, "missing", 10, 37)],
+    "8,9,45": [],
+    "2–3,4–5,-,8–9": [],
+    "2–3,4–5,10–11": [(2, "missing", 6, 9)],
+    "903,-,12,13,14": [],
+    "40,41,45,46,42,43": [(2, "missing", 44, 44), (4, "outOfOrder", 46, 46)],
+}
+
+
+def test_sequence_issues(spark):
+    rows = [(b, i, *r) for b, text in enumerate(SEQUENCES) for i, r in enumerate(ranges(text))]
+    printed = spark.createDataFrame(rows, "book long, page_no int, lo long, hi long")
+    got = sorted(tuple(r) for r in sequence_issues(printed).collect())
+    assert got == sorted((b, *x) for b, found in enumerate(SEQUENCES.values()) for x in found)
+    assert sequence_issues(printed.where("false")).collect() == []
+
+
+def test_random_sequences_match_the_recursive_query(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for book in range(400):
+        at, wide = int(rng.integers(1, 40)), int(rng.random() < 0.3)
+        for page in range(int(rng.integers(1, 14))):
+            at += (1 + wide) * int(rng.choice([1, 1, 1, 1, 2, 4]))
+            kind = rng.random()
+            lo = 0 if kind < 0.15 else int(rng.integers(1, 60)) if kind < 0.3 else at
+            rows.append((book, page, lo, lo + wide if lo else 0))
+    columns = ["book", "page_no", "lo", "hi"]
+    got = sorted(tuple(r) for r in sequence_issues(spark.createDataFrame(rows, "book long, page_no int, lo long, hi long")).collect())
+    db = duckdb.connect()
+    db.register("given", pd.DataFrame(rows, columns=columns))
+    sql = ISSUES_SQL.replace(PRINTED_SQL, "printed AS (SELECT book, CAST(page_no AS INT) AS page_no, lo, hi FROM given)")
+    want = db.execute(f'WITH RECURSIVE {sql} SELECT book, page_no, kind, "first", "last" FROM issue').fetchall()
+    assert got == sorted(want) and {x[2] for x in got} == {"missing", "duplicate", "outOfOrder"}
+
+
+def test_live_issues_are_told_once_and_only_while_fresh(spark, tmp_path):
+    schema = "book long, page_no int, lo long, hi long, at timestamp"
+    now = dt.datetime(2026, 1, 1, 12)
+    batches = [
+        [(1, 0, 5, 5, now), (1, 1, 6, 6, now), (2, 0, 5, 5, now), (2, 1, 5, 5, now - dt.timedelta(seconds=500))],
+        [(1, 2, 9, 9, now + dt.timedelta(seconds=60))],
+        [(1, 3, 10, 10, now + dt.timedelta(seconds=90)), (3, 0, 4, 4, now), (3, 1, 4, 4, now + dt.timedelta(seconds=80))],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        told = []
+        source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        live = live_issues(source, str(tmp_path / "store"), lambda df: told.extend(tuple(r) for r in df.collect()))
+        query = live.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert told == {0: [], 1: [(1, 2, "missing", 7, 8)], 2: [(3, 1, "duplicate", 1, 1)]}[batches.index(rows)]
 
 
 def values(spark, fn, *texts):
@@ -81,8 +127,8 @@ def test_quadrants_and_boxes(spark):
 
 
 def test_words():
-    assert edit_distance("fürsten", "fursten") == 1
-    one, two = "fürsten haben immer große Sorgen gehabt".split(), "fursten haben imner große Sorgem gehabt".split()
+    assert edit_distance("mühlen", "muhlen") == 1 and edit_distance("garten", "karton") == 2 and edit_distance("abcdefgh", "hgfedcba", 2) > 2
+    one, two = "hinter alten mühlen wachsen wieder gelbe sträucher".split(), "hinter alten muhlen wachsem wieder gelbe strauchen".split()
     assert word_share(one, two) >= 0.6 > word_share(one, "etwas ganz anderes steht hier".split())
     assert same_page(one * 3, two * 3, 1.0) and not same_page(["a"], ["b"], 0.5) and same_page([], [], 0.1)
 
@@ -114,13 +160,35 @@ def test_motion_stream_matches_the_fold(spark, tmp_path):
     assert sorted((r.stream, r.event_id) for r in spark.table("settled").collect()) == sorted(want)
 
 
-def test_titles():
-    big, small = ("Das große", "das große", 30, 800, False), ("Buch", "buch", 28, 700, False)
-    author = ("Anna Autor", "anna autor", 10, 900, True)
-    assert compose([big, small], None) == "Das große Buch"
-    assert compose([author, big, small], 10) == "Anna Autor – Das große Buch"
-    assert compose([big, ("Reihe", "reihe", 29, 750, True), small], None) == "Das große – Reihe – Buch"
-    assert compose([big], 25) is None
+def test_titles(spark):
+    big, small, author = ("Vom Meer", "vom meer", 30, 800, False), ("und Wind", "und wind", 28, 700, False), ("Ida Muster", "ida muster", 10, 900, True)
+    series, foot, blank = ("Bibliothek", "bibliothek", 29, 750, True), ("Ida Muster", "ida muster", 10, 100, True), ("  ", "", 30, 760, False)
+    covers = [
+        ([big, small], None, "Vom Meer und Wind"), ([author, big, small], 10, "Ida Muster – Vom Meer und Wind"), ([big, series, small], None, "Vom Meer – Bibliothek – und Wind"),
+        ([big], 25, None), ([big, small, foot], 10, "Vom Meer und Wind – Ida Muster"), ([series, blank, small], None, "Bibliothek – und Wind"), ([blank], None, None), ([], None, None),
+    ]
+    rows = [(i, [(-float(m), k, t, key, float(size), recurs) for k, (t, key, size, m, recurs) in enumerate(c)], q and float(q)) for i, (c, q, _) in enumerate(covers)]
+    df = spark.createDataFrame(rows, "i int, cover array<struct<down: double, line_no: int, text: string, key: string, size: double, recurs: boolean>>, quarter double")
+    got = df.select("i", composed(F.array_sort("cover"), F.col("quarter")).alias("title")).orderBy("i").collect()
+    assert [r.title for r in got] == [t for *_, t in covers]
+
+
+def test_few_words_need_the_tiles_too(spark):
+    rng = np.random.default_rng(4)
+    picture = [int(v) for v in rng.integers(0, 255, 1024)]
+    other = [int(v) for v in rng.integers(0, 255, 1024)]
+    few, many = ["wald", "berge", "wiese", "bach"], [f"wort{chr(97 + i)}" for i in range(20)]
+    rows = [(1, 0, few, picture), (1, 1, few, picture), (1, 2, few, other), (1, 3, [], other), (2, 0, many, picture), (2, 1, many, other), (3, 0, None, None), (3, 1, [], None)]
+    got = new_pages(spark.createDataFrame(rows, "book long, page_no int, words array<string>, pixels array<int>")).collect()
+    assert sorted((r.book, r.page_no) for r in got if r.is_new) == [(1, 0), (1, 2), (2, 0), (3, 0), (3, 1)]
+
+
+def test_camera_names_and_long_numbers(spark):
+    name = lambda t: X.short_camera_name(t, F.lit(12.34), ("Kamera an ",), F.lit("Tisch (%s)"))
+    assert values(spark, name, "Kamera an „Ida“", "Webcam") == ["Tisch (Ida) · 12.3 MP", "Webcam · 12.3 MP"]
+    names = ["s 7", "s 0010", "s 9999999999999999999", "s 10000000000000000000", "s 99999999999999999999", "s 123456789012345678901234567890"]
+    keys = values(spark, X.natural_key, *names)
+    assert keys == sorted(keys) and len(set(keys)) == len(keys)
 
 
 def test_rendering(spark):

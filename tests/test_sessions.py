@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from folio.functions import text as X
 from folio.operators import sessions as M
 from folio.sources import sessions as S
 
@@ -65,7 +66,7 @@ def test_replacing_rescans_and_archives(spark):
     assert one(*M.resolve_rescan(arr("a", "n"), arr(), F.lit("a"), arr("n"), F.lit(True))) == (["n"], ["a"])
     assert one(*M.resolve_rescan(arr("a", "n"), arr(), F.lit("a"), arr("n"), F.lit(False))) == (["a"], ["n"])
     assert one(M.directory_for(F.lit("2026"), F.lit(" a/b ")), M.directory_for(F.lit("2026"), F.lit(None).cast("string"))) == ("2026 a b", "2026")
-    assert one(M.issue_text(F.lit("missing"), F.lit(3), F.lit(3)), M.issue_text(F.lit("missing"), F.lit(3), F.lit(4))) == ("page 3 missing", "pages 3–4 missing")
+    assert one(X.issue_text(F.lit("missing"), F.lit(3), F.lit(3)), X.issue_text(F.lit("missing"), F.lit(3), F.lit(4))) == ("page 3 missing", "pages 3–4 missing")
     sessions = spark.createDataFrame([("s", False, ["a"]), ("t", False, [])], "session string, archived boolean, page_order array<string>")
     files = spark.createDataFrame([("s", "a.heic", 1), ("s", "Papierkorb/b.heic", 1), ("s", "OCR/a.json", 1), ("t", "c.heic", 1)], "session string, path string, bytes long")
     marked, left = M.archived(sessions, files)
