@@ -3,17 +3,20 @@
 Vectors get one more component that brings all to the largest norm (queries get zero there), so that the largest inner
 product is the smallest angle. ``ROTATIONS`` rotations, learned by iterative quantization on a sample of at most
 ``SAMPLE`` vectors (the smallest by hash), turn each into a code of signs. Every vector is indexed: codes are cut into
-substrings of 16 bits, and a block of the index has, for each substring, the rows in order of its value. A query looks
-for all codes within a radius: by the pigeonhole principle one of the m substrings of such a code lies within
-radius // m of the query's, so those buckets are probed, the full distance is checked on what they hold, and the floats
-of all codes within the radius are ranked by exact inner products. The radius is the ``COVER`` quantile of the distances
-of true neighbours in the sample; a larger table only has nearer ones. No bucket or candidate list is capped. Queries
-that find fewer than k rows within the radius are answered from all rows.
-
-Blocks of at most about ``BLOCK`` rows meet blocks of about ``QUERY_BLOCK`` queries, and each meeting gives k rows a
-query at most, which are ranked again; equal scores go to the smaller vec_id. Vectors that are null, zero, of another
-length than most, or hold null or non-finite components take no part, nor do rows without a vec_id. Rows of one vec_id
-count once, with the smallest of their vectors. Empty tables give empty results; other columns are ignored.
+substrings of ``SUBSTRING`` 64-bit words, and a block of the index has, for each substring, the rows in order of its value.
+A query looks for all codes within a radius: by the pigeonhole principle one of the m substrings of such a code lies
+within radius // m of the query's, so those buckets are probed, the full distance is checked on what they hold, and the
+floats of all codes within the radius are ranked by exact inner products. Substrings are long because neighbours may be
+far: where they differ in two bits of five, the buckets within radius // m hold a quarter of all rows for 16 bits, so
+that the sixteen tables of 256 bits select nothing, but under one row in a hundred for 128. The radius is the ``COVER``
+quantile of the distances of true neighbours in the sample, of so many as the sample holds of a query's k. No bucket or candidate
+list is capped. Queries that find fewer than k rows within the radius are answered from all rows.
+
+Blocks of at most about ``BLOCK`` rows meet blocks of about ``QUERY_BLOCK`` queries, each meeting in a task of its own, and
+give k rows a query at most, which are ranked again; equal scores go to the smaller vec_id. Vectors that are null, zero, of
+another length than most, or hold null or non-finite components take no part, nor do rows without a vec_id. Rows of one
+vec_id count once, with the smallest of their vectors. Empty tables give empty results; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -31,13 +34,14 @@ from folio.llm.common import keep, map_rows, table
 K = 20
 SAMPLE = 8192
 SAMPLE_QUERIES = 256
-ROTATIONS = 4
+ROTATIONS = 8
 ITERATIONS = 15
 COVER = 0.98
-BLOCK = 32_768
+BLOCK = 8_192
 QUERY_BLOCK = 8_192
-_BITS = 16
-_POPULATION = np.array([i.bit_count() for i in range(1 << _BITS)], np.uint8)
+#: 64-bit words of a substring.
+SUBSTRING = 2
+MOST_TASKS = 20_000
 
 
 def lift(vectors: np.ndarray, norm: float) -> np.ndarray:
@@ -59,44 +63,53 @@ def learn_rotations(vectors: np.ndarray, rotations: int = ROTATIONS) -> np.ndarr
 
 
 def encode(lifted: np.ndarray, rotations: np.ndarray) -> np.ndarray:
-    """Codes as rows of 16-bit substrings; the last one is filled up with zeros."""
-    bits = lifted @ rotations >= 0
-    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % _BITS)))
-    return np.packbits(bits, axis=1).view(np.uint16)
+    """Codes as rows of 64-bit words, whole substrings: bits beyond the last are left out, a code of under one is filled up with zeros."""
+    bits, size = lifted @ rotations >= 0, 64 * SUBSTRING
+    bits = bits[:, : max(bits.shape[1] // size * size, min(bits.shape[1], size))]
+    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % size)))
+    return np.packbits(bits, axis=1).view(np.uint64)
 
 
-class MultiIndex:
-    """The rows of a block by each 16-bit substring of their codes."""
+def distances(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Hamming distances of rows of words to one."""
+    return np.bitwise_count(codes ^ code).sum(axis=1, dtype=np.int32)
 
-    def __init__(self, codes: np.ndarray) -> None:
-        self.codes = codes
-        self.order = [np.argsort(codes[:, t], kind="stable") for t in range(codes.shape[1])]
-        self.values, self.starts = [], []
-        for t, o in enumerate(self.order):
-            values, starts = np.unique(codes[o, t], return_index=True)
-            self.values.append(values)
-            self.starts.append(np.append(starts, len(codes)))
 
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """All rows whose code lies within the radius."""
-        m = self.codes.shape[1]
-        small, more = divmod(radius, m)
+class MultiIndex:
+    """The rows of a block by each substring of ``width`` words of their codes."""
+
+    def __init__(self, codes: np.ndarray, width: int = 1) -> None:
+        self.codes, self.width = codes, width
+        self.order, self.values, self.starts = [], [], []
+        for t in range(0, codes.shape[1], width):
+            part = np.ascontiguousarray(codes[:, t : t + width])
+            order = np.lexsort(part.T)
+            held = part[order]
+            first = np.flatnonzero(np.concatenate(([True], (held[1:] != held[:-1]).any(axis=1))))[: len(held)]
+            self.order.append(order)
+            self.values.append(held[first])
+            self.starts.append(np.append(first, len(held)))
+
+    def probed(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """The rows of all buckets that may hold a code within the radius."""
+        small, more = divmod(radius, len(self.values))
         seen = np.zeros(len(self.codes), bool)
-        for t in range(m):
+        for t, values in enumerate(self.values):
             # If no substring up to `more` is within small, all of them are beyond it, and a later one is within small - 1.
             reach = small if t <= more else small - 1
             if reach < 0:
                 continue
-            near = np.flatnonzero(_POPULATION[self.values[t] ^ code[t]] <= reach)
+            near = np.flatnonzero(distances(values, code[t * self.width : (t + 1) * self.width]) <= reach)
             starts = self.starts[t]
-            if len(near) == len(self.values[t]):
-                seen[:] = True
-                break
             lengths = starts[near + 1] - starts[near]
             flat = np.repeat(starts[near] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
             seen[self.order[t][flat]] = True
-        rows = np.flatnonzero(seen)
-        return rows[_POPULATION[self.codes[rows] ^ code].sum(axis=1, dtype=np.int32) <= radius]
+        return np.flatnonzero(seen)
+
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """All rows whose code lies within the radius."""
+        rows = self.probed(code, radius)
+        return rows[distances(self.codes[rows], code) <= radius]
 
 
 def nearest(ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,16 +136,18 @@ def _searched(data: DataFrame, queries: DataFrame, radius: int | None, k: int, n
     every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
     left = data.withColumn("b", dealt(blocks)).withColumn("q", every(query_blocks))
     right = queries.withColumn("q", dealt(query_blocks)).withColumn("b", every(blocks))
+    tasks = min(4 * blocks * query_blocks, MOST_TASKS)
+    left, right = left.repartition(tasks, "b", "q"), right.repartition(tasks, "b", "q")
 
     def meet(block: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         out: list = []
         if len(block) and len(asking):
             ids = block["vec_id"].to_numpy(np.int64)
             vectors = np.stack(block["vector"].to_numpy()).astype(np.float64)
-            index = MultiIndex(np.frombuffer(b"".join(block["code"]), np.uint16).reshape(len(ids), -1)) if radius is not None else None
+            index = MultiIndex(np.frombuffer(b"".join(block["code"]), np.uint64).reshape(len(ids), -1), SUBSTRING) if radius is not None else None
             everything = np.arange(len(ids))
             for own, vector, code in zip(asking["vec_id"], asking["vector"], asking["code"], strict=True):
-                rows = index.within(np.frombuffer(code, np.uint16), radius) if index else everything
+                rows = index.within(np.frombuffer(code, np.uint64), radius) if index else everything
                 found, scores = nearest(ids, vectors, rows, own, np.asarray(vector, np.float64), k)
                 out.append((np.full(len(found), own), found, scores))
         query, vec, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else ([], [], [])
@@ -155,7 +170,7 @@ def search(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_i
     taken = named.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toPandas()
     sample = np.stack(taken["vector"].to_numpy()).astype(float) if len(taken) else np.ones((1, 1))
     rotations = learn_rotations(lift(sample, norm))
-    radius = _radius(sample, norm, rotations, k)
+    radius = _radius(sample, norm, rotations, -(-k * len(sample) // max(n, 1)))
 
     def index(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
@@ -184,13 +199,13 @@ def _radius(sample: np.ndarray, norm: float, rotations: np.ndarray, k: int) -> i
     """The distance within which the ``COVER`` share of the sample's true neighbours lies."""
     codes = encode(lift(sample, norm), rotations)
     asking = encode(np.hstack([sample, np.zeros((len(sample), 1))])[:SAMPLE_QUERIES], rotations)
-    distances = []
+    found: list[int] = []
     for i, code in enumerate(asking):
         scores = sample @ sample[i]
         scores[i] = -np.inf
         best = np.argsort(-scores, kind="stable")[: min(k, len(sample) - 1)]
-        distances += _POPULATION[codes[best] ^ code].sum(axis=1, dtype=np.int32).tolist()
-    return int(np.quantile(distances, COVER, method="higher")) if distances else codes.shape[1] * _BITS
+        found += distances(codes[best], code).tolist()
+    return int(np.quantile(found, COVER, method="higher")) if found else codes.shape[1] * 64
 
 
 def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:

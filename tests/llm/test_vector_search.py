@@ -44,11 +44,30 @@ def test_index_returns_every_code_within_the_radius():
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 1 << 16, (400, 5)).astype(np.uint16)
     codes[50:90] = codes[50] ^ (1 << rng.integers(0, 16, (40, 5))).astype(np.uint16)
-    index = V.MultiIndex(codes)
-    for radius in (0, 1, 3, 4, 5, 9, 14, 33, 80):
-        for q in range(0, 90, 9):
-            d = V._POPULATION[codes ^ codes[q]].sum(axis=1, dtype=int)
-            assert index.within(codes[q], radius).tolist() == np.flatnonzero(d <= radius).tolist()
+    for width in (1, 2):
+        index = V.MultiIndex(codes, width)
+        for radius in (0, 1, 3, 4, 5, 9, 14, 33, 80):
+            for q in range(0, 90, 9):
+                d = np.bitwise_count(codes ^ codes[q]).sum(axis=1, dtype=int)
+                assert index.within(codes[q], radius).tolist() == np.flatnonzero(d <= radius).tolist()
+
+
+def test_probes_touch_few_rows_though_neighbours_are_far():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rotations = V.learn_rotations(V.lift(x, 1.0))
+    index, radius = V.MultiIndex(V.encode(V.lift(x, 1.0), rotations), V.SUBSTRING), V._radius(x, 1.0, rotations, 20)
+    asked = V.encode(np.hstack([x[:50], np.zeros((50, 1))]), rotations)
+    assert np.mean([len(index.probed(code, radius)) for code in asked]) < 0.2 * len(x)
+
+
+def test_other_columns_and_a_large_group_of_one_vector(spark):
+    same = [[0.6, 0.8, 0.0]] * 300
+    rows = [(i, v, 1.5, "x") for i, v in enumerate(same)] + [(300, [0.0, 0.0, 1.0], None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double, `query.id` string")
+    got = V.search(df, F.col("vec_id") == 300).collect()
+    assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(i + 1, i, 0.0) for i in range(20)]
 
 
 def test_odd_vectors_and_small_tables(spark):
