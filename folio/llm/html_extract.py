@@ -1,22 +1,30 @@
 """HTML main text by wrapper induction over the pages of a host.
 
-A host's reference tree is merged from the layouts (trees without texts) of its pages, the commonest first, by partial
-tree alignment: nodes that the reference lacks are put in beside their matched neighbours. Layouts of more than
-1 - ``CONSTANT`` of the pages are enough, as a node on ``CONSTANT`` of all pages stands in one of them; pages without
-elements give none. Every page's tree of block elements is aligned with the reference by simple tree matching: two nodes match if tag and class agree, children are matched in order so that
-the number of matched nodes is largest. An aligned node outside the article whose text is the same on at least
-``CONSTANT`` of a host's pages, over all of them and at least ``MIN_PAGES``, is template; what varies is a content slot.
-
-Text inside ``article`` or ``main`` is content unless an element there is boilerplate by tag or by class, id or role
-word. Where a page has neither, the varying slots outside boilerplate elements are its content. Blocks are runs of text
-between starts and ends of block elements; white space becomes one space, character references are decoded, and blocks
-are joined in page order by one newline.
-
-Null or empty html gives an empty text; cut-off tags at the end are dropped, and raw elements that are self-closed or never
-closed hide nothing after their own tag (an unclosed script or style hides the rest, which is code); other broken markup is
-read as browsers do. Elements may lie at any depth.
-Urls without a host share the empty host. Repeated rows are extracted alike; an empty table gives an empty result. Only
-counts by (host, layout) and by (host, reference node, text hash) are shuffled, combined before.
+Every page is parsed once, into its blocks of text and its layout: the tree of block elements without texts, in which runs
+of like siblings are one first, one middle and one last of them. A host's reference tree is merged from the layouts of its
+pages, the commonest first, by partial tree alignment: nodes that the reference lacks are put in beside their matched
+neighbours. Layouts of more than 1 - ``CONSTANT`` of the pages are enough, as a node on ``CONSTANT`` of all pages stands in
+one of them. Every layout is aligned with the reference by simple tree matching: two nodes match if tag and class agree,
+children are matched in order so that the number of matched nodes is largest.
+
+Pages vote by their longest block, so that copies and versions of one article count once. An aligned node whose text is the
+same for n of a host's v votes is template, inside the article too, if (n + 1) / (v + 2) is at least ``CONSTANT``; three
+votes are the fewest that can tell. What varies is a content slot.
+
+Elements that are boilerplate by tag, or by a class, id or role word that says what they are (``SKIPPED_WORDS``), are no
+content, even if their text varies as that of menus, adverts and comments does. Words that articles use too
+(``DOUBTFUL_WORDS``) are settled by the host: where the aligned slot's texts vary (no text has half of the votes), it is
+content; where there are too few votes, it is boilerplate unless it holds more text than the rest of the article. Inline
+elements are not judged by doubtful words. Where a page has ``article`` or ``main`` with text, only that is taken. Blocks
+are runs of text between starts and ends of block elements; white space becomes one space, character references are
+decoded, and blocks are joined in page order by one newline.
+
+Null or empty html gives an empty text; cut-off tags at the end are dropped, a tag with an unclosed quote ends at its first
+``>``, and raw elements that are self-closed or never closed hide nothing after their own tag (an unclosed script or style
+hides the rest, which is code); formulas in ``math`` are markup; other broken markup is read as browsers do. Elements may lie
+at any depth, pages may have any length. Urls without a host share the empty host. Repeated rows are extracted alike, equal
+counts of layouts stand in the order of their strings; an empty table gives an empty result; other columns are ignored,
+whatever their names. Only counts by (host, layout) and by (host, reference node, text hash) are shuffled, combined before.
 """
 
 from __future__ import annotations
@@ -35,8 +43,9 @@ from pyspark.sql import functions as F
 from folio.llm.common import keep, map_rows, table
 from folio.llm.url_filter import url_parts
 
-CONSTANT = 0.9
-MIN_PAGES = 5
+CONSTANT = 0.8
+#: With fewer votes (n + 1) / (v + 2) cannot reach CONSTANT.
+FEWEST = 3
 
 # Element names and boilerplate words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,27 +57,31 @@ SKIPPED_TAGS = frozenset(
     "nav header footer aside form script style noscript template iframe svg math head title button select option textarea dialog menu object canvas audio video".split()
 )
 SKIPPED_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted banner nav navbar navigation menu breadcrumb breadcrumbs sidebar "
-    "footer header masthead comment comments disqus cookie cookies consent notice notices alert popup modal newsletter subscribe share sharing social "
-    "related recommended widget toolbar pagination pager complementary contentinfo search".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar "
+    "footer masthead comment comments disqus cookie cookies consent notice notices newsletter subscribe share sharing social "
+    "related pagination pager complementary contentinfo".split()
 )
+DOUBTFUL_WORDS = frozenset("alert banner header modal popup promo promoted recommended search toolbar widget".split())
 FORMATTING = frozenset("a b big code em font i s small strike strong tt u".split())
 CLOSES_P = frozenset(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(>|$)""", re.S)
+_UNCLOSED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|$)")
 _ATTR = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[\s_-]+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "children", "skipped", "main", "blocks", "number", "hides", "inner")
+    __slots__ = ("tag", "label", "children", "skipped", "main", "number", "hides", "inner", "doubt", "kept", "like")
 
-    def __init__(self, tag: str, label: str, skipped: bool, main: bool) -> None:
-        self.tag, self.label, self.skipped, self.main = tag, label, skipped, main
+    def __init__(self, tag: str, label: str, skipped: bool, main: bool, doubt: bool = False) -> None:
+        self.tag, self.label, self.skipped, self.main, self.doubt = tag, label, skipped, main, doubt
         self.children: list[Node] = []
-        self.blocks: list[tuple[int, str]] = []
         self.number = 0
+        #: In a layout: the children that stand for all, and the node that stands for this one.
+        self.kept: list[Node] = []
+        self.like: Node | None = None
         #: Whether it is boilerplate by itself, and how many plain inline elements of its tag are open inside.
         self.hides, self.inner = False, 0
 
@@ -92,9 +105,9 @@ def parse(html: str | None) -> tuple[Node, list[tuple[Node, str]]]:
         opened.subtract(n.tag for n in open_nodes[i:])
         del open_nodes[i:]
 
-    def start_node(tag: str, label: str, hides: bool) -> None:
+    def start_node(tag: str, label: str, hides: bool, doubt: bool = False) -> None:
         above = open_nodes[-1]
-        node = Node(tag, label, above.skipped or hides, above.main or tag in ("article", "main"))
+        node = Node(tag, label, above.skipped or hides, above.main or tag in ("article", "main"), above.doubt or doubt)
         node.hides = hides
         above.children.append(node)
         open_nodes.append(node)
@@ -113,7 +126,7 @@ def parse(html: str | None) -> tuple[Node, list[tuple[Node, str]]]:
             break
         if start > at:
             show(html[at:start])
-        m = _TOKEN.match(html, start)
+        m = _TOKEN.match(html, start) or _UNCLOSED.match(html, start)
         if not m:
             show("<")
             at = start + 1
@@ -179,7 +192,7 @@ def parse(html: str | None) -> tuple[Node, list[tuple[Node, str]]]:
                 close(last)
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
-        start_node(tag, f"{tag} {_words(m[3])}", _skipped(tag, m[3]))
+        start_node(tag, f"{tag} {_words(m[3])}", _skipped(tag, m[3]), _named(tag, m[3], DOUBTFUL_WORDS))
     flush()
     return root, blocks
 
@@ -208,11 +221,56 @@ def _words(attributes: str) -> str:
 
 
 def _skipped(tag: str, attributes: str) -> bool:
-    if tag in SKIPPED_TAGS:
-        return True
+    return tag in SKIPPED_TAGS or _named(tag, attributes, SKIPPED_WORDS)
+
+
+def _named(tag: str, attributes: str, words: frozenset) -> bool:
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    return any(w in SKIPPED_WORDS for _, a, b, c in _ATTR.findall(attributes) for w in _SPLIT.split((a or b or c).lower()))
+    return any(w in words for _, a, b, c in _ATTR.findall(attributes) for w in _SPLIT.split((a or b or c).lower()))
+
+
+def number_layout(root: Node) -> str:
+    """Number the nodes by their places in the layout, like ones in the middle of a run alike; returns it as a skeleton."""
+    nodes, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        nodes.append(node)
+        todo += node.children
+    kinds: dict[tuple, int] = {}
+    kind: dict[int, int] = {}
+    for node in reversed(nodes):
+        kept, run, now = [], [], None
+        for child in [*node.children, None]:
+            if child is not None and kind[id(child)] == now:
+                run.append(child)
+                continue
+            if len(run) > 3:
+                for x in run[2:-1]:
+                    x.like = run[1]
+                run = [run[0], run[1], run[-1]]
+            kept += run
+            run, now = [child], child and kind[id(child)]
+        node.kept = kept
+        kind[id(node)] = kinds.setdefault((node.label, *(kind[id(c)] for c in kept)), len(kinds))
+    count, out = 0, []
+    walk: list[Node | None] = [root]
+    while walk:
+        node = walk.pop()
+        if node is None:
+            out.append(")")
+            continue
+        node.number = count
+        count += 1
+        out.append("(" + re.sub(r"[()]", "", node.label))
+        walk.append(None)
+        walk += reversed(node.kept)
+    same = [(x, x.like) for x in reversed(nodes) if x.like is not None]
+    while same:
+        x, y = same.pop()
+        x.number = y.number
+        same += zip(x.kept, y.kept, strict=True)
+    return "".join(out[1:-1])
 
 
 def skeleton(html: str | None) -> str:
@@ -330,125 +388,156 @@ def merge(reference: Node, page: Node) -> None:
         b.children = children + b.children[at:]
 
 
-def aligned(page: Node, layout: str, reference: Node, known: dict[str, list[int]]) -> None:
-    """``align``, which depends on the layout only, once for each layout."""
+def numbers_of(layout: str, reference: Node) -> list[int]:
+    """The reference node of each node of a layout, by its number; 0 for those without one."""
+    page = read_skeleton(layout)
     nodes, todo = [], [page]
     while todo:
         node = todo.pop()
         nodes.append(node)
-        todo += node.children
-    if layout in known:
-        for node, number in zip(nodes, known[layout], strict=True):
-            node.number = number
-        return
+        todo += reversed(node.children)
+    for node in nodes:
+        node.number = 0
     align(page, reference)
-    if len(known) < 1000:
-        known[layout] = [n.number for n in nodes]
+    return [n.number for n in nodes]
+
+
+class Wrapper:
+    """What a host's pages share: its reference tree, the texts constant in its slots, and doubtful slots that vary."""
+
+    def __init__(self, reference: str = "", template: frozenset = frozenset(), varying: frozenset = frozenset()) -> None:
+        self.reference, self.template, self.varying = read_skeleton(reference), template, varying
+        self.known: dict[str, list[int]] = {}
+
+    def numbers(self, layout: str) -> list[int]:
+        if layout not in self.known:
+            if len(self.known) > 1000:
+                self.known.clear()
+            self.known[layout] = numbers_of(layout, self.reference)
+        return self.known[layout]
+
+    def content(self, layout: str, blocks: list[dict]) -> str:
+        """The content of a page from its layout and blocks."""
+        at = self.numbers(layout) if self.template or self.varying else [0] * (1 + max((b["node"] for b in blocks), default=0))
+        blocks = [b for b in blocks if not at[b["node"]] or (at[b["node"]], b["hash"]) not in self.template]
+        doubtful = [b for b in blocks if b["doubt"] and at[b["node"]] not in self.varying]
+        if doubtful:
+            inside = any(b["inside"] for b in blocks)
+            length = lambda found: sum(len(b["text"]) for b in found if b["inside"] or not inside)
+            if 2 * length(doubtful) <= length(blocks):
+                blocks = [b for b in blocks if not b["doubt"] or at[b["node"]] in self.varying]
+        inside = any(b["inside"] for b in blocks)
+        return "\n".join(b["text"] for b in blocks if b["inside"] or not inside)
+
+
+def page_blocks(html: str | None) -> tuple[str, list[dict]]:
+    """The layout of a page, and its blocks (node, inside, doubt, hash, text) outside boilerplate elements."""
+    root, blocks = parse(html)
+    layout = number_layout(root)
+    return layout, [{"node": n.number, "inside": n.main, "doubt": n.doubt, "hash": _hash(t), "text": t} for n, t in blocks if not n.skipped]
 
 
-def main_text(html: str | None, reference: Node | None = None, template: frozenset = frozenset()) -> str:
-    """The content blocks of a page, given its host's reference tree and template slots (node number, text hash)."""
-    root, blocks = parse(html)
-    inside = any(n.main and not n.skipped for n, _ in blocks)
-    if inside or reference is None or not template:
-        return "\n".join(t for n, t in blocks if not n.skipped and (n.main or not inside))
-    align(root, reference)
-    return "\n".join(t for n, t in blocks if not n.skipped and (n.number, _hash(t)) not in template)
+def main_text(html: str | None, wrapper: Wrapper | None = None) -> str:
+    """The content blocks of a page, given its host's wrapper."""
+    return (wrapper or Wrapper()).content(*page_blocks(html))
 
 
 def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def induce(pages: DataFrame) -> DataFrame:
-    """(host, skeleton, slots): each host's reference tree and its template slots (node, hash), from all its pages."""
-    host = url_parts(F.col("url"))[0]
-    hosted = pages.select(host.alias("host"), "page_id", "url", "html")
+_BLOCKS = "array<struct<node: int, inside: boolean, doubt: boolean, hash: bigint, text: string>>"
+_BLOCK = pa.struct([("node", pa.int32()), ("inside", pa.bool_()), ("doubt", pa.bool_()), ("hash", pa.int64()), ("text", pa.string())])
+
+
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, url, host, layout, vote, blocks) of every page, kept; vote is the hash of its longest block."""
 
-    def layouts(batches: Iterator[dict]) -> Iterator[dict]:
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            found = Counter((h, skeleton(html)) for h, html in zip(b["host"], b["html"], strict=True))
-            yield {"host": [h for h, _ in found], "skeleton": [x for _, x in found], "n": list(found.values())}
-
-    counted = map_rows(hosted.select("host", "html"), layouts, "host string, skeleton string, n long",
-                       pa.schema([("host", pa.string()), ("skeleton", pa.string()), ("n", pa.int64())]))
-    counted = keep(counted.groupBy("host", "skeleton").agg(F.sum("n").alias("n")), "layouts")
-    total = keep(counted.groupBy("host").agg(F.sum("n").alias("pages")), "hosts")
-    commonest = Window.partitionBy("host").orderBy(F.desc("n"), "skeleton").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = counted.where("skeleton <> ''").join(total.where(F.col("pages") >= MIN_PAGES), "host")
-    wanted = wanted.withColumn("before", F.coalesce(F.sum("n").over(commonest), F.lit(0)))
+            found = [page_blocks(html) for html in b["html"]]
+            longest = [max((x for x in blocks), key=lambda x: (x["inside"], len(x["text"])), default={"hash": None})["hash"] for _, blocks in found]
+            yield {"page_id": b["page_id"], "url": b["url"], "host": b["host"], "layout": [x for x, _ in found], "vote": longest, "blocks": [x for _, x in found]}
+
+    host = url_parts(F.col("url"))[0].alias("host")
+    kinds = [("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("layout", pa.string()), ("vote", pa.int64()), ("blocks", pa.list_(_BLOCK))]
+    schema = f"page_id long, url string, host string, layout string, vote long, blocks {_BLOCKS}"
+    return keep(map_rows(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host, "html"), run, schema, pa.schema(kinds)), "parsed")
+
+
+def induce(parsed: DataFrame) -> DataFrame:
+    """(host, reference, template, varying) of ``parsed_pages``: template holds slots (node, hash), varying doubtful nodes."""
+    votes = keep(parsed.groupBy("host").agg(F.countDistinct("vote").alias("votes"), F.count("*").alias("pages")).where(F.col("votes") >= FEWEST), "votes")
+    counted = keep(parsed.where("layout <> ''").groupBy("host", "layout").agg(F.count("*").alias("n")), "layouts")
+    commonest = Window.partitionBy("host").orderBy(F.desc("n"), "layout").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = counted.join(votes, "host").withColumn("before", F.coalesce(F.sum("n").over(commonest), F.lit(0)))
     wanted = wanted.where(F.col("before") <= F.col("pages") - F.ceil(CONSTANT * F.col("pages")))
 
     def references(batches: Iterator[dict]) -> Iterator[dict]:
-        now, pages, tree = None, 0, Node("", "", False, False)
+        now, tree = None, Node("", "", False, False)
         for b in batches:
-            out: dict = {"host": [], "pages": [], "skeleton": []}
-            for h, n, skel in zip(b["host"], b["pages"], b["skeleton"], strict=True):
+            out: dict = {"host": [], "reference": []}
+            for h, layout in zip(b["host"], b["layout"], strict=True):
                 if h != now:
                     if now is not None:
-                        out["host"].append(now), out["pages"].append(pages), out["skeleton"].append(write_skeleton(tree))
-                    now, pages, tree = h, n, Node("", "", False, False)
-                merge(tree, unnumbered(skel))
+                        out["host"].append(now), out["reference"].append(write_skeleton(tree))
+                    now, tree = h, Node("", "", False, False)
+                merge(tree, unnumbered(layout))
             yield out
         if now is not None:
-            yield {"host": [now], "pages": [pages], "skeleton": [write_skeleton(tree)]}
+            yield {"host": [now], "reference": [write_skeleton(tree)]}
 
-    ordered = wanted.select("host", "pages", "skeleton", "n").repartition("host").sortWithinPartitions("host", F.desc("n"), "skeleton")
-    reference = keep(
-        map_rows(ordered, references, "host string, pages long, skeleton string",
-                 pa.schema([("host", pa.string()), ("pages", pa.int64()), ("skeleton", pa.string())])),
-        "reference",
-    )
+    ordered = wanted.select("host", "layout", "n").repartition("host").sortWithinPartitions("host", F.desc("n"), "layout")
+    reference = map_rows(ordered, references, "host string, reference string", pa.schema([("host", pa.string()), ("reference", pa.string())]))
+    reference = keep(reference, "reference")
 
     def slots(batches: Iterator[dict]) -> Iterator[dict]:
-        known: dict[str, tuple[Node, dict]] = {}
+        known: dict[str, Wrapper] = {}
         for b in batches:
-            out: dict = {"host": [], "node": [], "hash": []}
-            for h, skel, html in zip(b["host"], b["skeleton"], b["html"], strict=True):
-                root, blocks = parse(html)
-                if all(n.main for n, _ in blocks):
-                    continue
+            out: dict = {"host": [], "node": [], "hash": [], "doubt": [], "vote": []}
+            for h, ref, layout, vote, nodes, hashes, doubts in zip(*(b[c] for c in ("host", "reference", "layout", "vote", "nodes", "hashes", "doubts")), strict=True):
                 if h not in known:
                     if len(known) > 100:
                         known.clear()
-                    known[h] = (read_skeleton(skel), {})
-                aligned(root, write_skeleton(root), *known[h])
-                for node, code in {(n.number, _hash(t)) for n, t in blocks if not n.main and n.number}:
-                    out["host"].append(h), out["node"].append(node), out["hash"].append(code)
+                    known[h] = Wrapper(ref)
+                at = known[h].numbers(layout)
+                for node, code, doubt in {(at[n], x, d) for n, x, d in zip(nodes, hashes, doubts, strict=True) if at[n]}:
+                    for c, v in (("host", h), ("node", node), ("hash", code), ("doubt", doubt), ("vote", vote)):
+                        out[c].append(v)
             yield out
 
-    seen = map_rows(
-        hosted.join(reference, "host").select("host", "skeleton", "html"), slots,
-        "host string, node int, hash long", pa.schema([("host", pa.string()), ("node", pa.int32()), ("hash", pa.int64())]),
-    )
-    counted = seen.groupBy("host", "node", "hash").agg(F.count("*").alias("n"))
-    constant = counted.join(reference.select("host", "pages"), "host").where(F.col("n") >= CONSTANT * F.col("pages"))
-    constant = constant.groupBy("host").agg(F.collect_list(F.struct("node", "hash")).alias("slots"))
-    return keep(reference.select("host", "skeleton").join(constant, "host", "left"), "wrappers")
+    fields = [("host", pa.string()), ("node", pa.int32()), ("hash", pa.int64()), ("doubt", pa.bool_()), ("vote", pa.int64())]
+    asked = parsed.where("layout <> ''").join(reference, "host")
+    asked = asked.select("host", "reference", "layout", "vote", F.col("blocks.node").alias("nodes"), F.col("blocks.hash").alias("hashes"), F.col("blocks.doubt").alias("doubts"))
+    seen = map_rows(asked, slots, "host string, node int, hash long, doubt boolean, vote long", pa.schema(fields)).distinct()
+    counted = keep(seen.groupBy("host", "node", "hash").agg(F.count("*").alias("n"), F.max("doubt").alias("doubt")), "slots")
+    constant = counted.join(votes, "host").where(F.col("n") + 1 >= CONSTANT * (F.col("votes") + 2))
+    constant = constant.groupBy("host").agg(F.collect_list(F.struct("node", "hash")).alias("template"))
+    doubted = counted.where("doubt").groupBy("host", "node").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
+    # Of v texts with at most half of the votes each none is the slot's own.
+    varying = doubted.where((F.col("all") >= FEWEST) & (2 * (F.col("most") + 1) <= F.col("all") + 2)).groupBy("host").agg(F.collect_list("node").alias("varying"))
+    return keep(reference.join(constant, "host", "left").join(varying, "host", "left").where("template IS NOT NULL OR varying IS NOT NULL"), "wrappers")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every page."""
-    wrappers = induce(pages)
-    host = url_parts(F.col("url"))[0]
+    parsed = parsed_pages(pages)
+    wrappers = induce(parsed)
 
     def texts(batches: Iterator[dict]) -> Iterator[dict]:
-        known: dict[str, tuple] = {}
+        known: dict[str, Wrapper] = {}
         for b in batches:
             out = []
-            for h, skel, slots, html in zip(b["host"], b["skeleton"], b["slots"], b["html"], strict=True):
+            for h, ref, slots, varying, layout, blocks in zip(*(b[c] for c in ("host", "reference", "template", "varying", "layout", "blocks")), strict=True):
                 if h not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[h] = (read_skeleton(skel), frozenset((s["node"], s["hash"]) for s in slots or ()))
-                out.append(main_text(html, *known[h]))
+                    known[h] = Wrapper(ref or "", frozenset((s["node"], s["hash"]) for s in slots or ()), frozenset(varying or ()))
+                out.append(known[h].content(layout, blocks))
             yield {"page_id": b["page_id"], "url": b["url"], "text": out}
 
-    joined = pages.select("page_id", "url", "html", host.alias("host")).join(wrappers, "host", "left")
-    return map_rows(
-        joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "host", "skeleton", "slots"), texts,
-        "page_id long, url string, text string", pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())]),
-    )
+    kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
+    return map_rows(parsed.join(wrappers, "host", "left"), texts, "page_id long, url string, text string", kinds)
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

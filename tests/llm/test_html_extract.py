@@ -1,6 +1,7 @@
 """Main text: fixed pages, tree matching against brute force, template slots over a host."""
 
 import itertools
+import random
 
 from folio.llm import html_extract as H
 
@@ -92,3 +93,77 @@ def test_copies_of_one_article_keep_their_text(spark):
     rows = [(i, f"http://h.org/{i}", "<div>Site</div><article><p>Same story.</p></article>") for i in range(8)]
     got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert [r.text for r in got] == ["Same story."] * 8
+
+
+def test_runs_of_like_siblings_are_one_layout():
+    items = lambda n: "<ul>" + "".join(f"<li><b>{i}</b><p>x</p></li>" for i in range(n)) + "</ul>"
+    layouts = {H.page_blocks(f"<div>{items(n)}<p>z</p></div>")[0] for n in (4, 5, 9)}
+    assert len(layouts) == 1 and layouts != {H.page_blocks(f"<div>{items(3)}</div>")[0]}
+    _, blocks = H.page_blocks(f"<div>{items(6)}</div>")
+    nodes = [b["node"] for b in blocks if b["text"] == "x"]
+    assert len(set(nodes)) == 3 and nodes[1:5] == [nodes[1]] * 4
+    deep = "<div>" * 3000 + "x" + "</div>" * 3000
+    assert H.page_blocks(deep)[1][0]["node"] == 3000
+
+
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_constant_slots_inside_articles_are_template(spark):
+    page = "<article><div class=lead>Our paper.</div><h1>Title {0}</h1><p>First {0} thing.</p><p>Then {0} and more of it.</p><p>Write to the editors.</p></article>"
+    rows = [(i, f"http://h.org/{i}", page.format(f"n{i}")) for i in range(5)]
+    rows += [(10 + i, f"http://two.org/{i}", page.format(f"n{i}")) for i in range(2)]
+    got = extracted(spark, rows + [(9, "http://h.org/9", page.format("n1"))])
+    assert {i: got[i] for i in (0, 3, 9)} == {i: f"Title {k}\nFirst {k} thing.\nThen {k} and more of it." for i, k in ((0, "n0"), (3, "n3"), (9, "n1"))}
+    assert got[10].startswith("Our paper.\nTitle n0")
+
+
+def test_versions_of_one_article_keep_their_text(spark):
+    page = "<article><p>A long story that all the versions of this page tell in the same words.</p><p>Version {0}.</p></article>"
+    got = extracted(spark, [(i, f"http://h.org/{i}", page.format(i)) for i in range(9)])
+    assert got == {i: f"A long story that all the versions of this page tell in the same words.\nVersion {i}." for i in range(9)}
+
+
+def test_doubtful_words_are_settled_by_the_host(spark):
+    page = "<article><p>Story number {0} of this host, as long as it is.</p><div class='alert'>{1}</div></article>"
+    rows = [(i, f"http://a.org/{i}", page.format(i, f"Part {i} two.")) for i in range(6)]
+    rows += [(10 + i, f"http://b.org/{i}", page.format(i, "Allow us to inform you.")) for i in range(6)]
+    rows += [(20, "http://c.org/", page.format(0, "Short."))]
+    got = extracted(spark, rows)
+    assert got[2] == "Story number 2 of this host, as long as it is.\nPart 2 two."
+    assert got[12] == got[12].replace("Allow", "") == "Story number 2 of this host, as long as it is."
+    assert got[20] == "Story number 0 of this host, as long as it is."
+    assert H.main_text("<article><div class='alert'>Real story</div></article>") == "Real story"
+    assert H.main_text("<article><p>Search for <span class='search'>love</span> ok</p></article>") == "Search for love ok"
+
+
+def test_unclosed_quotes():
+    assert H.main_text('<article><p class="x>one</p><p>two</p></article>') == "one\ntwo"
+    assert H.main_text("<article><p title='it's'>one</p>two</article>") == "one\ntwo"
+
+
+def test_known_articles_of_many_hosts_come_out_whole(spark):
+    """Pages built around known articles, with boilerplate of every kind that varies or not."""
+    rng = random.Random(12)
+    words = lambda n: " ".join(rng.choice(["wind", "Baum", "río", "mer", "stone", "Haus", "luz"]) + str(rng.randrange(999)) for _ in range(n))
+    rows, want = [], {}
+    for host in range(6):
+        name, imprint, ask = words(3), words(9), words(7)
+        for i in range(rng.choice([1, 4, 12])):
+            body = [words(rng.randrange(1, 60)) for _ in range(rng.randrange(1, 9))]
+            parts = [f"<p>{x}</p>" if rng.random() < 0.7 else f"<section><div>{x}</div></section>" for x in body]
+            for junk in rng.sample([f"<div class='ad box'>{words(5)}</div>", f"<aside>{words(8)}</aside>", f"<form>{words(3)}<input></form>", f"<div id=comments><p>{words(9)}</p></div>", f"<script>{words(4)}</script>", f"<ul class='share-links'><li>{words(1)}</ul>"], 3):
+                parts.insert(rng.randrange(len(parts) + 1), junk)
+            html = f"<html><head><title>{words(4)}</title></head><body><header>{name}</header><nav><ul>{''.join(f'<li>{words(1)}' for _ in range(rng.randrange(1, 7)))}</ul></nav><div>{ask}</div><article>{''.join(parts)}</article><footer>{imprint}</footer></body></html>"
+            page = 100 * host + i
+            rows.append((page, f"https://h{host}.example.org/{i}", html))
+            want[page] = "\n".join(body)
+    assert extracted(spark, rows) == want
+
+
+def test_very_long_pages_and_other_columns(spark):
+    html = "<article>" + "".join(f"<p>Line {i}.</p>" for i in range(60_000)) + "</article>"
+    df = spark.createDataFrame([(1, "http://h.org/1", html, "x", 2), (None, None, "<p>y</p>", None, None)], "page_id long, url string, html string, text string, `host.name` int")
+    got = {r.page_id: r.text for r in H.extract(df).collect()}
+    assert got == {1: "\n".join(f"Line {i}." for i in range(60_000)), None: "y"}
