@@ -7,9 +7,11 @@ candidate, and matches if the window holds at least ``CONTAINMENT`` of its disti
 that just reaches 0.8 has a Jaccard similarity of at least 2/3, so it misses all 24 bands with probability (1/3)^24
 < 4e-12; an exact occurrence never misses.
 
-The template library is a list of at most ``MAX_TEMPLATES`` texts (of at least five words each) and so may be
-broadcast; the documents are never grouped by template. Null, empty and short texts match nothing. Rows of one doc_id
-are reported together. An empty table gives an empty result; other columns are ignored.
+The template library is a list of at most ``MAX_TEMPLATES`` texts and ``MAX_BYTES`` bytes, checked here, and so may be
+broadcast; the documents are never grouped by template. A template of fewer words than a shingle cannot be scanned for and
+is an error; an empty library finds nothing. Null, empty and short texts match nothing; texts may have any length. Rows of
+one doc_id are reported together; of equally good windows the first is told. An empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 BANDS = 24
 MAX_TEMPLATES = 10_000
+#: Bytes of all templates together; the index holds each shingle once for a band, about 40 times as much.
+MAX_BYTES = 1 << 20
 
 # Public license notices.
 TEMPLATES = (
@@ -97,17 +101,23 @@ def _bands(shingles: Column) -> Column:
 def _library(spark: SparkSession, templates: tuple) -> DataFrame:
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"a library holds at most {MAX_TEMPLATES} templates")
+    if sum(len(text.encode()) for _, text in templates) > MAX_BYTES:
+        raise ValueError(f"a library holds at most {MAX_BYTES} bytes of text")
+    if not templates:
+        return spark.createDataFrame([], "license string, n int, wanted array<bigint>")
     rows = ", ".join("('{}', '{}')".format(*(x.replace("\\", "\\\\").replace("'", "\\'") for x in t)) for t in templates)
     texts = spark.sql(f"SELECT * FROM VALUES {rows} AS t(license, text)")
     words = texts.withColumn("w", _words(F.col("text")))
-    return words.select("license", F.size("w").alias("n"), F.array_distinct(_shingles(F.col("w"))).alias("wanted")).where("size(wanted) > 0")
+    short = F.raise_error(F.concat(F.lit(f"a template holds at least {SHINGLE} words: "), F.col("license"))).cast("int")
+    return words.select("license", F.when(F.size("w") < SHINGLE, short).otherwise(F.size("w")).alias("n"), F.array_distinct(_shingles(F.col("w"))).alias("wanted"))
 
 
 def scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
     """Rows (doc_id, license, containment, first_word): each template found, its best window and where that begins."""
     library = _library(docs.sparkSession, templates)
     facts = library.agg(F.flatten(F.collect_set("wanted")).alias("known"), F.collect_set("n").alias("lengths")).first()
-    known, lengths = F.lit(facts["known"]), F.array(*[F.lit(n) for n in sorted(facts["lengths"])])
+    known = F.lit(facts["known"]).cast("array<bigint>")
+    lengths = F.array(*[F.lit(n) for n in sorted(facts["lengths"])]).cast("array<int>")
     spread = F.explode_outer(_windows(_shingles(_words(F.col("text"))), known, lengths))
     windows = docs.select("doc_id", spread.alias("x")).where("x IS NOT NULL").select("doc_id", "x.*")
     banded = windows.select("doc_id", "start", "n", "held", _bands(F.col("held")).alias("own"))

@@ -47,6 +47,22 @@ BOILERPLATE = (
     "sign up for",
     "subscribe to our",
     "share on facebook",
+    "alle rechte vorbehalten",
+    "cookie-richtlinie",
+    "datenschutzerklärung",
+    "nutzungsbedingungen",
+    "hier klicken",
+    "newsletter abonnieren",
+    "tous droits réservés",
+    "politique de confidentialité",
+    "politique de cookies",
+    "mentions légales",
+    "cliquez ici",
+    "todos los derechos reservados",
+    "política de privacidad",
+    "política de cookies",
+    "términos de uso",
+    "haga clic aquí",
 )
 
 _TO_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})

@@ -51,3 +51,19 @@ def test_empty_table_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "Released under the MIT License."), (1, "Released under the MIT License.")], "doc_id long, text string")
     assert [tuple(r) for r in S.scan(df).collect()] == [(1, "mit-notice", 1.0, 0)]
     assert S.scan(df.where("false")).collect() == []
+
+
+def test_libraries_are_checked(spark):
+    df = spark.createDataFrame([(1, "all rights are kept here for ever")], "doc_id long, text string")
+    assert S.scan(df, ()).collect() == []
+    assert [r.license for r in S.scan(df, (("own", "rights are kept here for"),)).collect()] == ["own"]
+    with pytest.raises(Exception, match="at least 5 words"):
+        S.scan(df, (("short", "all rights"),)).collect()
+    with pytest.raises(ValueError, match="bytes"):
+        S.scan(df, (("long", "word " * S.MAX_BYTES),))
+
+
+def test_ties_fall_to_the_first_window_and_long_texts_are_scanned_whole(spark):
+    notice = "Released under the MIT License. "
+    df = spark.createDataFrame([(7, "x " * 3 + notice + notice), (8, "y " * 400_000 + notice)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.first_word) for r in S.scan(df).collect()) == [(7, 3), (8, 400_000)]

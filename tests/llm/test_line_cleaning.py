@@ -58,3 +58,14 @@ def test_documents_lose_failing_lines_then_fail(spark):
     out = L.clean_documents(df)
     assert out.columns == df.columns and [(r.doc_id, r.text, r.n_chars) for r in out.collect()] == [(1, text, len(text))]
     assert L.clean_documents(df.where("false")).collect() == []
+
+
+def test_boilerplate_in_four_languages_and_very_long_texts(spark):
+    for line in ("Alle Rechte vorbehalten.", "Tous droits réservés.", "Todos los derechos reservados.", "All rights reserved."):
+        assert L.line_fails(line, 3)
+    line = " ".join(f"w{i}" for i in range(20)) + "."
+    text = "\n".join(line.replace("w", f"{i}v") for i in range(20_000))
+    df = spark.createDataFrame([(1, text, 2), (None, text[:5000], None), (3, None, 1)], "doc_id long, text string, `a.b` int")
+    got = {r.doc_id: (r.n_words, r.kept) for r in L.judge_lines(df).collect()}
+    assert got == {1: (400_000, True), None: (len(text[:5000].split()), True), 3: (0, False)}
+    assert sorted(map(repr, (r["a.b"] for r in L.clean_documents(df).collect()))) == ["2", "None"]
