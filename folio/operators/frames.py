@@ -26,12 +26,10 @@ def level_of_small_frames(a: Column, b: Column, quantile: float = Motion.quantil
     return F.get(apart, F.least(F.size(apart) - 1, F.floor(F.size(apart) * (1 - quantile)).cast("int")))
 
 
-def fired(levels: DataFrame, rule: Motion, chunk_seconds: int = 86_400) -> DataFrame:
-    """(stream, event_id, seconds) where a stream settled, from (stream, event_id, seconds, level), in order of time.
+def _episodes(levels: DataFrame, rule: Motion, chunk_seconds: int) -> DataFrame:
+    """(stream, episode, run, moves, stirs, frame): every movement opens an episode, every frame that is not still a run.
 
-    A movement opens an episode, and any frame that is not still opens a run; an episode's page settles at the first frame
-    that is still ``settle_seconds`` after the first still frame of its run. Movements and runs are counted within chunks
-    of time and then over the chunks, so a stream may hold any share of the rows.
+    Both are counted within chunks of time and then over the chunks, so a stream may hold any share of the rows.
     """
     chunk = F.floor(F.col("seconds") / chunk_seconds).cast("long")
     marked = levels.select("stream", "event_id", "seconds", (F.col("level") > rule.moving).cast("long").alias("moves"), (F.col("level") > rule.still).cast("long").alias("stirs"), chunk.alias("chunk"))
@@ -40,13 +38,31 @@ def fired(levels: DataFrame, rule: Motion, chunk_seconds: int = 86_400) -> DataF
     sums = marked.groupBy("stream", "chunk").agg(F.sum("moves").alias("m"), F.sum("stirs").alias("s"))
     sums = sums.select("stream", "chunk", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("m"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s"))
     counted = marked.withColumn("episode", F.sum("moves").over(inside)).withColumn("run", F.sum("stirs").over(inside)).join(sums, ["stream", "chunk"])
-    frame = F.struct("seconds", "event_id")
-    still = counted.select("stream", (F.col("episode") + F.col("m")).alias("episode"), (F.col("run") + F.col("s")).alias("run"), "stirs", frame.alias("frame"))
-    still = still.where("stirs = 0 AND episode > 0")
+    frame = F.struct("seconds", "event_id").alias("frame")
+    return counted.select("stream", (F.col("episode") + F.col("m")).alias("episode"), (F.col("run") + F.col("s")).alias("run"), "moves", "stirs", frame)
+
+
+def _settled(episodes: DataFrame, rule: Motion) -> DataFrame:
+    """(stream, episode, frame): where an episode's page settles, the first frame still ``settle_seconds`` after its run's first."""
+    still = episodes.where("stirs = 0 AND episode > 0")
     began = still.groupBy("stream", "run").agg(F.min("frame").alias("start"))
     over = (F.col("frame") > F.col("start")) & (F.col("frame.seconds") - F.col("start.seconds") >= rule.settle_seconds)
-    settled = still.join(began, ["stream", "run"]).where(over).groupBy("stream", "episode").agg(F.min("frame").alias("frame"))
-    return settled.select("stream", "frame.event_id", "frame.seconds")
+    return still.join(began, ["stream", "run"]).where(over).groupBy("stream", "episode").agg(F.min("frame").alias("frame"))
+
+
+def fired(levels: DataFrame, rule: Motion, chunk_seconds: int = 86_400) -> DataFrame:
+    """(stream, event_id, seconds) where a stream settled, from (stream, event_id, seconds, level), in order of time."""
+    return _settled(_episodes(levels, rule, chunk_seconds), rule).select("stream", "frame.event_id", "frame.seconds")
+
+
+def timely_judgements(levels: DataFrame, judged: DataFrame, rule: Motion, chunk_seconds: int = 86_400) -> DataFrame:
+    """``judged`` (stream, event_id, done_at ..) but for those that a new movement overtook: their episode was over when they came."""
+    episodes = _episodes(levels, rule, chunk_seconds)
+    settled = _settled(episodes, rule).select("stream", "episode", "frame.event_id")
+    following = episodes.where("moves = 1").select("stream", (F.col("episode") - 1).alias("episode"), F.col("frame.seconds").alias("moved_at"))
+    overtaken = settled.join(following, ["stream", "episode"], "left").select("stream", "event_id", "moved_at")
+    kept = judged.join(overtaken, ["stream", "event_id"]).where("moved_at IS NULL OR done_at < moved_at")
+    return kept.select(*judged.columns)
 
 
 def _gray(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,12 +84,25 @@ def a15_frame_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.select("vec_id", mean_difference(F.col("before"), F.col("pixels")).alias("difference"), level.alias("motion_level"))
 
 
-def c9_motion_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as the motion levels of users' streams, on a scale ten times as large and settling within an hour."""
-    rule = Motion(moving=60.0, still=25.0, settle_seconds=3600)
+#: The events' scale is ten times as large as that of frames, and they settle within an hour.
+EVENT_RULE = Motion(moving=60.0, still=25.0, settle_seconds=3600)
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the motion levels of users' streams."""
     seconds = F.unix_micros(F.col("ts").cast("timestamp")).cast("long")
-    levels = table(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), "event_id", F.floor(seconds / 1_000_000).cast("long").alias("seconds"), F.col("value").alias("level"))
-    return fired(levels, rule)
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), "event_id", F.floor(seconds / 1_000_000).cast("long").alias("seconds"), F.col("value").alias("level"))
+
+
+def c9_motion_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fired(_levels(spark, sf_dir), EVENT_RULE)
+
+
+def t5_timely_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of judgements that take up to six days for a settled page, those that no movement overtook."""
+    levels = _levels(spark, sf_dir)
+    judged = fired(levels, EVENT_RULE).withColumn("done_at", F.col("seconds") + F.col("event_id") % 7 * 86_400)
+    return timely_judgements(levels, judged, EVENT_RULE).select("stream", "event_id", "done_at")
 
 
 def _large_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +155,15 @@ def t1_sampled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("frame_no % 8 = 0").select("user_id", "event_id", "frame_no")
 
 
-QUERIES = {"a14_motion_levels": a14_motion_levels, "a15_frame_difference": a15_frame_difference, "a16_changed_tiles": a16_changed_tiles, "c9_motion_trigger": c9_motion_trigger, "t6_page_turns": t6_page_turns, "t1_sampled_events": t1_sampled_events}
+_FIRED_SQL = """e AS (SELECT user_id AS stream, event_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS s, value AS v,
+row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch_us(ts) / 1000000) AS BIGINT), event_id) AS i FROM events),
+r AS (SELECT stream, event_id, s, i, CASE WHEN v > 60 THEN 'moving' ELSE 'idle' END AS st, CAST(NULL AS BIGINT) AS since, false AS fires FROM e WHERE i = 1
+UNION ALL SELECT e.stream, e.event_id, e.s, e.i,
+CASE WHEN e.v > 60 THEN 'moving' WHEN e.v > 25 OR r.st = 'idle' THEN r.st WHEN r.st = 'settling' AND r.since IS NOT NULL AND e.s - r.since >= 3600 THEN 'idle' ELSE 'settling' END,
+CASE WHEN e.v > 25 OR r.st = 'idle' THEN NULL WHEN r.st = 'moving' THEN e.s WHEN r.since IS NULL THEN e.s WHEN e.s - r.since >= 3600 THEN NULL ELSE r.since END,
+e.v <= 25 AND r.st = 'settling' AND r.since IS NOT NULL AND e.s - r.since >= 3600
+FROM r JOIN e ON e.stream = r.stream AND e.i = r.i + 1)"""
+QUERIES = {"a14_motion_levels": a14_motion_levels, "a15_frame_difference": a15_frame_difference, "a16_changed_tiles": a16_changed_tiles, "c9_motion_trigger": c9_motion_trigger, "t5_timely_judgements": t5_timely_judgements, "t6_page_turns": t6_page_turns, "t1_sampled_events": t1_sampled_events}
 SQL = {
     "a15_frame_difference": """WITH f AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(least(255, greatest(0, floor((CAST(v AS DOUBLE) + 0.5) * 255))) AS INT)) AS p FROM embeddings),
 d AS (SELECT a.vec_id, list_transform(range(1, len(a.p) + 1), lambda i: abs(a.p[i] - b.p[i])) AS d FROM f a JOIN f b ON a.vec_id = b.vec_id + 1)
@@ -137,14 +174,8 @@ g AS (SELECT DISTINCT p.frame, x.at FROM p, (SELECT unnest(range(1024)) AS at) x
 f AS (SELECT g.frame, g.at, p.v FROM g LEFT JOIN p ON p.frame = g.frame AND p.at = g.at),
 d AS (SELECT b.frame, b.at // 64 * 16 + b.at % 32 // 2 AS tile, sum(abs(coalesce(a.v, 0) - coalesce(b.v, 0))) / 4 AS d FROM f a JOIN f b ON b.frame = a.frame + 1 AND a.at = b.at GROUP BY ALL)
 SELECT frame, list_sort(list(d))[193] AS motion_level FROM d GROUP BY frame""",
-    "c9_motion_trigger": """WITH RECURSIVE e AS (SELECT user_id AS stream, event_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS s, value AS v,
-row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch_us(ts) / 1000000) AS BIGINT), event_id) AS i FROM events),
-r AS (SELECT stream, event_id, s, i, CASE WHEN v > 60 THEN 'moving' ELSE 'idle' END AS st, CAST(NULL AS BIGINT) AS since, false AS fires FROM e WHERE i = 1
-UNION ALL SELECT e.stream, e.event_id, e.s, e.i,
-CASE WHEN e.v > 60 THEN 'moving' WHEN e.v > 25 OR r.st = 'idle' THEN r.st WHEN r.st = 'settling' AND r.since IS NOT NULL AND e.s - r.since >= 3600 THEN 'idle' ELSE 'settling' END,
-CASE WHEN e.v > 25 OR r.st = 'idle' THEN NULL WHEN r.st = 'moving' THEN e.s WHEN r.since IS NULL THEN e.s WHEN e.s - r.since >= 3600 THEN NULL ELSE r.since END,
-e.v <= 25 AND r.st = 'settling' AND r.since IS NOT NULL AND e.s - r.since >= 3600
-FROM r JOIN e ON e.stream = r.stream AND e.i = r.i + 1)
-SELECT stream, event_id, s AS seconds FROM r WHERE fires""",
+    "c9_motion_trigger": f"WITH RECURSIVE {_FIRED_SQL} SELECT stream, event_id, s AS seconds FROM r WHERE fires",
+    "t5_timely_judgements": f"""WITH RECURSIVE {_FIRED_SQL}, j AS (SELECT stream, event_id, i, s + event_id % 7 * 86400 AS done_at FROM r WHERE fires)
+SELECT stream, event_id, done_at FROM j WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.stream = j.stream AND e.i > j.i AND e.v > 60 AND e.s <= j.done_at)""",
     "t1_sampled_events": "SELECT user_id, event_id, i AS frame_no FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events) WHERE i % 8 = 0",
 }

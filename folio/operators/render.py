@@ -63,9 +63,13 @@ def html(blocks: DataFrame, language: str = "de", comments: bool = False) -> Dat
     return found.select("book", F.concat(start, head, F.lit("</head>\n<body>\n"), h1, "body", F.lit("</body>\n</html>\n")).alias("text"))
 
 
-def write_texts(rendered: DataFrame, path: str) -> None:
-    """One directory per book with its text."""
-    rendered.repartition("book").write.partitionBy("book").text(path)
+def write_texts(rendered: DataFrame, path: str, buckets: int | None = None) -> None:
+    """The texts: a folder with a plain text for each book, or for many books so many ``buckets`` of JSON lines (book, text)."""
+    if buckets is None:
+        rendered.repartition("book").write.partitionBy("book").text(path)
+        return
+    dealt = rendered.withColumn("bucket", F.pmod(F.xxhash64("book"), F.lit(buckets)).cast("int"))
+    dealt.repartition("bucket").sortWithinPartitions("bucket", "book").write.partitionBy("bucket").json(path)
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,6 +144,32 @@ def m_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def m3_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page replaced by two, and a rescan of the last one resolved, in favour of the new page every other time."""
+    s = _sessions(spark, sf_dir).withColumn("none", F.array().cast("array<string>"))
+    order, last, new = F.col("page_order"), F.element_at("page_order", -1), F.array(F.lit("n1"), F.lit("n2"))
+    replaced = replace_page(order, F.col("none"), F.lit("p0"), new)
+    resolved = resolve_rescan(insert_after(order, last, new), F.col("none"), last, new, F.col("session") % 2 == 0)
+    join = lambda c: F.array_join(c, ",")
+    return s.select("session", join(replaced[0]).alias("replaced"), join(replaced[1]).alias("out"), join(resolved[0]).alias("resolved"), join(resolved[1]).alias("lost"))
+
+
+def m9_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories by order date and title; every third title has nothing that a file system takes."""
+    title = F.when(F.col("o_orderkey") % 3 == 0, F.lit(" /:")).otherwise(F.concat(F.col("o_orderpriority"), F.lit(": No. ")))
+    stamp = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd HH-mm-ss")
+    return table(spark, sf_dir, "orders").select("o_orderkey", directory_for(stamp, title).alias("directory"))
+
+
+def m10_archived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of each session's files once all sessions with pages (every other) are archived."""
+    files = _files(spark, sf_dir)
+    sessions = files.select("session").distinct().withColumn("archived", F.col("session") % 4 == 1)
+    sessions = sessions.withColumn("page_order", F.when(F.col("session") % 2 == 0, F.array(F.lit("p0"))).otherwise(F.array().cast("array<string>")))
+    marked, left = archived(sessions, files)
+    return left.groupBy("session").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes")).join(marked.select("session", "archived"), "session")
+
+
 def j1_ordered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of each session in reversed order with a dangling id, with their characters."""
     pages = lines(spark, sf_dir).groupBy("book", "page_no").agg(F.sum("n").alias("characters"))
@@ -164,10 +190,13 @@ def j2_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PATH = "CASE page_id % 6 WHEN 0 THEN 'Aufnahme-' || page_id || '.heic' WHEN 1 THEN 'Papierkorb/Aufnahme-' || page_id || '.heic' WHEN 2 THEN 'book.PDF' WHEN 3 THEN 'OCR/Aufnahme-' || page_id || '.json' WHEN 4 THEN 'book.md' ELSE 'old/book.pdf' END"
 
 
-def a6_session_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as the files of forty sessions."""
-    files = table(spark, sf_dir, "pages").select(F.expr("page_id % 40").alias("session"), F.expr(_PATH).alias("path"), F.octet_length("html").cast("long").alias("bytes"))
-    return session_rollup(files)
+    return table(spark, sf_dir, "pages").select(F.expr("page_id % 40").alias("session"), F.expr(_PATH).alias("path"), F.octet_length("html").cast("long").alias("bytes"))
+
+
+def a6_session_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session_rollup(_files(spark, sf_dir))
 
 
 def a7_library_total(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +230,7 @@ def s21_export_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "u3_set_order": u3_set_order, "m_edits": m_edits, "j1_ordered_pages": j1_ordered_pages, "j2_page_texts": j2_page_texts,
+    "u3_set_order": u3_set_order, "m_edits": m_edits, "m3_replacements": m3_replacements, "m9_directories": m9_directories, "m10_archived_files": m10_archived_files, "j1_ordered_pages": j1_ordered_pages, "j2_page_texts": j2_page_texts,
     "a6_session_rollup": a6_session_rollup, "a7_library_total": a7_library_total, "s14_best_formats": s14_best_formats, "x23_camera_names": x23_camera_names, "s21_export_names": s21_export_names,
 }
 _SESSIONS = f"{LINES_SQL}, ss AS (SELECT book AS session, list_transform(range(0, max(page_no) + 1), lambda i: 'p' || i) AS o FROM lines GROUP BY book)"
@@ -216,6 +245,13 @@ SQL = {
 SELECT session, array_to_string(list_concat(o[1:1], ['n1', 'n2'], o[2:]), ',') AS inserted,
 array_to_string(CASE WHEN len(o) <= 2 THEN o ELSE list_concat(o[1:1], [o[-1]], o[2:len(o) - 1]) END, ',') AS moved, array_to_string(lf, ',') AS left, array_to_string(bin, ',') AS bin,
 array_to_string(CASE WHEN list_contains(lf, 'p1') THEN list_concat(['p0'], lf) ELSE list_concat(lf, ['p0']) END, ',') AS restored, array_to_string(bin[1:len(bin) - 1], ',') AS bin_after FROM t""",
+    "m3_replacements": f"""WITH {_SESSIONS} SELECT session, array_to_string(list_concat(['n1', 'n2'], o[2:]), ',') AS replaced, 'p0' AS "out",
+array_to_string(CASE WHEN session % 2 = 0 THEN list_concat(o[1:len(o) - 1], ['n1', 'n2']) ELSE o END, ',') AS resolved, CASE WHEN session % 2 = 0 THEN o[-1] ELSE 'n1,n2' END AS lost FROM ss""",
+    "m9_directories": """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H-%M-%S') || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE
+' ' || trim(left(trim(regexp_replace(replace(o_orderpriority || ': No. ', ':', ' '), '\\s+', ' ', 'g')), 80), '. ') END AS directory FROM orders""",
+    "m10_archived_files": f"""WITH f AS (SELECT page_id % 40 AS session, {_PATH} AS path, strlen(html) AS bytes FROM pages)
+SELECT session, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes, session % 4 <> 3 AS archived FROM f
+WHERE session % 4 = 3 OR NOT (starts_with(path, 'Papierkorb/') OR lower(string_split(path, '.')[-1]) = 'heic') GROUP BY session""",
     "j1_ordered_pages": f"""WITH {LINES_SQL}, p AS (SELECT book AS session, page_no, CAST(sum(n) AS BIGINT) AS characters FROM lines GROUP BY ALL)
 SELECT session, row_number() OVER (PARTITION BY session ORDER BY page_no DESC) AS position, 'p' || page_no AS page, characters FROM p""",
     "j2_page_texts": f"WITH {LINES_SQL} SELECT book, page_no, count(*) FILTER (WHERE conf_pct >= 90) AS n_lines FROM lines GROUP BY ALL",

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folio.functions.arrays import each_row, gathered
 from folio.functions.text import parse_iso_timestamp
 from folio.operators.geometry import reading_order
 from folio.schema import PAGE_JSON, SESSION_JSON
@@ -63,13 +67,44 @@ def read_page_lines(spark: SparkSession, root: str) -> DataFrame:
         _box(F.col("l.box"), 2, 1).alias("w"), _box(F.col("l.box"), 2, 2).alias("h"), F.coalesce("l.angle", F.lit(0.0)).alias("angle"),
     )
 
-    def reorder(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("line_no").reset_index(drop=True)
-        order = reading_order(list(zip(page["x"], page["y"], page["w"], page["h"], strict=True)))
-        return page.iloc[order].assign(line_no=range(len(page)), version=CURRENT_VERSION)
-
-    old = rows.where(F.col("version") < CURRENT_VERSION).groupBy("directory", "page").applyInPandas(reorder, rows.schema)
-    return rows.where(F.col("version") >= CURRENT_VERSION).unionByName(old)
+    names = [c for c in rows.columns if c not in ("directory", "page")]
+
+    def reorder(row: dict) -> Iterator[tuple]:
+        page = row["members"]
+        order = reading_order([(x["x"], x["y"], x["w"], x["h"]) for x in page])
+        for place, i in enumerate(order):
+            values = page[i] | {"line_no": place, "version": CURRENT_VERSION}
+            yield row["directory"], row["page"], *(values[c] for c in names)
+
+    kinds = {"version": pa.int32(), "line_no": pa.int32(), "text": pa.string(), "confidence": pa.float32()}
+    arrow = pa.schema([("directory", pa.string()), ("page", pa.string()), *((c, kinds.get(c, pa.float64())) for c in names)])
+    old = gathered(rows.where(F.col("version") < CURRENT_VERSION), ["directory", "page"], "line_no", *[c for c in names if c != "line_no"])
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in arrow.names)
+    return rows.where(F.col("version") >= CURRENT_VERSION).unionByName(each_row(old, reorder, schema, arrow))
+
+
+def upgraded_page_texts(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """Page texts of an older version written to ``path`` as JSON documents in the current one; returns what was written."""
+    box = F.array(F.array("x", "y"), F.array("w", "h"))
+    line = F.struct("line_no", "text", "confidence", box.alias("box"), "angle")
+    old = spark.read.schema(PAGE_JSON).option("multiLine", True).json(f"{root}/*/OCR/*.json").where(F.coalesce("version", F.lit(1)) < CURRENT_VERSION)
+    heads = old.select(_part(F.input_file_name(), -3).alias("directory"), F.col("pageID").alias("page"), "pixelWidth", "pixelHeight", "languages", "recognizedAt")
+    ordered = F.transform(F.array_sort(F.collect_list(line)), lambda x: F.struct(x["text"].alias("text"), x["confidence"].alias("confidence"), x["box"].alias("box"), x["angle"].alias("angle")))
+    texts = read_page_lines(spark, root).groupBy("directory", "page").agg(ordered.alias("lines"))
+    whole = heads.join(texts, ["directory", "page"], "left").withColumn("version", F.lit(CURRENT_VERSION)).withColumnRenamed("page", "pageID")
+    whole.repartition("directory").write.partitionBy("directory").json(path)
+    return spark.read.schema(T.StructType([*PAGE_JSON.fields, T.StructField("directory", T.StringType())])).json(path)
+
+
+def save_page_texts(sessions: DataFrame, rows: DataFrame, path: str) -> DataFrame:
+    """Append page lines (directory, page ..) by session, and the sessions with those pages' status set to done."""
+    rows.repartition("directory").write.mode("append").partitionBy("directory").parquet(path)
+    read = rows.groupBy("directory").agg(F.collect_set("page").alias("__read"))
+    fields = sessions.schema["pages"].dataType.elementType.names
+    status = lambda p: F.when(F.array_contains("__read", p["id"]), F.lit("done")).otherwise(p["ocrStatus"])
+    done = F.transform("pages", lambda p: F.struct(*[(status(p) if c == "ocrStatus" else p[c]).alias(c) for c in fields]))
+    joined = sessions.join(read, "directory", "left")
+    return joined.withColumn("pages", F.when(F.col("__read").isNull(), F.col("pages")).otherwise(done)).select(*sessions.columns)
 
 
 def write_page_lines(rows: DataFrame, path: str) -> None:

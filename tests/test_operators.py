@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from folio.functions import images as I
 from folio.functions import text as X
 from folio.operators import render
+from folio.operators.frames import fired, timely_judgements
 from folio.operators.geometry import quadrant, reading_order, rotated_box
 from folio.operators.sequence import ISSUES_SQL, PRINTED_SQL, live_issues, printed_numbers, sequence_issues
 from folio.operators.similarity import c10_new_pages, edit_distance, new_pages, same_page, word_share
 from folio.operators.titles import composed
+from folio.schema import Motion
 from folio.streaming.motion import settled_pages, step
 
 
@@ -199,6 +201,34 @@ def test_rendering(spark):
     assert "<h1>T &amp; U</h1>\n<!-- Seite 9, Scan 1 -->\n<h2>H</h2>\n<ul>\n<li>a&lt;b</li>\n<li>c</li>\n</ul>\n<blockquote><p>f</p></blockquote>\n<!-- n- -n -->\n</body>" in body
 
 
+def test_texts_are_written_by_book_or_by_bucket(spark, tmp_path):
+    texts = spark.createDataFrame([(i, f"text {i}\nend") for i in range(30)], "book long, text string")
+    render.write_texts(texts, str(tmp_path / "buckets"), 4)
+    read = spark.read.schema("book long, text string, bucket int").json(str(tmp_path / "buckets"))
+    assert sorted((r.book, r.text) for r in read.collect()) == [(i, f"text {i}\nend") for i in range(30)] and read.select("bucket").distinct().count() <= 4
+    render.write_texts(texts.where("book = 3"), str(tmp_path / "one"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "one" / "book=3")).collect()] == ["text 3", "end"]
+
+
+def test_chunks_of_time_do_not_change_where_streams_settle(spark):
+    rng = np.random.default_rng(9)
+    rows = [(s, i, int(i * 3 + rng.integers(0, 3)), float(rng.choice([0, 1, 4, 20], p=[0.5, 0.2, 0.1, 0.2]))) for s in range(3) for i in range(150)]
+    levels = spark.createDataFrame(rows, "stream long, event_id long, seconds long, level double")
+    want = []
+    for s in range(3):
+        state, since = "idle", None
+        for stream, event, at, level in sorted(rows, key=lambda r: (r[2], r[1])):
+            if stream == s:
+                state, since, found = step(state, since, at, level, Motion(settle_seconds=5))
+                want += [(s, event, at)] * found
+    for chunk in (7, 100, 86_400):
+        assert sorted(tuple(r) for r in fired(levels, Motion(settle_seconds=5), chunk).collect()) == sorted(want)
+    judged = fired(levels, Motion(settle_seconds=5)).withColumn("done_at", F.col("seconds") + 6)
+    moves = {s: [r[2] for r in rows if r[0] == s and r[3] > 6] for s in range(3)}
+    timely = [(s, e) for s, e, at in want if not any(at < m <= at + 6 for m in moves[s])]
+    assert sorted((r.stream, r.event_id) for r in timely_judgements(levels, judged, Motion(settle_seconds=5)).collect()) == sorted(timely)
+
+
 def test_image_kernels():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 255, (60, 80)).astype(np.uint8)

@@ -29,6 +29,14 @@ def test_documents_pages_and_listing(spark, tmp_path):
     assert [(r.page, r.number) for r in pages] == [("p2", 1), ("p1", 2)]
     rows = S.read_page_lines(spark, str(tmp_path)).orderBy("line_no").collect()
     assert [(r.text, r.version, r.angle) for r in rows] == [("left", 2, 0.5), ("right", 2, 0.0), ("bottom", 2, 0.0)]
+    upgraded = S.upgraded_page_texts(spark, str(tmp_path), str(tmp_path / "new")).collect()
+    assert [(r.version, r.pageID, r.directory, [(x.text, x.box[0], x.angle) for x in r.lines]) for r in upgraded] == [
+        (2, "p1", a.name, [("left", [0.1, 0.885], 0.5), ("right", [0.6, 0.88], 0.0), ("bottom", [0.1, 0.48], 0.0)])
+    ]
+    texts = S.read_page_lines(spark, str(tmp_path)).withColumn("page", F.lit("p2"))
+    sessions = S.read_sessions(spark, str(tmp_path)).withColumn("pages", F.transform("pages", lambda p: p.withField("ocrStatus", F.lit("pending"))))
+    saved = {r.id: [(p.id, p.ocrStatus) for p in r.pages] for r in S.save_page_texts(sessions, texts, str(tmp_path / "texts")).collect()}
+    assert saved == {"A": [("p1", "pending"), ("p2", "done")], "B": []} and spark.read.parquet(str(tmp_path / "texts")).count() == 3
     rollup = {r.session: r for r in M.session_rollup(S.file_listing(spark, str(tmp_path))).collect()}
     assert (rollup[a.name].image_bytes, rollup[a.name].trash_bytes, rollup[a.name].export_bytes, rollup[a.name].exports) == (7, 5, 4, "pdf")
     (b / "session.json").write_text(json.dumps({"version": 1, "id": "B", "createdAt": "yesterday"}))
