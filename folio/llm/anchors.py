@@ -135,10 +135,18 @@ def shared_contexts(rows: DataFrame, items: Callable, window: int, k: int) -> Da
 
 
 def split_by_size(members: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """``members`` of anchors with at most ``most`` differing contexts (column of), which meet as one group, and the others."""
+    """``members`` of anchors with at most ``most`` differing contexts (column of), which are brought together, and the others."""
     return members.where(F.col("of") <= most), members.where(F.col("of") > most)
 
 
+def in_chunks(members: DataFrame, chunk: int) -> DataFrame:
+    """``members`` of anchors with ``of`` contexts, with chunks i <= j: any two contexts of one anchor meet in some (i, j) of bounded size."""
+    m = F.ceil(F.col("of") / chunk).cast("int")
+    own = F.pmod(F.xxhash64("digest"), m).cast("int")
+    spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), m - 1)))
+    return spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other")
+
+
 def window_digests(asked: DataFrame, items: Callable, window: int) -> DataFrame:
     """(key, doc, row, a, known): a 128-bit digest for each window of the wanted contexts, kept.
 

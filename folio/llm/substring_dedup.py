@@ -7,8 +7,8 @@ shard, the contexts of one anchor in the order of their doc_ids: a document's co
 of all smaller documents for its matching statistics, its maximal spans of at least ``WINDOW`` words are recorded, and
 only then, and only if it holds a new window, is the automaton extended by it. The shards hold the whole corpus
 together, which has no size bound, so they are not broadcast but meet their documents in the shuffle. No automaton grows
-with the data: an anchor with more than ``CHUNK`` differing contexts has its windows looked up one by one by their 128-bit
-digests, which spreads them over all tasks.
+with the data: a shard of more than ``CHUNK`` contexts is met as pairs of chunks, and an anchor with more than ``MOST``
+chunks of contexts has its windows looked up one by one by their 128-bit digests, which spreads them over all tasks.
 
 Windows are judged on the input. Null text has no words; rows without a doc_id lose nothing and take nothing from
 others. Rows of one doc_id are the same document and take nothing from each other. Texts may have any length; empty tables
@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.anchors import keyed, merged, shared_contexts, split_by_size, window_digests, with_spans, word_items
+from folio.llm.anchors import in_chunks, keyed, merged, shared_contexts, split_by_size, window_digests, with_spans, word_items
 from folio.llm.common import WORD_PATTERN, keep, map_columns, map_rows, named, table
 
 WINDOW = 50
 GRAM = 16
-#: Differing contexts of an anchor that meet in one automaton.
+#: Differing contexts of an anchor that meet in one automaton, and chunks that are met as pairs: a context has MOST copies at most.
 CHUNK = 1024
+MOST = 16
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
@@ -131,9 +132,11 @@ def duplicated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, gr
         "doc", "row", F.col("first").alias("a"), (F.col("first") + F.col("windows") + window - 1).alias("b")
     )
     members = settled.where("doc = least").join(several, "hash")
-    grouped, common = split_by_size(members.select("hash", "of", "doc", "row", "first", "windows", F.lit(False).alias("known")), group)
-    asking = lambda m: rows.join(m.groupBy("doc", "row").agg(F.collect_set(F.struct("hash", "known", "first", "windows")).alias("want")), ["doc", "row"])
-    names = ["hash", "doc", "row", "first", "words"]
+    grouped, common = split_by_size(members.select("hash", "digest", "of", "doc", "row", "first", "windows", F.lit(False).alias("known")), MOST * group)
+    grouped = in_chunks(grouped, group)
+    asking = lambda m, *c: rows.join(m.groupBy("doc", "row").agg(F.collect_set(F.struct(*c, "first", "windows")).alias("want")), ["doc", "row"])
+    key = ["hash", "i", "j"]
+    names = [*key, "doc", "row", "first", "words"]
 
     def send(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
@@ -142,7 +145,7 @@ def duplicated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, gr
                 words = (text or "").encode().split()
                 for x in want:
                     held = b" ".join(words[x["first"] : x["first"] + x["windows"] + window - 1])
-                    for c, v in zip(names, (x["hash"], doc, row, x["first"], held), strict=True):
+                    for c, v in zip(names, (x["hash"], x["i"], x["j"], doc, row, x["first"], held), strict=True):
                         out[c].append(v)
             yield out
 
@@ -151,7 +154,7 @@ def duplicated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, gr
         now = None
         for b in batches:
             out: list = []
-            for at, doc, row, first, words in zip(*(b[c] for c in names), strict=True):
+            for *at, doc, row, first, words in zip(*(b[c] for c in names), strict=True):
                 if at != now:
                     out += match_shard(held, window)
                     held, now = [], at
@@ -165,16 +168,16 @@ def duplicated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, gr
             "a": [p[2] + a for p, a, _ in found], "b": [p[2] + b for p, _, b in found],
         }
 
-    kinds = [("hash", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("first", pa.int32()), ("words", pa.binary())]
-    sent = map_rows(asking(grouped), send, "hash long, doc long, row long, first int, words binary", pa.schema(kinds))
+    kinds = [("hash", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("doc", pa.int64()), ("row", pa.int64()), ("first", pa.int32()), ("words", pa.binary())]
+    sent = map_rows(asking(grouped, *key), send, "hash long, i int, j int, doc long, row long, first int, words binary", pa.schema(kinds))
     span = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
     differing = map_rows(
-        sent.repartition("hash").sortWithinPartitions("hash"), match, "doc long, row long, a int, b int", span
+        sent.repartition(*key).sortWithinPartitions(*key), match, "doc long, row long, a int, b int", span
     )
     found = alike.union(differing)
-    if several.where(F.col("of") > group).isEmpty():
+    if several.where(F.col("of") > MOST * group).isEmpty():
         return found
-    windows = window_digests(asking(common), word_items, window)
+    windows = window_digests(asking(common, "known"), word_items, window)
     least = windows.groupBy("key").agg(F.min("doc").alias("least"))
     single = windows.join(least, "key").where("doc > least").select("doc", "row", "a", (F.col("a") + window).alias("b"))
     return found.union(single)

@@ -101,3 +101,13 @@ def test_a_very_long_text_and_other_columns(spark):
     assert out.columns == ["doc_id", "text", "a.b", "spans", "n_words", "n_removed", "kept"]
     got = {r.doc_id: (r.n_words, r.n_removed, r["a.b"]) for r in out.collect()}
     assert got == {1: (150_000, 0, "mine"), 2: (72, 70, None), 3: (0, 0, "x")}
+
+
+@pytest.mark.parametrize("chunk,most", [(2, 1), (1, 2)])
+def test_windows_of_common_anchors_match_brute_force(spark, monkeypatch, chunk, most):
+    monkeypatch.setattr(S, "CHUNK", chunk)
+    monkeypatch.setattr(S, "MOST", most)
+    rows = corpus(5, 8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed, r.kept) for r in S.deduplicate(docs, 8, 4).collect())
+    assert got == brute(rows, 8)
