@@ -8,7 +8,7 @@ A query looks for all codes within a radius: by the pigeonhole principle one of
 within radius // m of the query's, so those buckets are probed, the full distance is checked on what they hold, and the
 floats of all codes within the radius are ranked by exact inner products. Substrings are long because neighbours may be
 far: where they differ in two bits of five, the buckets within radius // m hold a quarter of all rows for 16 bits, so
-that the sixteen tables of 256 bits select nothing, but under one row in a hundred for 128. The radius is the ``COVER``
+that sixteen such tables select nothing, but a few in a hundred for 128. The radius is the ``COVER``
 quantile of the distances of true neighbours in the sample, of so many as the sample holds of a query's k. No bucket or candidate
 list is capped. Queries that find fewer than k rows within the radius are answered from all rows.
 
