@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as X
@@ -82,9 +82,10 @@ def f13_continues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s12_natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Place of each part by name, numbers by value: its key and its rank among all."""
+    """The files of each folder (one a brand) by name, numbers by value: their keys and places."""
     name = F.concat(F.lit("Part "), F.col("p_partkey").cast("string"), F.lit(".png"))
-    return table(spark, sf_dir, "part").select(name.alias("name"), X.natural_key(name).alias("sort_key"))
+    files = table(spark, sf_dir, "part").select(F.col("p_brand").alias("folder"), name.alias("name"), X.natural_key(name).alias("sort_key"))
+    return files.withColumn("place", F.row_number().over(Window.partitionBy("folder").orderBy("sort_key", "name")))
 
 
 _STARTS = r"length(regexp_extract({0}, '^\p{{N}}+')) BETWEEN 1 AND 4"
@@ -139,5 +140,6 @@ SELECT *, n_lines >= 4 AND 5 * numbered >= 2 * n_lines AS is_list FROM p""",
 regexp_matches(lower(text), '{"|".join(X.PUBLISHER_WORDS)}') OR regexp_matches(lower(text), '\b(1[5-9]|20)[0-9][0-9]\b') OR {_COUNT.format("text", r"\p{L}")} < 2 AS excluded FROM lines""",
     "f13_continues": rf"""WITH {LINES_SQL}, p AS (SELECT *, lag(text) OVER (PARTITION BY book, page_no ORDER BY line_no) AS previous FROM lines)
 SELECT book, page_no, line_no, regexp_matches(previous, '[{X.HYPHENS}]$') OR (NOT regexp_matches(previous, '{X.ENDS_SENTENCE.replace("'", "''")}') AND regexp_matches(text, '^\p{{Ll}}')) AS continued FROM p WHERE previous IS NOT NULL""",
-    "s12_natural_order": "SELECT 'Part ' || p_partkey || '.png' AS name, 'part ' || lpad(CAST(p_partkey AS VARCHAR), 19, '0') || '.png' AS sort_key FROM part",
+    "s12_natural_order": """SELECT p_brand AS folder, 'Part ' || p_partkey || '.png' AS name, 'part ' || lpad(CAST(p_partkey AS VARCHAR), 19, '0') || '.png' AS sort_key,
+CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS place FROM part""",
 }

@@ -218,9 +218,8 @@ def _page_words(rows: DataFrame) -> DataFrame:
 
 
 def j7_shared_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shared words of each page and the next, by plain letters, as its SQL says."""
+    """Shared words of each page and the next."""
     pages = _page_words(lines(spark, sf_dir))
-    pages = pages.withColumn("words", F.filter("words", lambda w: F.regexp_like(w, F.lit("^[a-z0-9]+$"))))
     following = pages.select("book", (F.col("page_no") - 1).alias("page_no"), F.col("words").alias("b"))
     return shared_words(pages.withColumnRenamed("words", "a").join(following, ["book", "page_no"]))
 
@@ -251,8 +250,11 @@ _KEYS = rf"""{LINES_SQL}, kk AS (SELECT book, page_no, list(DISTINCT {_NORM.form
 keys AS (SELECT book, page_no, coalesce(ks, []) AS keys FROM kk)"""
 _HEADINGS = ", ".join(f"'{h}'" for h in TOC_HEADINGS)
 _STRIPPED = r"CASE WHEN {s} THEN regexp_replace(text, '^[\p{{N}}. ]*', '') ELSE text END".replace("{s}", _STARTS.format("text").replace("{", "{{").replace("}", "}}")).format()
-TOC_SQL = rf"""{LINES_SQL},
-cl AS (SELECT book, page_no, line_no, CASE WHEN page_no = 0 THEN text || ' ' || (line_no + 1) ELSE text END AS text FROM lines),
+
+
+def toc_sql(text: str, source: str = "lines") -> str:
+    """CTEs to ``toc``, the contents titles of the lines in ``source`` that hold ``text``."""
+    return rf"""cl AS (SELECT book, page_no, line_no, {text} AS text FROM {source}),
 pl AS (SELECT *, row_number() OVER (PARTITION BY book, page_no ORDER BY line_no) AS place FROM cl),
 pg AS (SELECT book, page_no, bool_or(place <= 3 AND {_NORM.format("text")} IN ({_HEADINGS})) AS headed, count(*) AS n,
               count(*) FILTER (WHERE {_STARTS.format("text")} OR {_ENDS.format("text")}) AS numbered FROM pl GROUP BY ALL),
@@ -260,6 +262,18 @@ en AS (SELECT book, {_STRIPPED} AS text FROM pl JOIN pg USING (book, page_no) WH
 tt AS (SELECT DISTINCT book, {_NORM.format("CASE WHEN " + _ENDS.format("text") + r" THEN regexp_replace(text, '[\p{N}. ]*$', '') ELSE text END")} AS title FROM en),
 toc AS (SELECT * FROM tt WHERE length(title) >= 6)"""
 
+
+TOC_SQL = f"""{LINES_SQL}, {toc_sql("CASE WHEN page_no = 0 THEN text || ' ' || (line_no + 1) ELSE text END")}"""
+#: Words of the pages; levenshtein counts bytes there, so that other letters of the texts become capitals, which no word holds.
+_WORDS = rf"""{LINES_SQL}, wo AS (SELECT book, page_no, translate(word, 'ßäçèéêíñóöü', 'ABCDEFGHIJK') AS word FROM (SELECT book, page_no,
+unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}]+')) AS word FROM lines) WHERE length(word) >= 4),
+ww AS (SELECT DISTINCT * FROM wo), ps AS (SELECT DISTINCT book, page_no FROM lines),
+n AS (SELECT book, page_no, count(DISTINCT word) AS n, count(word) AS c FROM ps LEFT JOIN wo USING (book, page_no) GROUP BY ALL)"""
+_SHARED = """SELECT pr.book, pr.page_no, pr.s, pr.l, count(DISTINCT x.word) AS shared FROM pr JOIN ww x ON x.book = pr.book AND x.page_no = pr.s
+      JOIN ww y ON y.book = pr.book AND y.page_no = pr.l AND left(x.word, 1) = left(y.word, 1)
+      AND (x.word = y.word OR (length(x.word) >= 5 AND abs(length(x.word) - length(y.word)) <= CASE WHEN length(x.word) >= 7 THEN 2 ELSE 1 END
+           AND levenshtein(x.word, y.word) <= CASE WHEN length(x.word) >= 7 THEN 2 ELSE 1 END)) GROUP BY ALL"""
+
 QUERIES = {
     "a10_page_keys": a10_page_keys, "a11_near_pages": a11_near_pages, "j6_duplicate_pages": j6_duplicate_pages, "j7_shared_words": j7_shared_words,
     "c10_new_pages": c10_new_pages, "d9_toc_titles": d9_toc_titles, "j3_toc_matches": j3_toc_matches,
@@ -281,16 +295,21 @@ wk AS (SELECT book, k, page_no, CAST(NULL AS INT) AS twin, [{{'p': page_no, 'ks'
          len(list_intersect(o.ks, keys)) >= CAST({Duplicate.share} AS DOUBLE) * len(list_distinct(list_concat(o.ks, keys))))[1].p END AS twin
        FROM wk JOIN pk ON pk.book = wk.book AND pk.k = wk.k + 1))
 SELECT book, page_no, twin AS "of" FROM wk WHERE twin IS NOT NULL""",
-    "j7_shared_words": rf"""WITH {LINES_SQL}, ww AS (SELECT DISTINCT book, page_no, word FROM (SELECT book, page_no,
-unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}]+')) AS word FROM lines) WHERE length(word) >= 4 AND regexp_matches(word, '^[a-z0-9]+$')),
-ps AS (SELECT DISTINCT book, page_no FROM lines), n AS (SELECT book, page_no, count(word) AS n FROM ps LEFT JOIN ww USING (book, page_no) GROUP BY ALL),
+    "j7_shared_words": f"""WITH {_WORDS},
 pr AS (SELECT a.book, a.page_no, least(a.n, b.n) AS total, CASE WHEN a.n <= b.n THEN a.page_no ELSE b.page_no END AS s, CASE WHEN a.n <= b.n THEN b.page_no ELSE a.page_no END AS l
-       FROM n a JOIN n b ON a.book = b.book AND b.page_no = a.page_no + 1),
-m AS (SELECT pr.book, pr.page_no, count(DISTINCT x.word) AS shared FROM pr JOIN ww x ON x.book = pr.book AND x.page_no = pr.s
-      JOIN ww y ON y.book = pr.book AND y.page_no = pr.l AND left(x.word, 1) = left(y.word, 1)
-      AND (x.word = y.word OR (length(x.word) >= 5 AND abs(length(x.word) - length(y.word)) <= CASE WHEN length(x.word) >= 7 THEN 2 ELSE 1 END
-           AND levenshtein(x.word, y.word) <= CASE WHEN length(x.word) >= 7 THEN 2 ELSE 1 END)) GROUP BY ALL)
+       FROM n a JOIN n b ON a.book = b.book AND b.page_no = a.page_no + 1), m AS ({_SHARED})
 SELECT book, page_no, total, coalesce(shared, 0) AS shared FROM pr LEFT JOIN m USING (book, page_no)""",
+    "c10_new_pages": f"""WITH RECURSIVE {_WORDS},
+pr AS (SELECT b.book, b.page_no, a.page_no AS earlier, least(a.n, b.n) AS total, CASE WHEN a.n < b.n THEN a.page_no ELSE b.page_no END AS s, CASE WHEN a.n < b.n THEN b.page_no ELSE a.page_no END AS l
+       FROM n a JOIN n b ON a.book = b.book AND a.page_no < b.page_no WHERE least(a.c, b.c) >= {SamePage.few_words}), m AS ({_SHARED}),
+tw AS (SELECT pr.book, pr.page_no, list(earlier) AS twins FROM pr JOIN m USING (book, page_no, s, l) WHERE shared / total >= CAST({SamePage.share} AS DOUBLE) GROUP BY ALL),
+pk AS (SELECT n.book, n.page_no, coalesce(twins, []) AS twins, row_number() OVER (PARTITION BY n.book ORDER BY n.page_no) AS k FROM n LEFT JOIN tw USING (book, page_no)),
+wk AS (SELECT book, k, page_no, true AS is_new, [page_no] AS known FROM pk WHERE k = 1
+ UNION ALL
+ SELECT pk.book, pk.k, pk.page_no, NOT list_has_any(known, twins), CASE WHEN list_contains(twins, known[-1]) THEN list_append(known[1:-2], pk.page_no)
+        WHEN list_has_any(known, twins) THEN known ELSE (list_append(known, pk.page_no))[-{SamePage.remembered}:] END
+ FROM wk JOIN pk ON pk.book = wk.book AND pk.k = wk.k + 1)
+SELECT book, page_no, is_new FROM wk""",
     "d9_toc_titles": f"WITH {TOC_SQL} SELECT * FROM toc",
     "j3_toc_matches": f"WITH {TOC_SQL} SELECT book, page_no, line_no FROM lines WHERE EXISTS (SELECT 1 FROM toc WHERE toc.book = lines.book AND toc.title = {_NORM.format('text')})",
 }

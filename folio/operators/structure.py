@@ -18,10 +18,12 @@ from pyspark.sql.window import WindowSpec
 from folio.functions import text as X
 from folio.functions.arrays import each_row, gathered
 from folio.operators.hyphenation import join_lines, joined, word_test
-from folio.operators.sequence import printed_numbers
-from folio.operators.similarity import duplicate_pages, page_keys, toc_titles
-from folio.schema import Structure
-from folio.sources.tables import lines
+from folio.operators.predicates import _ENDS as _ENDS_SQL
+from folio.operators.predicates import _NUM, _STARTS, _sql_caps
+from folio.operators.sequence import printed_numbers, printed_sql
+from folio.operators.similarity import _NORM, duplicate_pages, page_keys, toc_sql, toc_titles
+from folio.schema import Duplicate, Structure
+from folio.sources.tables import LINES_SQL, lines
 
 PAGE = ["book", "page_no"]
 
@@ -265,15 +267,31 @@ def books(rows: DataFrame, words: frozenset | None = None, titles: DataFrame | N
     return each_row(books, fold, "book long, block_no int, kind string, level int, text string, scan int, printed string", pa.schema(kinds))
 
 
+#: What the queries below make of the lines: chapter lines, contents pages that list them, titles of two lines, footnotes in
+#: small type, page numbers, and a gap inside pages; expressions that Spark and DuckDB share.
+_BASE = """CASE WHEN line_no % 30 = 12 OR page_no % 5 = 1 AND line_no % 30 = 3 THEN 'Kapitel ' || substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(book % 26 + 1 AS INT), 1)
+WHEN page_no % 5 = 1 AND line_no % 30 = 5 THEN 'Anhang und Register' WHEN page_no % 5 = 1 THEN text
+WHEN (book + page_no) % 3 = 1 AND line_no % 30 = 20 THEN 'Anhang' WHEN (book + page_no) % 3 = 1 AND line_no % 30 = 21 THEN 'und Register'
+WHEN (book + page_no) % 4 = 1 AND line_no % 30 = 26 THEN '* ' || text ELSE text END"""
+_TEXT = f"CASE WHEN line_no % 30 = 29 AND (book + page_no) % 3 = 0 THEN '– ' || (book % 50 + page_no + 1) || ' –' WHEN page_no % 5 = 1 THEN {_BASE} || ' ' || (line_no + 1) ELSE {_BASE} END"
+_WIDE = "CASE WHEN line_no % 30 = 0 THEN 24 WHEN line_no % 30 = 12 THEN 18 WHEN (book + page_no) % 4 = 1 AND line_no % 30 >= 26 THEN 9 ELSE 12 END"
+_MIDDLE = "mid_mil - CASE WHEN line_no % 30 >= 15 THEN 40 ELSE 0 END"
+_BOOK_LINES = f"""{LINES_SQL}, ml AS (SELECT book, page_no, line_no, conf_pct, x_mil, t AS text, length(t) AS n, length(t) * ({_WIDE}) AS w_mil, {_MIDDLE} AS mid_mil FROM (SELECT *, {_TEXT} AS t FROM lines)), {printed_sql("ml")}"""
+
+
 def boxed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines with the columns that structuring reads."""
-    rows = lines(spark, sf_dir)
-    return rows.select(*PAGE, "line_no", "text", (F.col("conf_pct") / 100).alias("confidence"), F.col("x_mil").cast("double"), F.col("w_mil").cast("double"), F.lit(20.0).alias("h_mil"), F.col("mid_mil").cast("double"))
+    """The lines as those of typeset books, with the columns that structuring reads."""
+    rows = lines(spark, sf_dir).withColumn("text", F.expr(_TEXT))
+    return rows.select(
+        *PAGE, "line_no", "text", (F.col("conf_pct") / 100).alias("confidence"), F.col("x_mil").cast("double"), (F.length("text") * F.expr(_WIDE)).cast("double").alias("w_mil"), F.lit(20.0).alias("h_mil"),
+        F.expr(_MIDDLE).cast("double").alias("mid_mil"),
+    )
 
 
 def d4_line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kind and level of every line."""
-    rows = classified(page_lines(boxed_lines(spark, sf_dir)))
+    """Kind and level of every line, contents titles known."""
+    rows = boxed_lines(spark, sf_dir)
+    rows = classified(page_lines(rows), toc_titles(rows))
     return rows.select(*PAGE, "line_no", "kind", F.coalesce("level", F.lit(0)).cast("long").alias("level"))
 
 
@@ -285,5 +303,120 @@ def d6_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books(boxed_lines(spark, sf_dir))
 
 
+def _sql_ends(c: str, chars: str) -> str:
+    return f"regexp_matches({c}, '[{chars}]$')"
+
+
+def _sql_lower(c: str) -> str:
+    return rf"regexp_matches({c}, '^\p{{Ll}}')"
+
+
+def _sql_sizes(name: str, by: str, prefix: str) -> str:
+    median = lambda c, where: f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c} DESC) FILTER (WHERE {where})"
+    return f"""{name} AS (SELECT {by}, count(*) AS {prefix}n, {median("h", "true")} AS {prefix}h, {median("size", "n >= 8")} AS {prefix}c, {median("gap", "gap > 0")} AS {prefix}p FROM sz GROUP BY ALL)"""
+
+
+_MARK = f"regexp_matches(text, '{X.FOOTNOTE_MARKER}')"
+_NUMBERED = f"({_STARTS.format('text')} OR {_ENDS_SQL.format('text')})"
+
+
+def kinds_sql(by: str, titles: str | None = None) -> str:
+    """CTEs up to ``cf``, the classified lines, with statistics by book or page; ``titles`` names a CTE (book, title)."""
+    r = Structure()
+    in_toc = lambda c: f"EXISTS (SELECT 1 FROM {titles} t WHERE t.book = lk.book AND t.title = {_NORM.format(c)})" if titles else "false"
+    return rf"""
+bx AS (SELECT book, page_no, line_no, text, n, conf_pct, CAST(x_mil AS DOUBLE) AS x, CAST(w_mil AS DOUBLE) AS w, 20.0::DOUBLE AS h, CAST(mid_mil AS DOUBLE) AS mid, w_mil / greatest(n, 1) AS size FROM ml),
+sz AS (SELECT *, mid - lead(mid) OVER (PARTITION BY book, page_no ORDER BY line_no) AS gap FROM bx WHERE conf_pct >= 30),
+{_sql_sizes("sb", by, "b_")}, {_sql_sizes("sp", "book, page_no", "p_")},
+ed AS (SELECT bx.*, CASE WHEN lo > 0 THEN CASE WHEN lo = hi THEN '' || lo ELSE lo || '–' || hi END END AS printed, {_NUM.format("text")} > 0 AND
+              (mid >= max(mid) OVER (PARTITION BY book, page_no) - 20 OR mid <= min(mid) OVER (PARTITION BY book, page_no) + 20) AS number_line FROM bx JOIN printed USING (book, page_no)),
+rw AS (SELECT * FROM ed WHERE NOT number_line OR printed IS NULL),
+fc AS (SELECT book, page_no, count(*) AS m, list_sort(list(x))[count(*) // 10 + 1] AS lft, list_sort(list(x + w))[least(count(*) - 1, count(*) * 9 // 10) + 1] AS rgt,
+              count(*) >= 4 AND 5 * count(*) FILTER (WHERE {_NUMBERED}) >= 2 * count(*) AS is_list FROM rw GROUP BY ALL),
+hh AS (SELECT rw.*, m, lft, rgt, is_list, greatest(rgt - lft, 10) AS width, coalesce(b_h, p_h, 20) AS height, b_p, p_p, b_c, p_c FROM rw JOIN fc USING (book, page_no)
+       LEFT JOIN (SELECT * FROM sb WHERE b_n >= 20) q USING ({by}) LEFT JOIN sp USING (book, page_no)),
+ln AS (SELECT *, coalesce(b_p, p_p, height * 1.3) AS pitch, coalesce(b_c, p_c, height * 0.55) AS median, row_number() OVER o - 1 AS pos,
+              lag(text) OVER o AS ptext, lead(text) OVER o AS ntext, lag(x) OVER o AS px, lead(x) OVER o AS nx, lag(w) OVER o AS pw, lag(h) OVER o AS ph, lag(mid) OVER o AS pmid, lead(mid) OVER o AS nmid,
+              first_value(mid) OVER (PARTITION BY book, page_no ORDER BY line_no) AS high, first_value(mid) OVER (PARTITION BY book, page_no ORDER BY line_no DESC) AS low
+       FROM hh WINDOW o AS (PARTITION BY book, page_no ORDER BY line_no)),
+fs AS (SELECT *, 1 + max(CASE WHEN size >= {r.footnote_size} * median THEN pos END) OVER (PARTITION BY book, page_no) AS start FROM ln WHERE NOT is_list),
+fa AS (SELECT book, page_no, any_value(m) AS m, any_value(median) AS median, any_value(start) AS start, count(*) FILTER (WHERE pos >= start) AS behind,
+              min(pos) FILTER (WHERE m >= 4 AND high > low AND pos > 0 AND {_MARK} AND mid <= low + {r.footnote_zone} * (high - low)) AS marked,
+              percentile_disc(0.5) WITHIN GROUP (ORDER BY size DESC) FILTER (WHERE pos >= start) AS block,
+              coalesce(bool_or(pos = start AND NOT {_sql_lower("text")}), false) AS begins, coalesce(bool_or(pos = start AND {_MARK}), false) AS with_mark FROM fs GROUP BY book, page_no),
+ft AS (SELECT book, page_no, least(coalesce(marked, m), CASE WHEN start < m AND begins AND (with_mark OR (behind >= 2 AND block < {r.footnote_median} * median)) THEN start ELSE m END) AS foot FROM fa),
+lk AS (SELECT ln.*, coalesce(foot, m) AS foot, {_sql_caps("text")} AS caps, w < {r.short_heading} * width AS short, coalesce(pmid - mid, 0) AS above, coalesce(mid - nmid, 0) AS below, size / median AS ratio
+       FROM ln LEFT JOIN ft USING (book, page_no)),
+lv AS (SELECT *, {in_toc("text")} AS in_toc, {in_toc("text || coalesce(' ' || ntext, '')")} AS pair_in_toc, short OR above > {r.spaced} * pitch OR below > {r.spaced} * pitch AS apart,
+              {_sql_lower("text")} OR {_sql_ends("text", X.HYPHENS + ":,;")} OR coalesce({_sql_ends("ptext", X.HYPHENS)}, false)
+              OR coalesce(rgt - px - pw <= {r.short_line} * width AND NOT {_sql_ends("ptext", '.!?:"“”)')} AND above < {r.spaced} * pitch, false)
+              OR coalesce({_sql_lower("ntext")}, false) OR {_NUMBERED} OR {_MARK} AS barred,
+              len(list_filter(regexp_split_to_array(text, '\s+'), lambda t: regexp_matches(t, '\p{{L}}'))) >= 2 OR len(regexp_extract_all(text, '\p{{L}}')) >= 8 AS substantial FROM lk),
+kd AS (SELECT *, CASE WHEN NOT barred AND substantial AND pos < foot AND NOT is_list THEN
+              CASE WHEN in_toc THEN CASE WHEN caps THEN 1 ELSE 2 END WHEN ratio > {r.heading_1} AND apart THEN 1 WHEN ratio > {r.heading_2} AND apart THEN 2 WHEN caps AND short THEN 2 END END AS lev FROM lv),
+ke AS (SELECT *, CASE WHEN pos >= foot THEN 'footnote' WHEN is_list THEN 'listItem' WHEN lev IS NOT NULL THEN 'heading' ELSE 'body' END AS kin FROM kd),
+kp AS (SELECT *, coalesce(pair_in_toc AND kin = 'body' AND lead(kin) OVER (PARTITION BY book, page_no ORDER BY line_no) = 'body', false) AS pair FROM ke),
+kt AS (SELECT *, pair AND (pos - 1 - coalesce(max(CASE WHEN NOT pair THEN pos END) OVER (PARTITION BY book, page_no ORDER BY line_no), -1)) % 2 = 0 AS taken, CASE WHEN caps THEN 1 ELSE 2 END AS own FROM kp),
+ku AS (SELECT *, CASE WHEN taken THEN own WHEN lag(taken) OVER (PARTITION BY book, page_no ORDER BY line_no) THEN lag(own) OVER (PARTITION BY book, page_no ORDER BY line_no) END AS both_level FROM kt),
+cf AS (SELECT * EXCLUDE (kin, lev), CASE WHEN both_level IS NOT NULL THEN 'heading' ELSE kin END AS kind, coalesce(both_level, lev) AS level FROM ku)"""
+
+
+def blocks_sql() -> str:
+    """CTEs from ``cf`` to ``bl``, the blocks of each page."""
+    r = Structure()
+    return rf"""
+gp AS (SELECT *, lag(kind) OVER o = kind AND CASE kind
+          WHEN 'heading' THEN lag(level) OVER o = level AND pmid - ph / 2 - mid - h / 2 <= {r.same_block} * pitch
+          WHEN 'footnote' THEN NOT {_MARK} AND pmid - mid <= {r.same_block} * pitch
+          WHEN 'body' THEN NOT CASE WHEN {_sql_ends("ptext", X.HYPHENS)} OR {_sql_lower("text")} THEN false WHEN pmid - mid > {r.same_block} * pitch THEN true
+               WHEN x - px > height THEN rgt - px - pw > {r.short_line} * width OR CASE WHEN ntext IS NOT NULL THEN nx - lft < 0.5 * height ELSE {_sql_ends("ptext", ".!?:")} END
+               ELSE rgt - px - pw > {r.short_line} * width AND x - lft < 0.5 * height END
+          ELSE {_sql_ends("ptext", "-,")} OR {_sql_lower("text")} END AS goes_on FROM cf WINDOW o AS (PARTITION BY book, page_no ORDER BY line_no)),
+gn AS (SELECT *, CAST(sum(CASE WHEN coalesce(goes_on, false) THEN 0 ELSE 1 END) OVER (PARTITION BY book, page_no ORDER BY line_no) AS INT) AS block_no, trim(text, ' ' || chr(9)) AS line FROM gp),
+gl AS (SELECT *, lead(line) OVER (PARTITION BY book, page_no, block_no ORDER BY line_no) AS nline FROM gn),
+bl AS (SELECT book, page_no, any_value(printed) AS printed, block_no, CASE any_value(kind) WHEN 'body' THEN 'paragraph' ELSE any_value(kind) END AS kind, CAST(coalesce(max(level), 0) AS INT) AS level,
+              string_agg(line || CASE WHEN nline IS NULL OR {_sql_ends("line", X.HYPHENS)} AND regexp_matches(nline, '^\p{{L}}') THEN '' ELSE ' ' END, '' ORDER BY line_no) AS text,
+              'unsicher: ' || string_agg('„' || text || '“', ', ' ORDER BY line_no) FILTER (WHERE conf_pct < 50) AS uncertain FROM gl GROUP BY book, page_no, block_no)"""
+
+
+def books_sql() -> str:
+    """CTEs after ``bl``: duplicates by one recursion over a book's pages, the assembled blocks by another."""
+    d, key = Duplicate, _NORM.format("text")
+    block = lambda kind, level, text, printed: f"{{'kind': {kind}, 'level': {level}, 'text': {text}, 'scan': page_no + 1, 'printed': {printed}}}"
+    brk, note = block("'pageBreak'", "0", "''", "printed"), block("'note'", "0", "'Scan ' || (page_no + 1) || ' ist ein Duplikat von Scan ' || (twin + 1) || ' und wurde übersprungen'", "NULL")
+    last_but = lambda kinds: f"list_max(list_transform(range(1, len(done) + 1), lambda j: CASE WHEN done[j].kind IN ({kinds}) THEN 0 ELSE j END))"
+    runs_on = lambda t: rf"""(regexp_matches({t}, '[{X.HYPHENS}]$') OR NOT regexp_matches({t}, '{X.ENDS_SENTENCE.replace("'", "''")}') AND {_sql_lower("opening")})"""
+    return rf"""
+dk AS (SELECT book, page_no, list(DISTINCT {key}) FILTER (WHERE conf_pct >= 50 AND length({key}) >= {d.key_length}) AS ks FROM ml GROUP BY ALL),
+dp AS (SELECT book, page_no, coalesce(ks, []) AS keys, row_number() OVER (PARTITION BY book ORDER BY page_no) AS k FROM dk),
+dw AS (SELECT book, k, page_no, CAST(NULL AS INT) AS twin, [{{'p': page_no, 'ks': keys}}] AS kept FROM dp WHERE k = 1
+ UNION ALL
+ SELECT book, k, page_no, twin, CASE WHEN twin IS NULL THEN (list_append(kept, {{'p': page_no, 'ks': keys}}))[-{d.window}:] ELSE kept END
+ FROM (SELECT dp.*, kept, CASE WHEN len(keys) >= {d.least_keys} THEN list_filter(kept, lambda o:
+         len(list_intersect(o.ks, keys)) >= CAST({d.share} AS DOUBLE) * len(list_distinct(list_concat(o.ks, keys))))[1].p END AS twin FROM dw JOIN dp ON dp.book = dw.book AND dp.k = dw.k + 1)),
+pb AS (SELECT book, page_no, flatten(list(CASE WHEN uncertain IS NULL THEN [{block("kind", "level", "text", "CAST(NULL AS VARCHAR)")}]
+              ELSE [{block("'note'", "0", "uncertain", "CAST(NULL AS VARCHAR)")}, {block("kind", "level", "text", "CAST(NULL AS VARCHAR)")}] END ORDER BY block_no)) AS here FROM bl GROUP BY ALL),
+pp AS (SELECT *, coalesce(list_position(list_transform(here, lambda b: b.kind <> 'note'), true), 0) AS f FROM
+       (SELECT dw.book, k, dw.page_no, twin, coalesce(here, []) AS here, CASE WHEN lo > 0 THEN CASE WHEN lo = hi THEN '' || lo ELSE lo || '–' || hi END END AS printed
+        FROM dw JOIN printed USING (book, page_no) LEFT JOIN pb USING (book, page_no))),
+fo AS (SELECT book, k, list_concat([{brk}], here) AS done FROM pp WHERE k = 1
+ UNION ALL
+ SELECT book, k, CASE WHEN twin IS NOT NULL THEN list_concat(done, [{block("'pageBreak'", "0", "''", "NULL")}, {note}])
+        WHEN target = 0 THEN list_concat(list_concat(done, [{brk}]), here)
+        ELSE list_concat(list_concat(list_concat(done[1:target - 1], [{{'kind': done[target].kind, 'level': done[target].level, 'scan': done[target].scan, 'printed': done[target].printed,
+             'text': done[target].text || CASE WHEN regexp_matches(done[target].text, '[{X.HYPHENS}]$') AND regexp_matches(opening, '^\p{{L}}') THEN '' ELSE ' ' END || opening}}]), done[target + 1:]),
+             list_concat([{brk}], list_concat(here[1:f - 1], here[f + 1:]))) END
+ FROM (SELECT *, CASE WHEN opening IS NULL THEN 0 WHEN done[a].kind = 'paragraph' AND {runs_on("done[a].text")} THEN a
+                      WHEN done[b].kind = 'footnote' AND {runs_on("done[b].text")} THEN b ELSE 0 END AS target
+       FROM (SELECT pp.*, done, CASE WHEN f > 0 AND here[f].kind = 'paragraph' THEN here[f].text END AS opening,
+                    {last_but("'footnote', 'note', 'pageBreak'")} AS a, {last_but("'note', 'pageBreak'")} AS b FROM fo JOIN pp ON pp.book = fo.book AND pp.k = fo.k + 1))),
+fb AS (SELECT book, done, unnest(range(1, len(done) + 1)) AS i FROM (SELECT book, arg_max(done, k) AS done FROM fo GROUP BY book))"""
+
+
 QUERIES = {"d4_line_kinds": d4_line_kinds, "d5_page_blocks": d5_page_blocks, "d6_books": d6_books}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "d4_line_kinds": f"WITH {_BOOK_LINES}, {toc_sql('text', 'ml')}, {kinds_sql('book', 'toc')} SELECT book, page_no, line_no, kind, CAST(coalesce(level, 0) AS BIGINT) AS level FROM cf",
+    "d5_page_blocks": f"WITH {_BOOK_LINES}, {kinds_sql('book, page_no')}, {blocks_sql()} SELECT * FROM bl",
+    "d6_books": f"""WITH RECURSIVE {_BOOK_LINES}, {toc_sql("text", "ml")}, {kinds_sql("book", "toc")}, {blocks_sql()}, {books_sql()}
+SELECT book, CAST(i - 1 AS INT) AS block_no, done[i].kind AS kind, done[i].level AS level, done[i].text AS text, done[i].scan AS scan, done[i].printed AS printed FROM fb""",
+}
