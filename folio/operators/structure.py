@@ -48,65 +48,83 @@ def _upper_median(value: str, where: str = "true") -> Column:
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value} DESC) FILTER (WHERE {where})")
 
 
-def _sizes(rows: DataFrame, by: list[str], prefix: str) -> DataFrame:
-    """Upper medians of height, character width of long lines, and positive gap; and the number of lines."""
-    kept = rows.where("confidence >= 0.3").withColumn("gap", F.col("mid_mil") - F.lead("mid_mil").over(in_order()))
-    return kept.groupBy(*by).agg(
-        F.count("*").alias(f"{prefix}n"), _upper_median("h_mil").alias(f"{prefix}h"), _upper_median("size", "n >= 8").alias(f"{prefix}c"), _upper_median("gap", "gap > 0").alias(f"{prefix}p")
+def _median_in_page(value: str) -> Column:
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value} DESC) OVER (PARTITION BY book, page_no)")
+
+
+def _book_sizes(rows: DataFrame) -> DataFrame:
+    """Upper medians of height, character width of long lines, and positive gap of books with enough lines."""
+    kept = rows.where("kept")
+    sizes = kept.groupBy("book").agg(
+        F.count("*").alias("b_n"), _upper_median("h_mil").alias("b_h"), _upper_median("size", "n >= 8").alias("b_c"), _upper_median("gap", "gap > 0").alias("b_p")
     )
+    return sizes.where("b_n >= 20").drop("b_n")
 
 
 def page_lines(rows: DataFrame, by_book: bool = True) -> DataFrame:
-    """Lines without printed numbers, with place, neighbours, book medians, page edges and the list-page flag."""
-    n = F.length("text")
+    """Lines without printed numbers, with place, neighbours, medians, page edges and the list-page flag.
+
+    All of a page's figures are windows over one partitioning by page; only a book's medians and printed numbers are joined.
+    """
+    n, mid = F.length("text"), F.col("mid_mil")
     rows = rows.where("text <> ''").withColumn("n", n).withColumn("size", F.col("w_mil") / F.greatest(n, F.lit(1)))
-    book = _sizes(rows, ["book"], "b_").where("b_n >= 20") if by_book else _sizes(rows, PAGE, "b_").where("b_n >= 20")
-    page = _sizes(rows, PAGE, "p_")
     printed = printed_numbers(rows).select(*PAGE, F.when(F.col("lo") > 0, F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(F.concat(F.col("lo").cast("string"), F.lit("–"), F.col("hi").cast("string")))).alias("printed"))
+    below = F.first(F.when(F.col("kept"), mid), ignorenulls=True).over(in_order().rowsBetween(1, Window.unboundedFollowing))
+    rows = rows.withColumn("kept", F.coalesce(F.col("confidence") >= 0.3, F.lit(False))).withColumn("gap", F.when(F.col("kept"), mid - below))
+    book = _book_sizes(rows) if by_book else None
     top, bottom = F.max("mid_mil").over(by_page()), F.min("mid_mil").over(by_page())
-    edge = (F.col("mid_mil") >= top - 20) | (F.col("mid_mil") <= bottom + 20)
-    rows = rows.withColumn("number_line", edge & X.page_number(F.col("text")).isNotNull())
-    rows = rows.join(printed, PAGE).where(~F.col("number_line") | F.col("printed").isNull())
+    edge = (mid >= top - 20) | (mid <= bottom + 20)
+    rows = rows.select(
+        "*", _median_in_page("CASE WHEN kept THEN h_mil END").alias("p_h"), _median_in_page("CASE WHEN kept AND n >= 8 THEN size END").alias("p_c"),
+        _median_in_page("CASE WHEN gap > 0 THEN gap END").alias("p_p"), edge.alias("at_edge"),
+    )
+    rows = rows.join(printed, PAGE).where(F.col("printed").isNull() | ~(F.col("at_edge") & X.page_number(F.col("text")).isNotNull())).drop("at_edge", "kept", "gap")
     numbered = X.starts_with_number(F.col("text")) | X.ends_with_number(F.col("text"))
-    facts = rows.groupBy(*PAGE).agg(
-        F.count("*").alias("lines"), F.array_sort(F.collect_list("x_mil")).alias("ls"), F.array_sort(F.collect_list(F.col("x_mil") + F.col("w_mil"))).alias("rs"), F.count_if(numbered).alias("numbered")
-    )
-    facts = facts.select(
-        *PAGE, "lines", F.expr("ls[cast(lines div 10 as int)]").alias("left"), F.expr("rs[cast(least(lines - 1, lines * 9 div 10) as int)]").alias("right"),
-        ((F.col("lines") >= 4) & (5 * F.col("numbered") >= 2 * F.col("lines"))).alias("is_list"),
+    rows = rows.withColumn("numbered", numbered.cast("int"))
+    ordered = lambda c: F.array_sort(F.collect_list(c).over(by_page()))
+    rows = rows.select(
+        *[c for c in rows.columns if c != "numbered"], F.count("*").over(by_page()).alias("lines"), ordered(F.col("x_mil")).alias("ls"), ordered(F.col("x_mil") + F.col("w_mil")).alias("rs"),
+        F.sum("numbered").over(by_page()).alias("numbered"),
     )
-    rows = rows.join(book, ["book"] if by_book else PAGE, "left").join(page, PAGE, "left").join(facts, PAGE)
-    rows = rows.withColumn("height", F.coalesce("b_h", "p_h", F.lit(20.0))).withColumn("pitch", F.coalesce("b_p", "p_p", F.col("height") * 1.3))
-    rows = rows.withColumn("median", F.coalesce("b_c", "p_c", F.col("height") * 0.55)).withColumn("width", F.greatest(F.col("right") - F.col("left"), F.lit(10.0)))
+    rows = rows.withColumn("left", F.expr("ls[cast(lines div 10 as int)]")).withColumn("right", F.expr("rs[cast(least(lines - 1, lines * 9 div 10) as int)]"))
+    rows = rows.withColumn("is_list", (F.col("lines") >= 4) & (5 * F.col("numbered") >= 2 * F.col("lines"))).drop("ls", "rs", "numbered")
+    if book is not None:
+        rows = rows.join(book, "book", "left")
+    own = lambda c: [f"b_{c}", f"p_{c}"] if by_book else [f"p_{c}"]
+    rows = rows.withColumn("height", F.coalesce(*own("h"), F.lit(20.0))).withColumn("pitch", F.coalesce(*own("p"), F.col("height") * 1.3))
+    rows = rows.withColumn("median", F.coalesce(*own("c"), F.col("height") * 0.55)).withColumn("width", F.greatest(F.col("right") - F.col("left"), F.lit(10.0)))
     rows = rows.withColumn("at", F.row_number().over(in_order()) - 1)
     for c in ("text", "x_mil", "w_mil", "h_mil", "mid_mil"):
         rows = rows.withColumn(f"prev_{c}", F.lag(c).over(in_order())).withColumn(f"next_{c}", F.lead(c).over(in_order()))
     return rows
 
 
-def footnote_starts(rows: DataFrame, rule: Structure = Structure()) -> DataFrame:
-    """(book, page_no, foot): the place of the first footnote line; the number of lines where there is none."""
-    small = F.col("size") < rule.footnote_size * F.col("median")
-    last_normal = F.max(F.when(~small, F.col("at"))).over(by_page())
+def with_footnotes(rows: DataFrame, rule: Structure = Structure()) -> DataFrame:
+    """``page_lines`` rows with ``foot``, the place of the page's first footnote line; the number of lines where there is none."""
+    at, start, mid = F.col("at"), F.col("start"), F.col("mid_mil")
     mark = X.starts_with_footnote_marker(F.col("text"))
-    ends = by_page().orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    high, low = F.first("mid_mil").over(ends), F.last("mid_mil").over(ends)
-    rows = rows.where("NOT is_list").withColumn("start", last_normal + 1).withColumn("high", high).withColumn("low", low)
-    in_zone = (F.col("lines") >= 4) & (F.col("high") > F.col("low")) & (F.col("at") > 0) & mark
-    in_zone &= F.col("mid_mil") <= F.col("low") + rule.footnote_zone * (F.col("high") - F.col("low"))
-    found = rows.groupBy(*PAGE).agg(
-        F.first("lines").alias("lines"), F.first("median").alias("median"), F.first("start").alias("start"), F.min(F.when(in_zone, F.col("at"))).alias("marked"),
-        _upper_median("size", "at >= start").alias("block"), F.count_if(F.col("at") >= F.col("start")).alias("block_lines"),
-        F.bool_or((F.col("at") == F.col("start")) & ~_starts_lower(F.col("text"))).alias("opens"), F.bool_or((F.col("at") == F.col("start")) & mark).alias("with_mark"),
+    whole = in_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    small = F.col("size") < rule.footnote_size * F.col("median")
+    rows = rows.select(
+        "*", (F.max(F.when(~small, at)).over(by_page()) + 1).alias("start"), F.first("mid_mil").over(whole).alias("high"), F.last("mid_mil").over(whole).alias("low"), mark.alias("mark")
+    )
+    in_zone = (F.col("lines") >= 4) & (F.col("high") > F.col("low")) & (at > 0) & F.col("mark")
+    in_zone &= mid <= F.col("low") + rule.footnote_zone * (F.col("high") - F.col("low"))
+    rows = rows.select(
+        "*", F.min(F.when(in_zone, at)).over(by_page()).alias("marked"), F.sort_array(F.collect_list(F.when(at >= start, F.col("size"))).over(by_page()), False).alias("behind"),
+        F.bool_or((at == start) & ~_starts_lower(F.col("text"))).over(by_page()).alias("opens"), F.bool_or((at == start) & F.col("mark")).over(by_page()).alias("with_mark"),
     )
-    smaller = (F.col("block_lines") >= 2) & (F.col("block") < rule.footnote_median * F.col("median"))
-    sized = F.when((F.col("start") < F.col("lines")) & F.col("opens") & (F.col("with_mark") | smaller), F.col("start"))
-    return found.select(*PAGE, F.least(F.coalesce(sized, "lines"), F.coalesce("marked", "lines")).alias("foot"))
+    block = F.get("behind", F.expr("cast((size(behind) - 1) div 2 as int)"))
+    smaller = (F.size("behind") >= 2) & (block < rule.footnote_median * F.col("median"))
+    sized = F.when((start < F.col("lines")) & F.col("opens") & (F.col("with_mark") | smaller), start)
+    foot = F.least(F.coalesce(sized, "lines"), F.coalesce("marked", "lines"))
+    rows = rows.withColumn("foot", F.when(F.col("is_list"), F.col("lines")).otherwise(foot))
+    return rows.drop("start", "high", "low", "mark", "marked", "behind", "opens", "with_mark")
 
 
 def classified(rows: DataFrame, titles: DataFrame | None = None, rule: Structure = Structure()) -> DataFrame:
     """``page_lines`` rows with kind (heading, body, listItem, footnote) and level; titles are contents titles by book."""
-    rows = rows.join(footnote_starts(rows, rule), PAGE, "left").withColumn("foot", F.coalesce("foot", "lines"))
+    rows = with_footnotes(rows, rule)
     key, pair = X.normalized(F.col("text")), X.normalized(F.concat_ws(" ", "text", "next_text"))
     if titles is None:
         rows = rows.withColumn("in_toc", F.lit(False)).withColumn("pair_in_toc", F.lit(False))
