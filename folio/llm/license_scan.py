@@ -68,8 +68,11 @@ def _shingles(words: Column) -> Column:
     return _let(words, lambda w: F.when(F.size(w) >= SHINGLE, hashed(w)).otherwise(F.array().cast("array<bigint>")))
 
 
-def _windows(shingles: Column, known: Column, lengths: Column) -> Column:
-    """Structs (n, start, held) for the windows of each length that hold a known shingle; held is their shingles."""
+def _windows(shingles: Column, known: list[int], lengths: Column) -> Column:
+    """Structs (n, start, held) for the windows of each length that hold a known shingle; held is their shingles.
+
+    Known ones are literals of an IN, which Spark looks up by hash, whatever the size of the library.
+    """
 
     def around(s: Column, p: Column) -> Column:
         """The starts of the windows that hold position p, for each length."""
@@ -78,11 +81,11 @@ def _windows(shingles: Column, known: Column, lengths: Column) -> Column:
         return F.flatten(F.transform(fitting, lambda n: F.transform(starts(n), lambda x: F.struct(n.alias("n"), x.alias("start")))))
 
     def found(s: Column) -> Column:
-        hits = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.array_contains(known, F.get(s, i)))
+        hits = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.get(s, i).isin(known))
         windows = F.array_distinct(F.flatten(F.transform(hits, lambda p: around(s, p))))
         held = lambda x: F.slice(s, x["start"] + 1, x["n"] - SHINGLE + 1).alias("held")
         return F.when(
-            F.arrays_overlap(s, known),
+            F.exists(s, lambda x: x.isin(known)),
             F.transform(windows, lambda x: F.struct(x["n"].alias("n"), x["start"].alias("start"), held(x))),
         )
 
@@ -116,7 +119,7 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
     """Rows (doc_id, license, containment, first_word): each template found, its best window and where that begins."""
     library = _library(docs.sparkSession, templates)
     facts = library.agg(F.flatten(F.collect_set("wanted")).alias("known"), F.collect_set("n").alias("lengths")).first()
-    known = F.lit(facts["known"]).cast("array<bigint>")
+    known = sorted(set(facts["known"]))
     lengths = F.array(*[F.lit(n) for n in sorted(facts["lengths"])]).cast("array<int>")
     spread = F.explode_outer(_windows(_shingles(_words(F.col("text"))), known, lengths))
     windows = docs.select("doc_id", spread.alias("x")).where("x IS NOT NULL").select("doc_id", "x.*")
