@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folio.operators import frames, geometry, hyphenation, predicates, render, sequence, sessions, similarity, structure, titles, typography
+from folio.operators import edit_log, frames, geometry, hyphenation, predicates, render, sequence, sessions, similarity, structure, titles, typography
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (frames, geometry, hyphenation, predicates, render, sequence, sessions, similarity, structure, titles, typography):
+for _module in (edit_log, frames, geometry, hyphenation, predicates, render, sequence, sessions, similarity, structure, titles, typography):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
