@@ -27,19 +27,21 @@ def gathered(rows: DataFrame, by: list[str], order: str, *columns: str) -> DataF
     return rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("members"))
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch's rows in order, in slices of bounded bytes or of one row."""
+    todo = [batch]
+    while todo:
+        part = todo.pop()
+        half = part.num_rows // 2
+        if half and part.nbytes > SLICE:
+            todo += [part.slice(half), part.slice(0, half)]
+        else:
+            yield part
+
+
 def each_row(df: DataFrame, fn: Callable[[dict], Iterator[tuple]], schema: str, arrow: pa.Schema) -> DataFrame:
     """``mapInArrow`` for a function from a row to the rows it gives."""
 
-    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        todo = [batch]
-        while todo:
-            part = todo.pop()
-            half = part.num_rows // 2
-            if half and part.nbytes > SLICE:
-                todo += [part.slice(half), part.slice(0, half)]
-            else:
-                yield part
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for b in batches for p in parts(b)):
             found = [x for row in part.to_pylist() for x in fn(row)]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.functions.arrays import each_row, gathered, let
+from folio.functions.arrays import gathered, let, parts
 from folio.functions.images import changed_share, square
 from folio.functions.text import TOC_HEADINGS, ends_with_number, normalized, snapshot_words, starts_with_number, without_toc_numbers
 from folio.operators.predicates import _ENDS, _STARTS
@@ -108,92 +109,97 @@ def toc_titles(rows: DataFrame) -> DataFrame:
     return titles.where(F.length("title") >= 6).distinct()
 
 
-class Snapshot:
-    """The words read on a page: how many, which, and the longer ones by initial for inexact look-ups."""
+def spellings(word: str, edits: int) -> set[str]:
+    """What is left of a word when up to ``edits`` of its letters are left out, the first one apart."""
+    found = {word}
+    for _ in range(edits):
+        found |= {w[:i] + w[i + 1 :] for w in found for i in range(1, len(w))}
+    return found
 
-    def __init__(self, words: list[str]) -> None:
-        self.count = len(words)
-        self.words = dict.fromkeys(words)
-        self.by_initial: dict[str, list[tuple[str, int]]] = {}
-        for w in self.words:
-            if len(w) >= 4:
-                self.by_initial.setdefault(w[0], []).append((w, letters(w)))
 
-    def holds(self, word: str) -> bool:
-        """Whether the word is here, or one that its length lets it be a misreading of."""
-        if word in self.words:
-            return True
-        edits = (len(word) >= 5) + (len(word) >= 7)
-        if not edits:
-            return False
-        own = letters(word)
-        close = (w for w, bits in self.by_initial.get(word[0], ()) if abs(len(w) - len(word)) <= edits and (own ^ bits).bit_count() <= 2 * edits)
-        return any(edit_distance(word, w, edits) <= edits for w in close)
+def within(a: str, b: str, edits: int) -> bool:
+    """Whether so many edits make one word of the other."""
+    same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[same:], b[same:]
+    if not a or not b:
+        return len(a) + len(b) <= edits
+    return edits > 0 and (within(a[1:], b[1:], edits - 1) or within(a[1:], b, edits - 1) or within(a, b[1:], edits - 1))
 
-    def share_with(self, other: Snapshot) -> float:
-        """The part of the smaller set of words (this one if equal) that the larger one holds."""
-        small, large = (other, self) if len(other.words) < len(self.words) else (self, other)
-        return sum(map(large.holds, small.words)) / len(small.words) if small.words else 0.0
 
-    def same_page(self, other: Snapshot, changed: float, rule: SamePage = SamePage()) -> bool:
-        """Many words decide alone, a few need the tiles' consent, hardly any leave it to the tiles."""
-        fewer = min(self.count, other.count)
-        need_words, need_tiles = fewer >= rule.least_words, fewer < rule.few_words
-        return (not need_words or self.share_with(other) >= rule.share) and (not need_tiles or changed < rule.changed_tiles)
+def allowed_edits(word: str) -> int:
+    """``tolerance`` of one word."""
+    return (len(word) >= 5) + (len(word) >= 7)
 
 
-def same_page(a: list[str], b: list[str], changed: float, rule: SamePage = SamePage()) -> bool:
-    return Snapshot(a).same_page(Snapshot(b), changed, rule)
+class ReadWords:
+    """The words read on a page; inexact look-ups meet at a common shortened spelling, which words within an edit distance share."""
 
+    def __init__(self, words: list[str]) -> None:
+        self.listed = words
+        self.distinct = frozenset(words)
+
+    @cached_property
+    def by_spelling(self) -> dict[str, list[str]]:
+        found: dict[str, list[str]] = {}
+        for w in self.distinct:
+            if len(w) >= 4:
+                for short in spellings(w, min(2, len(w) - 3)):
+                    found.setdefault(short, []).append(w)
+        return found
 
-def word_share(a: list[str], b: list[str]) -> float:
-    return Snapshot(a).share_with(Snapshot(b))
+    def misread(self, word: str) -> bool:
+        """Whether a word that is not here is like one of the page's."""
+        edits = allowed_edits(word)
+        return edits > 0 and any(within(word, w, edits) for short in spellings(word, edits) for w in self.by_spelling.get(short, ()))
 
 
-def letters(word: str) -> int:
-    """A bit set of a word's characters; an edit changes at most two bits."""
-    bits = 0
-    for c in word:
-        bits |= 1 << ord(c) % 61
-    return bits
+def word_share(a: ReadWords, b: ReadWords) -> float:
+    """The part of the smaller set of words (the first if equal) that the other one holds or may be a misreading of; 0 without words."""
+    small, large = sorted((a, b), key=lambda page: len(page.distinct))
+    missing = small.distinct - large.distinct
+    return 1 - sum(not large.misread(w) for w in missing) / len(small.distinct) if small.distinct else 0.0
 
 
-def edit_distance(a: str, b: str, limit: int | None = None) -> int:
-    """Edits between two words; anything above the limit, once a row of the table is wholly above it."""
-    row = list(range(len(b) + 1))
-    for i, c in enumerate(a, 1):
-        corner, row[0] = row[0], i
-        for j, d in enumerate(b, 1):
-            best = corner if c == d else 1 + min(corner, row[j], row[j - 1])
-            corner, row[j] = row[j], best
-        if limit is not None and min(row) > limit:
-            return limit + 1
-    return row[-1]
+def same_page(a: ReadWords, b: ReadWords, changed: Callable[[], float], rule: SamePage = SamePage()) -> bool:
+    """Many words decide alone, a few need the tiles' consent, hardly any leave it to the tiles; ``changed`` is their changed share."""
+    n = min(len(a.listed), len(b.listed))
+    by_words = n < rule.least_words or word_share(a, b) >= rule.share
+    return by_words and (n >= rule.few_words or changed() < rule.changed_tiles)
+
+
+def judge_page(known: list[tuple], words: list[str] | None, pixels: list[int] | None, rule: SamePage = SamePage()) -> tuple[bool, list[tuple]]:
+    """Whether a page is new to the last ones, structs (words, frame or None), and those to remember after it."""
+    here = (ReadWords(list(words or [])), square(pixels) if pixels is not None and len(pixels) else None)
+    tiles = lambda frame: lambda: 1.0 if frame is None or here[1] is None else changed_share(frame, here[1])
+    same = [same_page(here[0], page, tiles(frame), rule) for page, frame in known]
+    if not any(same):
+        return True, [*known, here][-rule.remembered :]
+    return False, [*known[:-1], here] if same[-1] else known
 
 
 def new_pages(snapshots: DataFrame, rule: SamePage = SamePage()) -> DataFrame:
     """(book, page_no, is_new) of snapshots (book, page_no, words[, pixels]): a page is new if it differs from the last three.
 
-    Pixels are those of square gray frames; without them no tile is taken as unchanged.
+    Pixels are those of square gray frames; without them no tile is taken as unchanged. Books are dealt out and sorted, and a
+    task goes through its pages with the last three in hand, so that it never holds a book.
     """
     frames = "pixels" in snapshots.columns
-
-    def fold(row: dict) -> Iterator[tuple]:
-        known: list[tuple[Snapshot, object]] = []
-        for page in row["members"]:
-            here = Snapshot(page["words"] or [])
-            pixels = square(page["pixels"]) if frames and page["pixels"] else None
-            changed = lambda o: 1.0 if pixels is None or o is None else changed_share(o, pixels)  # noqa: B023, E731
-            same = [here.same_page(words, changed(seen), rule) for words, seen in known]
-            yield row["book"], page["page_no"], not any(same)
-            if same and same[-1]:
-                known[-1] = (here, pixels)
-            elif not any(same):
-                known = [*known, (here, pixels)][-rule.remembered :]
-
-    books = gathered(snapshots, ["book"], "page_no", "words", *["pixels"] * frames)
     kinds = pa.schema([("book", pa.int64()), ("page_no", pa.int32()), ("is_new", pa.bool_())])
-    return each_row(books, fold, "book long, page_no int, is_new boolean", kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, known = None, []
+        for part in (p for b in batches for p in parts(b)):
+            found = []
+            columns = [part[c].to_pylist() for c in ("book", "page_no", "words")]
+            for b, page, words, pixels in zip(*columns, part["pixels"].to_pylist() if frames else [None] * part.num_rows, strict=True):
+                if b != book:
+                    book, known = b, []
+                is_new, known = judge_page(known, words, pixels, rule)
+                found.append((b, page, is_new))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), kinds, strict=True)], schema=kinds)
+
+    rows = snapshots.select(F.col("book").cast("long").alias("book"), F.col("page_no").cast("int").alias("page_no"), "words", *["pixels"] * frames)
+    return rows.repartition("book").sortWithinPartitions("book", "page_no").mapInArrow(run, "book long, page_no int, is_new boolean")
 
 
 def a10_page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
