@@ -78,6 +78,45 @@ def directory_for(stamp: Column, title: Column) -> Column:
     return F.when(F.length(safe) > 0, F.concat(stamp, F.lit(" "), safe)).otherwise(stamp)
 
 
+def _numbered_names(names: DataFrame) -> DataFrame:
+    """(parent, base, number) that each taken (parent, name) uses up: the plain name is number 1 of itself, ``x (3)`` also number 3 of x."""
+    numbered = r"^(.*) \(([2-9]|[1-9][0-9]{1,8})\)$"
+    own = F.struct(F.col("name").alias("base"), F.lit(1).cast("long").alias("number"))
+    of = F.struct(F.regexp_extract("name", numbered, 1).alias("base"), F.nullif(F.regexp_extract("name", numbered, 2), F.lit("")).cast("long").alias("number"))
+    both = names.select("parent", F.explode(F.array(own, of)).alias("x")).select("parent", "x.base", "x.number")
+    return both.where(F.col("number").isNotNull()).distinct()
+
+
+def free_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+    """``wanted`` (parent, name, place ..) with ``free``: the name itself or the first of ``name (2)``, ``name (3)`` .. that is free.
+
+    All are named at once, as if one after another by place, from the names ``taken`` (parent, name): the r-th to want a name gets
+    the r-th of its numbers that is not taken, which is r plus the taken ones whose number less their rank is below r. Names may
+    hold a number themselves; where two wishes meet so, the first by place keeps it and the other is named in another round.
+    """
+    done, left, used = None, wanted, taken.select("parent", "name")
+    while True:
+        numbers = _numbered_names(used)
+        by = Window.partitionBy("parent", "base")
+        free = F.col("number") - F.row_number().over(by.orderBy("number"))
+        gone = numbers.withColumn("key", free).select("parent", "base", "key", F.lit(0).alias("wish"), F.lit(1).alias("is_taken"), F.lit(None).cast(wanted.schema["place"].dataType).alias("place"))
+        rank = F.row_number().over(Window.partitionBy("parent", "name").orderBy("place"))
+        wishes = left.select("parent", F.col("name").alias("base"), rank.alias("key"), F.lit(1).alias("wish"), F.lit(0).alias("is_taken"), "place")
+        # Taken numbers with key 0 .. r - 1 stand before the wish r.
+        upto = by.orderBy("key", F.desc("wish")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        number = F.col("key") + F.sum("is_taken").over(upto)
+        placed = gone.unionByName(wishes).withColumn("number", number).where("wish = 1")
+        named = placed.select("parent", F.col("base").alias("name"), "place", F.when(F.col("number") == 1, F.col("base")).otherwise(F.concat("base", F.lit(" ("), F.col("number").cast("string"), F.lit(")"))).alias("free"))
+        keeps = F.row_number().over(Window.partitionBy("parent", "free").orderBy("place")) == 1
+        judged = left.join(named.withColumn("keeps", keeps), ["parent", "name", "place"])
+        ours = judged.where("keeps").drop("keeps")
+        done = ours if done is None else done.unionByName(ours)
+        left = judged.where("NOT keeps").select(*wanted.columns)
+        if left.isEmpty():
+            return done
+        used = used.unionByName(ours.select("parent", F.col("free").alias("name")))
+
+
 def ordered_pages(sessions: DataFrame, pages: DataFrame) -> DataFrame:
     """(session, position from 1, page ..): pages in the session's order; unknown ids are skipped."""
     places = sessions.select("session", F.posexplode("page_order").alias("at", "page"))
@@ -161,6 +200,18 @@ def m9_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", directory_for(stamp, title).alias("directory"))
 
 
+_TITLED = "CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN ' Atlas' WHEN 2 THEN ' Atlas II' ELSE ' Briefe' END"
+_NUMBER = "CASE WHEN o_orderkey % 5 < 2 THEN '' ELSE ' (' || (o_orderkey % 5) || ')' END"
+
+
+def m9_free_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories for two thirds of the orders, by month and title, among those that the other third has, with gaps in their numbers."""
+    orders = table(spark, sf_dir, "orders").withColumn("parent", F.col("o_custkey") % 4).withColumn("name", F.concat(F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM"), F.expr(_TITLED)))
+    taken = orders.where("o_orderkey % 3 = 0").select("parent", F.concat("name", F.expr(_NUMBER)).alias("name"))
+    wanted = orders.where("o_orderkey % 3 <> 0").select("parent", "name", F.col("o_orderkey").alias("place"))
+    return free_names(wanted, taken).select(F.col("place").alias("o_orderkey"), "free")
+
+
 def m10_archived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of each session's files once all sessions with pages (every other) are archived."""
     files = _files(spark, sf_dir)
@@ -230,7 +281,7 @@ def s21_export_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "u3_set_order": u3_set_order, "m_edits": m_edits, "m3_replacements": m3_replacements, "m9_directories": m9_directories, "m10_archived_files": m10_archived_files, "j1_ordered_pages": j1_ordered_pages, "j2_page_texts": j2_page_texts,
+    "u3_set_order": u3_set_order, "m_edits": m_edits, "m3_replacements": m3_replacements, "m9_directories": m9_directories, "m9_free_directories": m9_free_directories, "m10_archived_files": m10_archived_files, "j1_ordered_pages": j1_ordered_pages, "j2_page_texts": j2_page_texts,
     "a6_session_rollup": a6_session_rollup, "a7_library_total": a7_library_total, "s14_best_formats": s14_best_formats, "x23_camera_names": x23_camera_names, "s21_export_names": s21_export_names,
 }
 _SESSIONS = f"{LINES_SQL}, ss AS (SELECT book AS session, list_transform(range(0, max(page_no) + 1), lambda i: 'p' || i) AS o FROM lines GROUP BY book)"
@@ -249,6 +300,13 @@ array_to_string(CASE WHEN list_contains(lf, 'p1') THEN list_concat(['p0'], lf) E
 array_to_string(CASE WHEN session % 2 = 0 THEN list_concat(o[1:len(o) - 1], ['n1', 'n2']) ELSE o END, ',') AS resolved, CASE WHEN session % 2 = 0 THEN o[-1] ELSE 'n1,n2' END AS lost FROM ss""",
     "m9_directories": """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H-%M-%S') || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE
 ' ' || trim(left(trim(regexp_replace(replace(o_orderpriority || ': No. ', ':', ' '), '\\s+', ' ', 'g')), 80), '. ') END AS directory FROM orders""",
+    "m9_free_directories": f"""WITH o AS (SELECT o_orderkey, o_custkey % 4 AS parent, strftime(o_orderdate, '%Y-%m') || {_TITLED} AS name FROM orders),
+t AS (SELECT DISTINCT parent, name, {_NUMBER} AS tail FROM o WHERE o_orderkey % 3 = 0),
+u AS (SELECT DISTINCT parent, name, CASE WHEN tail = '' THEN 1 ELSE CAST(tail[3:-2] AS BIGINT) END AS number FROM t),
+w AS (SELECT *, row_number() OVER (PARTITION BY parent, name ORDER BY o_orderkey) AS r FROM o WHERE o_orderkey % 3 <> 0),
+g AS (SELECT parent, name, unnest(range(1, m + 10)) AS number FROM (SELECT parent, name, max(r) AS m FROM w GROUP BY ALL)),
+f AS (SELECT parent, name, number, row_number() OVER (PARTITION BY parent, name ORDER BY number) AS r FROM g WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.parent = g.parent AND u.name = g.name AND u.number = g.number))
+SELECT o_orderkey, name || CASE WHEN number = 1 THEN '' ELSE ' (' || number || ')' END AS free FROM w JOIN f USING (parent, name, r)""",
     "m10_archived_files": f"""WITH f AS (SELECT page_id % 40 AS session, {_PATH} AS path, strlen(html) AS bytes FROM pages)
 SELECT session, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes, session % 4 <> 3 AS archived FROM f
 WHERE session % 4 = 3 OR NOT (starts_with(path, 'Papierkorb/') OR lower(string_split(path, '.')[-1]) = 'heic') GROUP BY session""",

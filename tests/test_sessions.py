@@ -1,6 +1,7 @@
 """Session files, page texts, edits and rollups."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +82,21 @@ def test_replacing_rescans_and_archives(spark):
     assert sorted((r.session, r.archived) for r in marked.collect()) == [("s", True), ("t", False)]
     assert sorted(r.path for r in left.collect()) == ["OCR/a.json", "c.heic"]
     assert M.without_trash(files).count() == 3
+
+
+def test_free_names_like_one_after_another(spark):
+    rng = random.Random(3)
+    base = ["x", "x (2)", "y", "x (2) (2)", "z (1)", "(3)", "x (02)"]
+    taken = [(rng.randrange(3), rng.choice(base) + rng.choice(["", "", " (2)", " (3)", " (7)"])) for _ in range(40)]
+    wanted = [(rng.randrange(3), rng.choice(["x", "y", "z", "(3)", "x (02)", "new"]), i, "extra") for i in range(120)]
+    held = [set(n for p, n in taken if p == q) for q in range(3)]
+    want = {}
+    for p, name, place, _ in wanted:
+        want[place] = S.free_directory_name(name, held[p])
+        held[p].add(want[place])
+    frame = spark.createDataFrame(wanted, "parent int, name string, place int, other string")
+    found = M.free_names(frame, spark.createDataFrame(taken, "parent int, name string")).collect()
+    assert {r.place: r.free for r in found} == want and len(found) == len(wanted) and found[0].other == "extra"
+    meeting = spark.createDataFrame([(0, "x", 1), (0, "x", 3), (0, "x (2)", 2), (0, "x", 4)], "parent int, name string, place int")
+    got = {r.place: r.free for r in M.free_names(meeting, spark.createDataFrame([], "parent int, name string")).collect()}
+    assert got == {1: "x", 2: "x (2)", 3: "x (4)", 4: "x (3)"}
