@@ -58,10 +58,30 @@ def motion_level(a: np.ndarray, b: np.ndarray, rule: Motion = Motion()) -> float
     return float(tiles[min(len(tiles) - 1, int(len(tiles) * (1 - rule.quantile)))])
 
 
+#: Standardized gray values are whole numbers of 1024ths of a deviation, so that all that follows is exact.
+UNIT = 1024
+
+
 def standardized(frame: np.ndarray, least: float = 8.0) -> np.ndarray:
-    """Mean zero and deviation one; nearly empty frames keep a deviation of ``least`` so that noise stays small."""
-    x = frame.astype(np.float32)
-    return (x - x.mean()) / max(float(x.std()), least)
+    """Mean zero and deviation ``UNIT``; nearly empty frames keep a deviation of ``least`` so that noise stays small."""
+    x = frame.astype(np.int64)
+    mean, square = int(x.sum()) / x.size, int((x * x).sum()) / x.size
+    return np.floor(UNIT * (x - mean) / max(np.sqrt(max(square - mean * mean, 0.0)), least)).astype(np.int64)
+
+
+def best_shift(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[int, int]:
+    """(dy, dx) that lays b on the inner part of a best: every second pixel over all shifts, then all pixels around the best one."""
+    h, w = a.shape
+    inner = a[shift : h - shift, shift : w - shift]
+
+    def apart(dy: int, dx: int, step: int) -> tuple[int, int, int]:
+        moved = b[shift + dy : h - shift + dy, shift + dx : w - shift + dx]
+        return int(np.abs(inner[::step, ::step] - moved[::step, ::step]).sum()), dy, dx
+
+    span = range(-shift, shift + 1)
+    _, y, x = min(apart(dy, dx, 2) for dy in span for dx in span)
+    _, y, x = min(apart(dy, dx, 1) for dy in span for dx in span if abs(dy - y) <= 1 and abs(dx - x) <= 1)
+    return y, x
 
 
 def changed_share(a: np.ndarray, b: np.ndarray, shift: int = 4, tile: int = 16, texture: float = 0.25, change: float = 0.3) -> float:
@@ -70,23 +90,13 @@ def changed_share(a: np.ndarray, b: np.ndarray, shift: int = 4, tile: int = 16,
     if a.shape != b.shape or min(h, w) <= 2 * shift + tile:
         return 1.0
     x, y = standardized(a), standardized(b)
-    inner = x[shift : h - shift, shift : w - shift]
-    moved = lambda dx, dy: y[shift + dy : h - shift + dy, shift + dx : w - shift + dx]
-
-    def nearest(shifts: list[tuple[int, int]], step: int) -> tuple[int, int]:
-        costs = [float(np.abs(inner[::step, ::step] - moved(dx, dy)[::step, ::step]).sum()) for dy, dx in shifts]
-        dy, dx = shifts[int(np.argmin(costs))]
-        return dx, dy
-
-    span = range(-shift, shift + 1)
-    dx, dy = nearest([(j, i) for j in span for i in span], 2)
-    near = lambda c: [c + d for d in (-1, 0, 1) if abs(c + d) <= shift]
-    dx, dy = nearest([(j, i) for j in near(dy) for i in near(dx)], 1)
-    rows, cols = inner.shape[0] // tile, inner.shape[1] // tile
-    cut = lambda z: z[: rows * tile, : cols * tile].reshape(rows, tile, cols, tile)
-    p, q = cut(inner), cut(moved(dx, dy))
-    textured = np.maximum(p.std(axis=(1, 3)), q.std(axis=(1, 3))) >= texture
-    changed = textured & (np.abs(p - q).mean(axis=(1, 3)) >= change)
+    dy, dx = best_shift(x, y, shift)
+    rows, cols, n = (h - 2 * shift) // tile, (w - 2 * shift) // tile, tile * tile
+    tiles = lambda z, dy, dx: z[shift + dy :, shift + dx :][: rows * tile, : cols * tile].reshape(rows, tile, cols, tile)
+    p, q = tiles(x, 0, 0), tiles(y, dy, dx)
+    spread = lambda t: n * (t * t).sum(axis=(1, 3)) - t.sum(axis=(1, 3)) ** 2
+    textured = np.maximum(spread(p), spread(q)) >= (texture * UNIT * n) ** 2
+    changed = textured & (np.abs(p - q).sum(axis=(1, 3)) >= change * UNIT * n)
     return float(changed.sum() / textured.sum()) if textured.any() else 0.0
 
 
@@ -96,9 +106,9 @@ def gutter_fraction(image: np.ndarray, low: float, high: float, depth: float) ->
     h, w = image.shape
     if w <= 10 or h <= 10:
         return None
-    profile = image[h // 5 : h * 4 // 5].astype(float).mean(axis=0)
+    middle = image[h // 5 : h * 4 // 5].astype(np.int64)
     near = np.minimum(np.arange(w) + 2, w - 1) - np.maximum(np.arange(w) - 2, 0) + 1
-    smooth = np.convolve(profile, np.ones(5), "same") / near
+    smooth = np.convolve(middle.sum(axis=0), np.ones(5, np.int64), "same") / (near * len(middle))
     lower, upper = max(0, int(w * low)), min(w - 1, int(w * high))
     if lower >= upper:
         return None
@@ -116,7 +126,7 @@ def text_free_gap(lines: list[tuple[float, float, float]]) -> tuple[float, float
         taken[1 + max(0, int(lo * 1000)) : 2 + min(999, int(hi * 1000))] = True
     edges = np.flatnonzero(np.diff(taken[1:-1].astype(np.int8)))
     free = [(a + 1, b) for a, b in zip(edges, edges[1:], strict=False) if not taken[a + 2]]
-    free = [(a, b) for a, b in free if b - a >= 9 and 0.35 <= (a + b + 1) / 2000 <= 0.65]
+    free = [(a, b) for a, b in free if b - a >= 9 and 0.35 <= (a + b) / 2000 <= 0.65]
     best = max(free, key=lambda r: (r[1] - r[0], -r[0]), default=None)
     return (best[0] / 1000, (best[1] + 1) / 1000) if best else None
 
@@ -125,10 +135,10 @@ def cut_fraction(image: np.ndarray, mode: str, lines: list[tuple[float, float, f
     """Where a double page is cut, as a share of its width; None if it is one page or the cut would harm text."""
     if mode == "none" or image.shape[1] / max(image.shape[0], 1) < 1.15:
         return None
+    gap = text_free_gap(list(lines)) if mode != "middle" else None
     if mode == "middle":
-        return 0.5
-    gap = text_free_gap(list(lines))
-    if gap:
+        cut = 0.5
+    elif gap:
         found = gutter_fraction(image, *gap, 10)
         cut = sum(gap) / 2 if found is None else found
     else:
@@ -136,7 +146,7 @@ def cut_fraction(image: np.ndarray, mode: str, lines: list[tuple[float, float, f
         cut = 0.5 if found is None else found
     if any(c >= 0.3 and w > 0 and cut - x >= 0.15 * w and x + w - cut >= 0.15 * w for x, w, c in lines):
         return None
-    usable = [(x, x + w) for x, w, c in lines if c >= 0.5 and w >= 0.05]
+    usable = [(x, x + w) for x, w, c in lines if c >= 0.3]
     if usable and not (any(r < cut - 0.02 for _, r in usable) and any(x > cut + 0.02 for x, _ in usable)):
         return None
     return cut

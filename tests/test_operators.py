@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from folio.functions import images as I
 from folio.functions import text as X
 from folio.operators import render
-from folio.operators.frames import fired, timely_judgements
-from folio.operators.geometry import quadrant, reading_order, rotated_box
+from folio.operators.frames import fired, luma_means, timely_judgements
+from folio.operators.geometry import cut_places, quadrant, reading_order, rotated_box
 from folio.operators.sequence import ISSUES_SQL, PRINTED_SQL, live_issues, printed_numbers, sequence_issues
 from folio.operators.similarity import ReadWords, c10_new_pages, new_pages, same_page, within, word_share
 from folio.operators.titles import composed
@@ -259,3 +259,31 @@ def test_new_pages_take_words_of_any_letters(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r.book, r.page_no): r.is_new for r in c10_new_pages(spark, str(tmp_path)).collect()}
     assert got == {(0, 0): True, (0, 1): False, (1, 0): True, (1, 1): True, (2, 0): True, (2, 1): True}
+
+
+def test_block_means_in_the_jvm_are_those_of_the_kernel(spark):
+    rng = np.random.default_rng(1)
+    for w, h, target in ((7, 5, 3), (12, 9, 4), (8, 8, 20), (10, 1, 3)):
+        image = rng.integers(0, 256, (h, w, 4))
+        df = spark.createDataFrame([(image.ravel().tolist(),)], "p array<int>")
+        assert df.select(luma_means(F.col("p"), w, target)).first()[0] == I.gray(image.astype(np.uint8), target).ravel().tolist()
+
+
+def test_cuts_over_rows_are_those_of_the_kernel(spark):
+    rng = np.random.default_rng(7)
+    pages, profile, rows, want = [], [], [], {}
+    for book in range(120):
+        mode, w, h = ["middle", "automatic", "automatic", "none"][book % 4], 100, int(rng.choice([60, 90]))
+        column = 150 - (np.abs(np.arange(w) - rng.integers(30, 70)) < 3) * rng.integers(0, 60) + rng.integers(0, 6, w)
+        pages.append((book, 0, mode, w, h))
+        profile += [(book, 0, i, int(v)) for i, v in enumerate(column)]
+        boxes = [(int(rng.integers(0, 9)) + int(rng.choice([50, 550])), int(rng.choice([380, 400, 30, 700], p=[0.55, 0.3, 0.1, 0.05])), int(rng.integers(20, 99))) for _ in range(int(rng.integers(0, 14)))]
+        rows += [(book, 0, i, x, n, c) for i, (x, n, c) in enumerate(boxes)]
+        want[book] = I.cut_fraction(np.repeat(column[None], h, 0), mode, [(x / 1000, n / 1000, c / 100) for x, n, c in boxes])
+    found = cut_places(
+        spark.createDataFrame(pages, "book long, page_no int, mode string, width int, height int"), spark.createDataFrame(profile, "book long, page_no int, place int, value long"),
+        spark.createDataFrame(rows, "book long, page_no int, line_no int, x_mil int, w_mil int, conf_pct int"),
+    )
+    got = {r.book: r.cut for r in found.collect()}
+    differ = {b: (got[b], want[b]) for b in want if got[b] != pytest.approx(want[b])}
+    assert not differ and sum(v is None for v in want.values()) < 100 and len({v for v in want.values() if v}) > 15
