@@ -35,6 +35,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -44,10 +45,14 @@ from folio.llm.common import keep, map_rows, table
 from folio.llm.url_filter import url_parts
 
 CONSTANT = 0.8
+#: Layouts that one task merges to a reference tree at once.
+MERGED = 64
 #: With fewer votes (n + 1) / (v + 2) cannot reach CONSTANT.
 FEWEST = 3
 
 # Element names and boilerplate words.
+#: Raw elements that take room in their line; others leave no gap between the words around them.
+DRAWN = frozenset("textarea iframe svg math select button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math select option button".split())
 INLINE = frozenset(
@@ -61,6 +66,11 @@ SKIPPED_WORDS = frozenset(
     "footer masthead comment comments disqus cookie cookies consent notice notices newsletter subscribe share sharing social "
     "related pagination pager complementary contentinfo".split()
 )
+#: Words that tell the shape or place of an element, not what it is.
+SHAPE_WORDS = frozenset(
+    "area bar block body bottom box button buttons column container content count desktop fixed float form frame group head horizontal icon icons inline inner item items large left link links list main "
+    "mobile outer panel post posts primary right row secondary section site slot small sticky tab title top unit vertical widget wrap wrapper".split()
+)
 DOUBTFUL_WORDS = frozenset("alert banner header modal popup promo promoted recommended search toolbar widget".split())
 FORMATTING = frozenset("a b big code em font i s small strike strong tt u".split())
 CLOSES_P = frozenset(
@@ -70,6 +80,7 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]
 _UNCLOSED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|$)")
 _ATTR = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[\s_-]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
@@ -145,7 +156,10 @@ def parse(html: str | None) -> tuple[Node, list[tuple[Node, str]]]:
                 done = raw[tag](start)
                 at = done or (end if code else html.find("<", at) if tag == "option" else at)
                 at = end if at < 0 else at
-            flush()
+            if tag in ("title", "option"):
+                flush()
+            elif tag in DRAWN:
+                show(" ")
             continue
         if tag in INLINE:
             if tag in ("br", "img"):
@@ -225,9 +239,15 @@ def _skipped(tag: str, attributes: str) -> bool:
 
 
 def _named(tag: str, attributes: str, words: frozenset) -> bool:
+    """Whether a class, id or role is named by these words alone, apart from those of shape and numbers."""
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    return any(w in words for _, a, b, c in _ATTR.findall(attributes) for w in _SPLIT.split((a or b or c).lower()))
+    for _, x, y, z in _ATTR.findall(attributes):
+        for name in (x or y or z).split():
+            parts = [w for w in _SPLIT.split(_HUMP.sub("-", name).lower()) if w and not w.isdigit()]
+            if any(w in words for w in parts) and all(w in words or w in SHAPE_WORDS for w in parts):
+                return True
+    return False
 
 
 def number_layout(root: Node) -> str:
@@ -318,48 +338,130 @@ def unnumbered(skeleton: str) -> Node:
     return root
 
 
+#: Rows of a matching whose way back is held at once; those before are gone through again from the nearest row kept.
+HELD_ROWS = 512
+
+
+class Kinds:
+    """Subtrees that are alike share a number; scores of pairs of numbers are how many of their nodes can be matched."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple, int] = {}
+        self.labels: list[str] = []
+        self.children: list[tuple[int, ...]] = []
+        self.sizes: list[int] = []
+        self.of: dict[int, int] = {}
+        self.scores: dict[tuple[int, int], int] = {}
+
+    def add(self, root: Node) -> int:
+        nodes, todo = [], [root]
+        while todo:
+            node = todo.pop()
+            nodes.append(node)
+            todo += node.children
+        for node in reversed(nodes):
+            below = tuple(self.of[id(c)] for c in node.children)
+            number = self.numbers.setdefault((node.label, below), len(self.labels))
+            if number == len(self.labels):
+                self.labels.append(node.label)
+                self.children.append(below)
+                self.sizes.append(1 + sum(self.sizes[k] for k in below))
+            self.of[id(node)] = number
+        return self.of[id(root)]
+
+    def score(self, a: int, b: int) -> int:
+        """How many nodes of two subtrees can be matched; known for all pairs that ``prepare`` was given."""
+        return self.sizes[a] if a == b else self.scores[a, b] if self.labels[a] == self.labels[b] else 0
+
+    def middle(self, a: int, b: int) -> tuple[int, int]:
+        """How many first and last children of two subtrees are alike; to match these with one another is never worse."""
+        x, y = self.children[a], self.children[b]
+        least = min(len(x), len(y))
+        first = next((i for i in range(least) if x[i] != y[i]), least)
+        last = next((i for i in range(least - first) if x[-1 - i] != y[-1 - i]), least - first)
+        return first, last
+
+    def prepare(self, a: int, b: int) -> None:
+        """Score a pair, after all pairs of children that it needs."""
+        pending = [(a, b, False)]
+        while pending:
+            a, b, ready = pending.pop()
+            if a == b or (a, b) in self.scores or self.labels[a] != self.labels[b]:
+                continue
+            first, last = self.middle(a, b)
+            x, y = (self.children[k][first : len(self.children[k]) - last] for k in (a, b))
+            if not ready:
+                pending.append((a, b, True))
+                below: dict[str, list[int]] = {}
+                for k in dict.fromkeys(y):
+                    below.setdefault(self.labels[k], []).append(k)
+                pending += [(i, k, False) for i in dict.fromkeys(x) for k in below.get(self.labels[i], ()) if i != k]
+                continue
+            alike = sum(self.sizes[k] for k in (*self.children[a][:first], *self.children[a][len(self.children[a]) - last :]))
+            self.scores[a, b] = 1 + alike + (int(self._rows(x, y, 0, len(x), None)[-1][-1]) if x and y else 0)
+
+    def _rows(self, x: tuple, y: tuple, start: int, end: int, above: np.ndarray | None, flags: np.ndarray | None = None) -> list[np.ndarray]:
+        """The matching's table from row ``start`` to ``end``: every ``HELD_ROWS``-th row and the last; ``flags`` gets the way back."""
+        kinds, at = np.unique(np.array(y), return_inverse=True)
+        weights: dict[int, np.ndarray] = {}
+        line = np.zeros(len(y) + 1, np.int64) if above is None else above
+        kept = [line]
+        for i in range(start, end):
+            if x[i] not in weights:
+                weights[x[i]] = np.array([self.score(x[i], int(k)) for k in kinds], np.int64)[at]
+            new = np.zeros_like(line)
+            np.maximum.accumulate(np.maximum(line[1:], line[:-1] + weights[x[i]]), out=new[1:])
+            if flags is not None:
+                flags[i - start] = (new[1:] == line[1:]) + 2 * (new[1:] == new[:-1]).astype(np.uint8)
+            line = new
+            if (i + 1 - start) % HELD_ROWS == 0 or i + 1 == end:
+                kept.append(line)
+        return kept
+
+    def pairs(self, a: int, b: int) -> list[tuple[int, int]]:
+        """Places of children that are matched, so that most nodes are."""
+        first, last = self.middle(a, b)
+        n, m = len(self.children[a]), len(self.children[b])
+        found = [(i, i) for i in range(first)] + [(n - 1 - i, m - 1 - i) for i in range(last)]
+        x, y = self.children[a][first : n - last], self.children[b][first : m - last]
+        if x and y:
+            kept = self._rows(x, y, 0, len(x), None)
+            i, j = len(x), len(y)
+            while i and j:
+                start = (i - 1) // HELD_ROWS * HELD_ROWS
+                flags = np.empty((i - start, len(y)), np.uint8)
+                self._rows(x, y, start, i, kept[start // HELD_ROWS], flags)
+                while i > start and j:
+                    way = flags[i - 1 - start, j - 1]
+                    if way & 1:
+                        i -= 1
+                    elif way & 2:
+                        j -= 1
+                    else:
+                        i, j = i - 1, j - 1
+                        found.append((first + i, first + j))
+        return found
+
+
 def align(page: Node, reference: Node) -> None:
-    """Simple tree matching: number each node of the page after the reference node it is matched with, else 0."""
-    sizes: dict[tuple[int, int], tuple[int, list[tuple[Node, Node]]]] = {}
+    """Simple tree matching: number each node of the page after the reference node it is matched with, else 0.
+
+    Like first and last children are matched as they are; what is between is compared by kinds of subtrees, so that equal ones
+    are compared once, in a table of which only some rows are held.
+    """
     if page.label != reference.label:
         return
-    # Pairs of nodes whose children are to be matched, each after the pairs of its children.
-    pending = [(page, reference, False)]
-    while pending:
-        a, b, ready = pending.pop()
-        if (id(a), id(b)) in sizes:
-            continue
-        if not ready:
-            pending.append((a, b, True))
-            by_label: dict[str, list[Node]] = {}
-            for y in b.children:
-                by_label.setdefault(y.label, []).append(y)
-            pending += [(x, y, False) for x in a.children for y in by_label.get(x.label, ())]
-            continue
-        rows, cols = a.children, b.children
-        best = [[0] * (len(cols) + 1) for _ in range(len(rows) + 1)]
-        for i, x in enumerate(rows):
-            line, above = best[i + 1], best[i]
-            for j, y in enumerate(cols):
-                value = above[j + 1] if above[j + 1] >= line[j] else line[j]
-                if x.label == y.label and (both := above[j] + sizes[id(x), id(y)][0]) > value:
-                    value = both
-                line[j + 1] = value
-        pairs, i, j = [], len(rows), len(cols)
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs.append((rows[i], cols[j]))
-        sizes[id(a), id(b)] = (1 + best[-1][-1], pairs)
-    todo = [(page, reference)]
+    kinds = Kinds()
+    top = kinds.add(page), kinds.add(reference)
+    kinds.prepare(*top)
+    todo, known = [(page, reference)], {}
     while todo:
         a, b = todo.pop()
         a.number = b.number
-        todo += sizes.get((id(a), id(b)), (0, []))[1]
+        pair = kinds.of[id(a)], kinds.of[id(b)]
+        if pair not in known:
+            known[pair] = kinds.pairs(*pair)
+        todo += [(a.children[i], b.children[j]) for i, j in known[pair]]
 
 
 def merge(reference: Node, page: Node) -> None:
@@ -473,23 +575,34 @@ def induce(parsed: DataFrame) -> DataFrame:
     wanted = counted.join(votes, "host").withColumn("before", F.coalesce(F.sum("n").over(commonest), F.lit(0)))
     wanted = wanted.where(F.col("before") <= F.col("pages") - F.ceil(CONSTANT * F.col("pages")))
 
-    def references(batches: Iterator[dict]) -> Iterator[dict]:
+    def merged(batches: Iterator[dict]) -> Iterator[dict]:
         now, tree = None, Node("", "", False, False)
         for b in batches:
-            out: dict = {"host": [], "reference": []}
-            for h, layout in zip(b["host"], b["layout"], strict=True):
-                if h != now:
+            out: dict = {"host": [], "place": [], "reference": []}
+            for key in zip(b["host"], b["group"], b["reference"], strict=True):
+                if key[:2] != now:
                     if now is not None:
-                        out["host"].append(now), out["reference"].append(write_skeleton(tree))
-                    now, tree = h, Node("", "", False, False)
-                merge(tree, unnumbered(layout))
+                        out["host"].append(now[0]), out["place"].append(now[1]), out["reference"].append(write_skeleton(tree))
+                    now, tree = key[:2], Node("", "", False, False)
+                merge(tree, unnumbered(key[2]))
             yield out
         if now is not None:
-            yield {"host": [now], "reference": [write_skeleton(tree)]}
-
-    ordered = wanted.select("host", "layout", "n").repartition("host").sortWithinPartitions("host", F.desc("n"), "layout")
-    reference = map_rows(ordered, references, "host string, reference string", pa.schema([("host", pa.string()), ("reference", pa.string())]))
-    reference = keep(reference, "reference")
+            yield {"host": [now[0]], "place": [now[1]], "reference": [write_skeleton(tree)]}
+
+    # A host's layouts are merged in groups, then what became of the groups, and so on, so that many tasks share a host.
+    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "layout")) - 1
+    reference = wanted.select("host", rank.cast("long").alias("place"), F.col("layout").alias("reference"))
+    reference = keep(reference, "layouts")
+    left = (reference.agg(F.max("place")).first()[0] or 0) + 1
+    while True:
+        grouped = reference.withColumn("group", F.floor(F.col("place") / MERGED).cast("long"))
+        grouped = grouped.repartition("host", "group").sortWithinPartitions("host", "group", "place").select("host", "group", "reference")
+        kinds = pa.schema([("host", pa.string()), ("place", pa.int64()), ("reference", pa.string())])
+        reference = keep(map_rows(grouped, merged, "host string, place long, reference string", kinds), "reference")
+        left = -(-left // MERGED)
+        if left <= 1:
+            break
+    reference = reference.select("host", "reference")
 
     def slots(batches: Iterator[dict]) -> Iterator[dict]:
         known: dict[str, Wrapper] = {}

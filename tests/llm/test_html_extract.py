@@ -39,7 +39,7 @@ def test_deep_and_unclosed_elements():
         assert H.main_text(f"<article>a<{tag} id=q><p>b</p></article>") == "a\nb"
         assert H.main_text(f"<article>a<{tag}>x</{tag}><p>b</p></article>") == "a\nb"
     assert H.main_text("<article>a<svg/><p>b</p><svg>x</svg>c</article>") == "a\nb\nc"
-    assert H.main_text("<article>a<svg>x<svg>y</svg>z</svg>b<svg><p>c</p><svg>z</svg>d</article>") == "a\nb\nc\nd"
+    assert H.main_text("<article>a<svg>x<svg>y</svg>z</svg>b<svg><p>c</p><svg>z</svg>d</article>") == "a b\nc\nd"
     assert H.main_text("<article>a<script>b") == "a"
 
 
@@ -167,3 +167,59 @@ def test_very_long_pages_and_other_columns(spark):
     df = spark.createDataFrame([(1, "http://h.org/1", html, "x", 2), (None, None, "<p>y</p>", None, None)], "page_id long, url string, html string, text string, `host.name` int")
     got = {r.page_id: r.text for r in H.extract(df).collect()}
     assert got == {1: "\n".join(f"Line {i}." for i in range(60_000)), None: "y"}
+
+
+def test_inline_raw_elements_stay_inside_their_block():
+    assert H.main_text("<article><p>Press <svg><path/></svg> to go on.</p></article>") == "Press to go on."
+    assert H.main_text("<article><p>on<script>x()</script>ly one<button>b</button>word</p></article>") == "only one word"
+    for tag in ("math", "select", "textarea", "iframe", "noscript", "template"):
+        assert H.main_text(f"<article><p>a <{tag}>x</{tag}> b</p></article>") == "a b"
+
+
+def test_class_words_inside_longer_names_do_not_hide_text():
+    for name in ("related-work", "ad-hoc", "notice-of-award", "menuhin", "sharePrice", "search-results-explained"):
+        assert H.main_text(f'<article><p>a</p><section class="{name}"><p>Text.</p></section></article>') == "a\nText."
+    assert H.main_text('<article><p>a</p><div id="share-price"><p>Text.</p></div></article>') == "a\nText."
+    for name in ("ad", "ad-slot-3", "relatedPosts", "share-buttons", "x site-footer", "cookie_notice", "social-links-list"):
+        assert H.main_text(f'<article><p>a</p><div class="{name}"><p>Text.</p></div></article>') == "a"
+
+
+def test_thousands_of_unlike_siblings_are_matched_within_bounds():
+    import resource
+    import time
+
+    rng = random.Random(2)
+    page = lambda n: "<article>" + "".join(rng.choice(["<p>x</p>", "<h3>y</h3>", "<ul><li>a</ul>"]) for _ in range(n)) + "</article>"
+    alternating = "<article>" + "<p>x</p><h3>y</h3>" * 2000 + "</article>"
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+    tree = H.Node("", "", False, False)
+    H.merge(tree, H.unnumbered(H.skeleton(alternating)))
+    assert H.numbers_of(H.skeleton(alternating), H.read_skeleton(H.write_skeleton(tree))) == list(range(4002))
+    one, two = page(4000), page(3900)
+    H.merge(tree, H.unnumbered(H.skeleton(one)))
+    found = H.numbers_of(H.skeleton(two), H.read_skeleton(H.write_skeleton(tree)))
+    assert sum(map(bool, found)) > 3900
+    assert time.process_time() - began < 20 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000
+
+
+def test_matching_of_long_lists_is_that_of_the_whole_table(monkeypatch):
+    monkeypatch.setattr(H, "HELD_ROWS", 3)
+    rng = random.Random(4)
+
+    def tree(depth):
+        node = H.Node("", rng.choice("ab"), False, False)
+        node.children = [tree(depth - 1) for _ in range(rng.randrange(0, 5))] if depth else []
+        return node
+
+    for _ in range(200):
+        one, two = tree(2), tree(2)
+        one.label = two.label = "r"
+        todo, count = [two], 0
+        while todo:
+            node = todo.pop()
+            count += 1
+            node.number = count
+            todo += node.children
+        H.align(one, two)
+        matched = lambda node: (node.number > 0) + sum(map(matched, node.children))
+        assert matched(one) == brute(one, two)
