@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import keep, map_rows, named
+from folio.llm.common import by_place, keep, map_rows, place_of
 
 #: Positions fit into the low bits of a sort key; longer texts are read in blocks of this many positions.
 _BITS = 20
@@ -170,9 +170,9 @@ def window_digests(asked: DataFrame, items: Callable, window: int) -> DataFrame:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with __spans, the array of (a, b) structs found for the row's content, null if none."""
-    by_row = spans.groupBy("doc", "row").agg(F.collect_set(F.struct("a", "b")).alias("__spans"))
-    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    marked = docs.withColumn("__doc", F.coalesce(doc_id, F.lit(-(1 << 63)))).withColumn("__row", F.xxhash64(doc_id, text))
-    by_row = by_row.select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), "__spans")
-    return marked.join(by_row, ["__doc", "__row"], "left").select(*map(named, docs.columns), "__spans")
+    """``docs`` with one more column behind the others, the array of (a, b) structs found for the row's content, null if none."""
+    by_row = spans.groupBy("doc", "row").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    doc_id, text = place_of(docs, "doc_id").cast("long"), place_of(docs, "text").cast("string")
+    rows = by_place(docs)
+    marked = rows.withColumn("doc", F.coalesce(doc_id, F.lit(-(1 << 63)))).withColumn("row", F.xxhash64(doc_id, text))
+    return marked.join(by_row, ["doc", "row"], "left").select(*rows.columns, "spans").toDF(*docs.columns, "__spans")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +18,11 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD_SPACE = " \t\n\x0b\x0c\r"
 #: Bytes of an Arrow batch that a Python task turns into objects at once; a single longer row is taken alone.
 SLICE = 2 << 20
-_KEPT: list[DataFrame] = []
+#: Tables kept in the innermost ``own_tables`` of this thread; None outside of it.
+_KEPT: ContextVar[list[DataFrame] | None] = ContextVar("kept tables", default=None)
+#: The folder of this driver's tables, and the one that stands in for the shared one in local mode.
+_RUN = uuid.uuid4().hex
+_LOCAL: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +35,16 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named u0, u1 .., so that no name of a user's meets one of ours; ``toDF(*df.columns)`` turns them back."""
+    return df.toDF(*[f"u{i}" for i in range(len(df.columns))])
+
+
+def place_of(df: DataFrame, name: str) -> Column:
+    """The column that was called ``name`` in ``df``, in ``by_place(df)``."""
+    return F.col(f"u{df.columns.index(name)}")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,39 +52,56 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="folio-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not _LOCAL:
+            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="folio-checkpoint-"))
+        path = _LOCAL[0]
     return path.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: the lineage ends there and survives lost executors.
+
+    The driver's tables lie in one folder, which goes when the driver ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folio/{name}-{uuid.uuid4().hex}"
+    run = f"{shared_dir(spark)}/folio/{_RUN}"
+    path = f"{run}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, where = _file_system(spark, run)
+    files.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
-    _KEPT.append(out)
+    mine = _KEPT.get()
+    if mine is not None:
+        mine.append(out)
     return out
 
 
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by ``keep`` which nothing reads any more."""
+    mine = _KEPT.get()
     for df in tables:
-        _KEPT[:] = [x for x in _KEPT if x is not df]
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._kept_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def kept_tables() -> int:
-    """How many kept tables there are, for ``drop_since``."""
-    return len(_KEPT)
-
-
-def drop_since(mark: int, *stay: DataFrame) -> None:
-    """Delete all tables kept since there were ``mark``, but for those that stay."""
-    drop(*[x for x in _KEPT[mark:] if all(x is not s for s in stay)])
+        if mine is not None:
+            mine[:] = [x for x in mine if x is not df]
+        files, where = _file_system(df.sparkSession, df._kept_at)
+        files.delete(where, True)
+
+
+@contextmanager
+def own_tables() -> Iterator[list[DataFrame]]:
+    """Of what is kept inside, by this thread, only the tables put into the list that this gives are there afterwards."""
+    wanted: list[DataFrame] = []
+    token = _KEPT.set([])
+    try:
+        yield wanted
+        drop(*[x for x in _KEPT.get() if all(x is not w for w in wanted)])
+    finally:
+        _KEPT.reset(token)
 
 
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ Running sums are taken in two steps, by hash bucket and then inside a bucket, so
 is spread over 4,096 groups; the cut is found in sums by ranges of virtual time, narrowed twice. Null text has size 0.
 Rows of one doc_id, size and source stand in the order of a hash of their text; equal rows are interchangeable. Texts may
 have any length. Empty tables and all-empty sources get target 0 and give
-nothing. Other columns are carried and clashing names are safe, as working columns begin with ``__``.
+nothing. Other columns are carried by their places, so that their names clash with none of ours.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import WORD_PATTERN, keep, named, table
+from folio.llm.common import WORD_PATTERN, by_place, keep, named, place_of, table
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -101,15 +101,16 @@ def mix(docs: DataFrame) -> DataFrame:
 
     The five columns replace those of the same names. Deterministic: reruns take the same copies.
     """
-    fill = keep(_sized(docs).groupBy("__key", "__bucket").agg(F.sum("__size").alias("__words")), "fill")
+    rows = by_place(docs).withColumns({c: place_of(docs, c) for c in ("doc_id", "text", "source")})
+    fill = keep(_sized(rows).groupBy("__key", "__bucket").agg(F.sum("__size").alias("__words")), "fill")
     sources = keep(_targets(fill), "sources")
     before = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = fill.withColumn("__before", F.sum("__words").over(before) - F.col("__words")).drop("__words")
     offsets = keep(offsets.join(sources, "__key"), "offsets")
     budget = BUDGET * (sources.agg(F.sum("__source_size")).first()[0] or 0)
-    small = keep(_placed(docs.select("doc_id", "text", "source"), offsets).select("__key", "__size", "__first", "__second"), "times")
+    small = keep(_placed(rows.select("doc_id", "text", "source"), offsets).select("__key", "__size", "__first", "__second"), "times")
     last = _last_taken(small, budget)
-    placed = _placed(docs, offsets)
+    placed = _placed(rows, offsets)
     if last is None:
         copies = F.lit(0)
     else:
@@ -120,7 +121,7 @@ def mix(docs: DataFrame) -> DataFrame:
         )
     taken = F.when(F.col("__first").isNull() | (F.col("__size") == 0), 0).otherwise(copies)
     extra = {"size": "__size", "source_size": "__source_size", "target": "__target", "finish_time": "__first"}
-    carried = [named(c) for c in docs.columns if c not in {*extra, "copies"}]
+    carried = [F.col(f"u{i}").alias(c) for i, c in enumerate(docs.columns) if c not in {*extra, "copies"}]
     return placed.select(*carried, *[F.col(v).alias(k) for k, v in extra.items()], taken.cast("int").alias("copies"))
 
 
@@ -129,12 +130,12 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     A document without words takes no room and stays once.
     """
-    found = mix(docs.withColumn("__row", F.struct(*map(named, docs.columns))))
+    found = mix(docs.select("doc_id", "text", "source", F.struct(*map(named, docs.columns)).alias("row")))
     times = F.greatest("copies", F.when(F.col("size") == 0, 1).otherwise(0))
-    out = found.where(times > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), times)))
+    out = found.where(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
     first = F.col("finish_time")
-    later = F.when(F.col("target") > 0, F.col("source_size") / F.col("target")) * (F.col("__copy") - 1)
-    return out.orderBy(first + later).select("__row.*")
+    later = F.when(F.col("target") > 0, F.col("source_size") / F.col("target")) * (F.col("copy") - 1)
+    return out.orderBy(first + later).select("row.*")
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import drop, keep, map_rows, named, table
+from folio.llm.common import by_place, drop, keep, map_rows, place_of, table
 from folio.llm.components import components
 
 SHINGLE = 4
@@ -225,13 +225,14 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     last = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     found = keep(near_duplicates(docs.select(last.alias("doc_id"), "text"), radius).select("doc_id", "row", "root"), "found")
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    stay = keep(first.select(F.col("first.doc_id").alias("__doc"), F.col("first.row").alias("__row")), "stay")
+    stay = keep(first.select(F.col("first.doc_id").alias("doc"), F.col("first.row").alias("row")), "stay")
     twins = found.groupBy("doc_id", "row").agg(F.count("*").alias("n")).where("n > 1")
-    marked = docs.withColumn("__doc", last).withColumn("__row", F.xxhash64(F.col("text").cast("string")))
-    out = marked.join(stay, ["__doc", "__row"])
+    rows = by_place(docs)
+    own = F.coalesce(place_of(docs, "doc_id").cast("long"), F.lit((1 << 63) - 1))
+    out = rows.withColumn("doc", own).withColumn("row", F.xxhash64(place_of(docs, "text").cast("string"))).join(stay, ["doc", "row"])
     if not twins.isEmpty():
-        out = out.dropDuplicates(["__doc", "__row"])
-    return out.select(*map(named, docs.columns))
+        out = out.dropDuplicates(["doc", "row"])
+    return out.select(*rows.columns).toDF(*docs.columns)
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
