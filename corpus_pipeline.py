@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm import line_cleaning, mixing, packing, simhash_dedup, suffix_dedup
-from folio.llm.common import drop, drop_since, keep, kept_tables, table
+from folio.llm.common import drop, keep, own_tables, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +57,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     before = None
     for name, stage in STAGES[:-1]:
-        mark = kept_tables()
-        docs = keep(stage(spark, docs, sf_dir), name)
-        drop_since(mark, docs)
+        with own_tables() as wanted:
+            docs = keep(stage(spark, docs, sf_dir), name)
+            wanted.append(docs)
         if before is not None:
             drop(before)
         before = docs
