@@ -1,31 +1,39 @@
-"""License scans: MinHash bands over text windows retrieve templates, exact shingle containment verifies them.
+"""License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them.
 
-DataFrame functions only. Words are lower-cased (A-Z) and freed of trailing ``.,;:)"``; a shingle is five words. For
-each template length there are windows of as many words at every position; a window with at least one template shingle
-(no other can match) gets ``BANDS`` MinHash values, each a band of its own. A template that shares a band is a
-candidate, and matches if the window holds at least ``CONTAINMENT`` of its distinct shingles. A window of equal length
-that just reaches 0.8 has a Jaccard similarity of at least 2/3, so it misses all 24 bands with probability (1/3)^24
-< 4e-12; an exact occurrence never misses.
+DataFrame functions only. Words are lower-cased (A-Z) and freed of trailing ``.,;:)"``; a shingle is five words. Only shingles
+that some template has are looked at further, each with its place. Templates of about one length (within a factor of
+``CLASS``) share their windows, which are longer than the longest of them by a quarter and begin a quarter apart, so that every
+run of as many words as a template has lies in one window. A window's known shingles get ``BANDS`` MinHash values, each a
+band of its own, and a template that shares a band with a window is a candidate for the text.
+
+A template matches if as many consecutive words as it has hold at least ``CONTAINMENT`` of its distinct shingles. Where that
+is so, window and template have a Jaccard similarity of at least 0.8 / 1.77, so all 32 bands miss with a probability
+below 1e-8. The share is told for the best run, found by a sweep: each place of a shingle opens and closes a range of
+beginnings that it counts for, and sums over these ranges give all shares at once. The cost grows with the words, not with
+the product of words and template length.
 
 The template library is a list of at most ``MAX_TEMPLATES`` texts and ``MAX_BYTES`` bytes, checked here, and so may be
 broadcast; the documents are never grouped by template. A template of fewer words than a shingle cannot be scanned for and
 is an error; an empty library finds nothing. Null, empty and short texts match nothing; texts may have any length. Rows of
-one doc_id are reported together; of equally good windows the first is told. An empty table gives an empty result; other
-columns are ignored, whatever their names.
+one doc_id are scanned one by one and reported together; of equally good runs the first is told. An empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import table
+from folio.llm.common import keep, table
+from folio.llm.license_texts import FULL
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-BANDS = 24
+BANDS = 32
+#: Lengths that differ by less than this factor are one class.
+CLASS = 1.25
 MAX_TEMPLATES = 10_000
-#: Bytes of all templates together; the index holds each shingle once for a band, about 40 times as much.
+#: Bytes of all templates together; their shingles take about three times as much, their bands 512 bytes a template.
 MAX_BYTES = 1 << 20
 
 # Public license notices.
@@ -44,6 +52,7 @@ TEMPLATES = (
     ("gpl-3.0-grant", "it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("mpl-2.0-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    *FULL,
 )
 
 _TRAILING = r'[.,;:)"]*[\x20\x09-\x0D]+'
@@ -68,37 +77,15 @@ def _shingles(words: Column) -> Column:
     return _let(words, lambda w: F.when(F.size(w) >= SHINGLE, hashed(w)).otherwise(F.array().cast("array<bigint>")))
 
 
-def _windows(shingles: Column, known: list[int], lengths: Column) -> Column:
-    """Structs (n, start, held) for the windows of each length that hold a known shingle; held is their shingles.
-
-    Known ones are literals of an IN, which Spark looks up by hash, whatever the size of the library.
-    """
-
-    def around(s: Column, p: Column) -> Column:
-        """The starts of the windows that hold position p, for each length."""
-        starts = lambda n: F.sequence(F.greatest(p - n + SHINGLE, F.lit(0)), F.least(p, F.size(s) - n + SHINGLE - 1))
-        fitting = F.filter(lengths, lambda n: F.size(s) >= n - SHINGLE + 1)
-        return F.flatten(F.transform(fitting, lambda n: F.transform(starts(n), lambda x: F.struct(n.alias("n"), x.alias("start")))))
-
-    def found(s: Column) -> Column:
-        hits = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.get(s, i).isin(known))
-        windows = F.array_distinct(F.flatten(F.transform(hits, lambda p: around(s, p))))
-        held = lambda x: F.slice(s, x["start"] + 1, x["n"] - SHINGLE + 1).alias("held")
-        return F.when(
-            F.exists(s, lambda x: x.isin(known)),
-            F.transform(windows, lambda x: F.struct(x["n"].alias("n"), x["start"].alias("start"), held(x))),
-        )
-
-    return _let(shingles, found)
+def _bands(shingle: Column) -> list[Column]:
+    """The least hash of a group's shingles for each band, as aggregates."""
+    return [F.min(F.xxhash64(shingle, F.lit(k))).alias(f"b{k}") for k in range(BANDS)]
 
 
-def _bands(shingles: Column) -> Column:
-    """One struct (band, value) for each MinHash value of a shingle array."""
-
-    def value(band: int) -> Column:
-        return F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, F.lit(band))))
-
-    return F.array(*[F.struct(F.lit(k).alias("band"), value(k).alias("value")) for k in range(BANDS)])
+def _banded(groups: DataFrame, *keys: str) -> DataFrame:
+    """(keys.., band, value): a row for each band of each group."""
+    values = F.array(*[F.struct(F.lit(k).alias("band"), F.col(f"b{k}").alias("value")) for k in range(BANDS)])
+    return groups.select(*keys, F.explode(values).alias("b")).select(*keys, "b.band", "b.value")
 
 
 def _library(spark: SparkSession, templates: tuple) -> DataFrame:
@@ -107,34 +94,66 @@ def _library(spark: SparkSession, templates: tuple) -> DataFrame:
     if sum(len(text.encode()) for _, text in templates) > MAX_BYTES:
         raise ValueError(f"a library holds at most {MAX_BYTES} bytes of text")
     if not templates:
-        return spark.createDataFrame([], "license string, n int, wanted array<bigint>")
-    rows = ", ".join("('{}', '{}')".format(*(x.replace("\\", "\\\\").replace("'", "\\'") for x in t)) for t in templates)
-    texts = spark.sql(f"SELECT * FROM VALUES {rows} AS t(license, text)")
+        return spark.createDataFrame([], "template int, license string, n int, class int, wanted array<bigint>")
+    rows = ", ".join("({}, '{}', '{}')".format(i, *(x.replace("\\", "\\\\").replace("'", "\\'") for x in t)) for i, t in enumerate(templates))
+    texts = spark.sql(f"SELECT * FROM VALUES {rows} AS t(template, license, text)")
     words = texts.withColumn("w", _words(F.col("text")))
     short = F.raise_error(F.concat(F.lit(f"a template holds at least {SHINGLE} words: "), F.col("license"))).cast("int")
-    return words.select("license", F.when(F.size("w") < SHINGLE, short).otherwise(F.size("w")).alias("n"), F.array_distinct(_shingles(F.col("w"))).alias("wanted"))
+    sized = words.withColumn("n", F.when(F.size("w") < SHINGLE, short).otherwise(F.size("w")))
+    number = F.floor(F.ln(F.col("n").cast("double")) / F.ln(F.lit(CLASS))).cast("int")
+    return sized.select("template", "license", "n", number.alias("class"), F.array_distinct(_shingles(F.col("w"))).alias("wanted"))
+
+
+def _hits(docs: DataFrame, known: list[int]) -> DataFrame:
+    """(doc_id, row, total, pos, shingle): places of known shingles, kept; row tells apart the texts of one doc_id, total is its words.
+
+    Known ones are literals of an IN, which Spark looks up by hash, whatever the size of the library.
+    """
+    text = F.col("text").cast("string")
+    placed = lambda s: F.filter(F.transform(s, lambda x, i: F.struct(i.alias("pos"), x.alias("shingle"))), lambda x: x["shingle"].isin(known))
+    found = _let(_shingles(_words(text)), lambda s: F.struct((F.size(s) + SHINGLE - 1).alias("total"), placed(s).alias("places")))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("row"), found.alias("x")).where(F.size("x.places") > 0)
+    spread = rows.select("doc_id", "row", "x.total", F.explode("x.places").alias("p")).select("doc_id", "row", "total", "p.pos", "p.shingle")
+    return keep(spread, "hits")
+
+
+def _candidates(hits: DataFrame, library: DataFrame) -> DataFrame:
+    """(doc_id, row, template): templates that share a band with a window of the text."""
+    wanted = library.select("template", "n", "class", F.explode("wanted").alias("shingle"))
+    longest = Window.partitionBy("class")
+    of_class = wanted.withColumn("longest", F.max("n").over(longest)).groupBy("class", "shingle").agg(F.max("longest").alias("longest"))
+    step = F.greatest(F.floor(F.col("longest") / 4), F.lit(1)).cast("int")
+    first = F.greatest(F.floor((F.col("pos") - F.col("longest") - F.col("step")) / F.col("step")) + 1, F.lit(0))
+    windows = F.sequence(first.cast("long"), F.floor(F.col("pos") / F.col("step")).cast("long"))
+    placed = hits.join(F.broadcast(of_class.withColumn("step", step)), "shingle").select("doc_id", "row", "class", "shingle", F.explode(windows).alias("window"))
+    grouped = placed.groupBy("doc_id", "row", "class", "window").agg(*_bands(F.col("shingle")))
+    index = _banded(wanted.groupBy("class", "template").agg(*_bands(F.col("shingle"))), "class", "template")
+    shared = _banded(grouped, "doc_id", "row", "class").join(F.broadcast(index), ["class", "band", "value"])
+    return shared.select("doc_id", "row", "template").distinct()
 
 
 def scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
-    """Rows (doc_id, license, containment, first_word): each template found, its best window and where that begins."""
+    """Rows (doc_id, license, containment, first_word): each template found, its best run of words and where that begins."""
     library = _library(docs.sparkSession, templates)
-    facts = library.agg(F.flatten(F.collect_set("wanted")).alias("known"), F.collect_set("n").alias("lengths")).first()
-    known = sorted(set(facts["known"]))
-    lengths = F.array(*[F.lit(n) for n in sorted(facts["lengths"])]).cast("array<int>")
-    spread = F.explode_outer(_windows(_shingles(_words(F.col("text"))), known, lengths))
-    windows = docs.select("doc_id", spread.alias("x")).where("x IS NOT NULL").select("doc_id", "x.*")
-    banded = windows.select("doc_id", "start", "n", "held", _bands(F.col("held")).alias("own"))
-    index = library.select("license", "n", "wanted", F.explode(_bands(F.col("wanted"))).alias("b"))
-    retrieved = index.groupBy("n", "b").agg(F.collect_list(F.struct("license", "wanted")).alias("found"))
-    retrieved = retrieved.groupBy("n").agg(F.map_from_entries(F.collect_list(F.struct("b", "found"))).alias("index"))
-    candidates = banded.join(F.broadcast(retrieved), "n").select(
-        "doc_id", "start", "held",
-        F.explode(F.array_distinct(F.flatten(F.filter(F.transform("own", lambda b: F.try_element_at("index", b)), lambda x: x.isNotNull())))).alias("t"),
-    )
-    share = F.size(F.array_intersect("held", "t.wanted")) / F.size("t.wanted")
-    verified = candidates.select("doc_id", "t.license", share.alias("containment"), "start").where(F.col("containment") >= CONTAINMENT)
-    best = verified.groupBy("doc_id", "license").agg(F.min(F.struct(-F.col("containment"), "start")).alias("best"), F.max("containment").alias("containment"))
-    return best.select("doc_id", "license", "containment", F.col("best.start").cast("long").alias("first_word"))
+    known = sorted({x for r in library.select("wanted").collect() for x in r.wanted})
+    hits = _hits(docs, known)
+    shingles = library.select("template", "license", "n", F.size("wanted").alias("size"), F.explode("wanted").alias("shingle"))
+    key = ["doc_id", "row", "template"]
+    left, right = hits.alias("h"), _candidates(hits, library).alias("c")
+    asked = left.join(right, (F.col("h.row") == F.col("c.row")) & F.col("h.doc_id").eqNullSafe(F.col("c.doc_id"))).select("h.*", "c.template")
+    mine = asked.join(F.broadcast(shingles), ["template", "shingle"]).distinct()
+    # A place counts for the runs that hold it and no earlier place of the same shingle.
+    before = F.lag("pos").over(Window.partitionBy(*key, "shingle").orderBy("pos"))
+    opens = F.greatest(F.lit(0), F.col("pos") - F.col("n") + SHINGLE, F.coalesce(before + 1, F.lit(0)))
+    closes = F.least(F.col("pos"), F.col("total") - F.col("n")) + 1
+    ranged = mine.withColumn("opens", opens).withColumn("closes", closes).where("opens < closes")
+    edges = F.explode(F.array(F.struct(F.col("opens").alias("at"), F.lit(1).alias("d")), F.struct(F.col("closes").alias("at"), F.lit(-1).alias("d"))))
+    steps = ranged.select(*key, "license", "size", edges.alias("e")).groupBy(*key, "license", "size", "e.at").agg(F.sum("e.d").alias("d"))
+    upto = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    share = F.sum("d").over(upto) / F.col("size")
+    verified = steps.select("doc_id", "license", "at", share.alias("containment")).where(F.col("containment") >= CONTAINMENT)
+    best = verified.groupBy("doc_id", "license").agg(F.min(F.struct(-F.col("containment"), "at")).alias("best"), F.max("containment").alias("containment"))
+    return best.select("doc_id", "license", "containment", F.col("best.at").cast("long").alias("first_word"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
