@@ -31,7 +31,8 @@ RULES = (
 )
 DAMPING = 0.85
 TOLERANCE = 1e-9
-THRESHOLD = 1e-12
+#: Ranks that moved by TOLERANCE in all are at most so far from where they would come to rest; less apart is a tie, and allowed.
+THRESHOLD = 2 * TOLERANCE * DAMPING / (1 - DAMPING)
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _HREF = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
@@ -45,11 +46,13 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def _rules_by_host(hosts: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
-    """(host, rules): for each host the rules of its own name and of the domains above it."""
+    """(host, rules): for each host the rules of its own name and of the domains above it, of as many labels as a rule has at most."""
     rows = [(r.partition("/")[0].translate(str.maketrans(_UPPER, _UPPER.lower())), "".join(r.partition("/")[1:]), r, v) for r, v in rules]
     listed = hosts.sparkSession.createDataFrame(rows, "suffix string, prefix string, rule string, verdict string")
+    most = max((suffix.count(".") + 1 for suffix, *_ in rows), default=1)
     labels = F.split("host", r"\.")
-    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    first = F.greatest(F.size(labels) - most + 1, F.lit(1))
+    above = F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     named = hosts.select("host", F.explode(F.array_distinct(above)).alias("suffix"))
     return (
         named.join(listed, "suffix").groupBy("host")

@@ -91,3 +91,10 @@ def test_ties_clashing_columns_and_very_long_urls(spark):
     assert sorted(map(tuple, got)) == [(1, "w.x.org", "w.x.org/", "allow"), (2, "w.x.org", "x.org/abc", "allow"), (2, "w.x.org", "x.org/abc", "allow")]
     tied = (("x.org/a", "block"), ("w.x.org", "allow"))
     assert {r.rule for r in U.judge_urls(pages, tied).collect()} == {"w.x.org"}
+
+
+def test_hosts_of_many_labels(spark):
+    long = "a." * 30_000 + "example.com"
+    rows = [(1, f"http://{long}/en/7", ""), (2, "http://" + "a." * 30_000 + "net/de/", None), (3, "http://example.com.org/en/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: (r.rule, r.verdict) for r in U.judge_urls(df).collect()} == {1: ("example.com/en/7", "allow"), 2: ("net/de/", "allow"), 3: (None, "allow")}
