@@ -19,6 +19,20 @@ UNSAFE_IN_NAMES = r'[/:\\?*|"<>\x00-\x1f\x7f]'
 ENDS_SENTENCE = r"[.!?:“”\"')’]$"
 
 
+def composed(text: Column) -> Column:
+    """The text in composed form (NFC), null for null; for texts as they come in, as lengths and comparisons expect it."""
+    return F.when(text.isNotNull(), F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(False)))
+
+
+def characters(text: Column) -> Column:
+    """Characters as a reader counts them: a letter with its marks, a joined emoji, a flag or a line end of two bytes is one.
+
+    Extended grapheme clusters of the JVM's regular expressions; the pattern runs only where they may differ from code points.
+    """
+    plain = (F.octet_length(text) == F.length(text)) & ~F.contains(text, F.lit("\r\n"))
+    return F.when(plain, F.length(text)).otherwise(F.regexp_count(text, F.lit(r"\X")))
+
+
 def normalized(text: Column) -> Column:
     """Lower case, everything but letters, marks and numbers as single spaces."""
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " "))
@@ -26,7 +40,7 @@ def normalized(text: Column) -> Column:
 
 def snapshot_words(text: Column) -> Column:
     """Lower-case runs of letters and numbers of at least four characters, repeats kept."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: F.length(w) >= 4)
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: (F.length(w) >= 4) & (characters(w) >= 4))
 
 
 def starts_with_number(text: Column) -> Column:
@@ -46,8 +60,8 @@ def is_all_caps(text: Column) -> Column:
     """At least four letters, four fifths of them capitals, few other characters and at most two digits."""
     count = lambda p: F.regexp_count(text, F.lit(p))
     letters, digits, spaces = count(r"\p{L}"), count(r"\p{N}"), count(r"\s")
-    rest = F.length(text) - letters - spaces
-    return (letters >= 4) & (5 * rest <= 2 * F.length(text)) & (digits <= 2) & (5 * count(r"\p{Lu}") >= 4 * letters)
+    rest = characters(text) - letters - spaces
+    return (letters >= 4) & (5 * rest <= 2 * characters(text)) & (digits <= 2) & (5 * count(r"\p{Lu}") >= 4 * letters)
 
 
 def starts_with_footnote_marker(text: Column) -> Column:

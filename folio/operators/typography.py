@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from folio.functions.text import characters, composed
 from folio.sources.tables import LINES_SQL, lines
 
 MIN_LINES = 20
@@ -57,12 +58,21 @@ def page_text(rows: DataFrame) -> DataFrame:
     )
 
 
+LISTED = 40
+
+
+def listed_lines(rows: DataFrame, most: int = LISTED) -> DataFrame:
+    """The first lines of every page by line_no, at most ``most``."""
+    place = F.row_number().over(by_page())
+    return rows.withColumn("place", place).where(F.col("place") <= most).drop("place")
+
+
 def quality(rows: DataFrame, least: int = 50) -> DataFrame:
-    """Per page: lines, smallest, median and largest height, median confidence, uncertain lines, first forty lines."""
+    """Per page: lines, smallest, median and largest height, median confidence, uncertain lines, how many are listed."""
     return rows.groupBy("book", "page_no").agg(
         F.count("*").alias("n_lines"), F.min("cw_mil").alias("min_height"), F.median("cw_mil").alias("median_height"), F.max("cw_mil").alias("max_height"),
         F.median("conf_pct").alias("median_confidence"), F.count_if(F.col("conf_pct") < least).alias("uncertain"),
-        F.count_if(F.col("line_no") % 30 < 40).alias("listed"),
+        F.least(F.count("*"), F.lit(LISTED)).alias("listed"),
     )
 
 
@@ -99,10 +109,30 @@ def a5_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("book", "page_no", rescan_verdict(F.col("confident"), new).alias("verdict"))
 
 
+#: Texts as another system writes them: umlauts as letters with marks, a family, a flag and a mark on no letter between.
+_DECOMPOSED = """replace(replace(replace(text, 'ä', 'a' || m), 'ö', 'o' || m), 'ü', 'u' || m) || CASE (book + line_no) % 4 WHEN 0 THEN family WHEN 1 THEN flag WHEN 2 THEN 'x' || m || m ELSE '' END"""
+_MARKS = {"m": "\u0308", "family": "\U0001f468\u200d\U0001f469\u200d\U0001f467", "flag": "\U0001f1e9\U0001f1ea\U0001f1eb"}
+
+
+def a4_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page, the code points of its lines as they come in, those once composed, and the characters of a reader."""
+    rows = lines(spark, sf_dir).withColumns({c: F.lit(v) for c, v in _MARKS.items()}).withColumn("raw", F.expr(_DECOMPOSED))
+    rows = rows.select("book", "page_no", "raw", composed(F.col("raw")).alias("text"))
+    return rows.groupBy("book", "page_no").agg(
+        F.sum(F.length("raw")).alias("code_points"), F.sum(F.length("text")).alias("composed"), F.sum(characters(F.col("text"))).alias("characters")
+    )
+
+
+def a8_long_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of pages of ninety lines, more than are listed."""
+    rows = lines(spark, sf_dir).withColumn("page_no", F.expr("cast(line_no div 90 as int)"))
+    return quality(rows)
+
+
 _PAGE = "OVER (PARTITION BY book, page_no ORDER BY line_no)"
 QUERIES = {
     "a1_typography": a1_typography, "w1_line_gaps": w1_line_gaps, "a2_edges": a2_edges, "a4_page_text": a4_page_text,
-    "a5_rescan": a5_rescan, "a8_quality": a8_quality,
+    "a5_rescan": a5_rescan, "a8_quality": a8_quality, "a4_characters": a4_characters, "a8_long_pages": a8_long_pages,
 }
 SQL = {
     "a1_typography": f"""WITH {LINES_SQL},
@@ -125,5 +155,11 @@ q AS (SELECT book, page_no, c, lead(c) OVER (PARTITION BY book ORDER BY page_no)
 SELECT book, page_no, CASE WHEN d IS NULL THEN 'undecided' WHEN 100 * d > 103 * c THEN 'new' WHEN 100 * c > 103 * d THEN 'old' ELSE 'undecided' END AS verdict FROM q""",
     "a8_quality": f"""WITH {LINES_SQL} SELECT book, page_no, count(*) AS n_lines, min(cw_mil) AS min_height, median(cw_mil) AS median_height,
        max(cw_mil) AS max_height, median(conf_pct) AS median_confidence, count(*) FILTER (WHERE conf_pct < 50) AS uncertain,
-       count(*) FILTER (WHERE line_no % 30 < 40) AS listed FROM lines GROUP BY ALL""",
+       least(count(*), {LISTED}) AS listed FROM lines GROUP BY ALL""",
+    "a8_long_pages": f"""WITH {LINES_SQL} SELECT book, CAST(line_no // 90 AS INT) AS page_no, count(*) AS n_lines, min(cw_mil) AS min_height, median(cw_mil) AS median_height,
+       max(cw_mil) AS max_height, median(conf_pct) AS median_confidence, count(*) FILTER (WHERE conf_pct < 50) AS uncertain,
+       least(count(*), {LISTED}) AS listed FROM lines GROUP BY ALL""",
+    "a4_characters": f"""WITH {LINES_SQL}, r AS (SELECT book, page_no, {_DECOMPOSED} AS raw FROM (SELECT *, {", ".join(f"'{v}' AS {c}" for c, v in _MARKS.items())} FROM lines))
+SELECT book, page_no, CAST(sum(length(raw)) AS BIGINT) AS code_points, CAST(sum(length(nfc_normalize(raw))) AS BIGINT) AS composed,
+       CAST(sum(length_grapheme(nfc_normalize(raw))) AS BIGINT) AS characters FROM r GROUP BY ALL""",
 }

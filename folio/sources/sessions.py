@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folio.functions.arrays import each_row, gathered
-from folio.functions.text import parse_iso_timestamp
+from folio.functions.text import composed, parse_iso_timestamp
 from folio.operators.geometry import reading_order
 from folio.schema import PAGE_JSON, SESSION_JSON
 
@@ -57,13 +57,13 @@ def _box(box: Column, i: int, j: int) -> Column:
 
 
 def read_page_lines(spark: SparkSession, root: str) -> DataFrame:
-    """The rows of all page texts under a root, in reading order; texts of an older version are put in order here."""
+    """The rows of all page texts under a root, in reading order; texts are composed, those of an older version put in order here."""
     raw = spark.read.schema(PAGE_JSON).option("multiLine", True).json(f"{root}/*/OCR/*.json")
     rows = raw.select(
         _part(F.input_file_name(), -3).alias("directory"), F.col("pageID").alias("page"), F.coalesce("version", F.lit(1)).alias("version"),
         F.posexplode("lines").alias("line_no", "l"),
     ).select(
-        "directory", "page", "version", "line_no", "l.text", "l.confidence", _box(F.col("l.box"), 1, 1).alias("x"), _box(F.col("l.box"), 1, 2).alias("y"),
+        "directory", "page", "version", "line_no", composed(F.col("l.text")).alias("text"), "l.confidence", _box(F.col("l.box"), 1, 1).alias("x"), _box(F.col("l.box"), 1, 2).alias("y"),
         _box(F.col("l.box"), 2, 1).alias("w"), _box(F.col("l.box"), 2, 2).alias("h"), F.coalesce("l.angle", F.lit(0.0)).alias("angle"),
     )
 
