@@ -2,28 +2,24 @@
 
 Input are lines (book, page_no, line_no, text, confidence 0..1, and in thousandths of the page x_mil, w_mil, h_mil and
 mid_mil, the height of the middle from the bottom). Everything up to the blocks of a page is windows and groups over
-pages; only the assembly across pages, where a merge changes what the next page meets, is a fold over a book's blocks.
+pages; the assembly across pages, where a merge changes what the next page meets, is in ``assembly``.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from folio.functions import text as X
-from folio.functions.arrays import each_row, gathered
-from folio.operators.hyphenation import join_lines, joined, word_test
+from folio.operators.assembly import assembled
+from folio.operators.hyphenation import joined
 from folio.operators.predicates import _ENDS as _ENDS_SQL
 from folio.operators.predicates import _NUM, _STARTS, _sql_caps
 from folio.operators.sequence import printed_numbers, printed_sql
 from folio.operators.similarity import _NORM, duplicate_pages, page_keys, toc_sql, toc_titles
 from folio.schema import Duplicate, Structure
-from folio.sources.tables import LINES_SQL, lines
+from folio.sources.tables import LINES_SQL, kept, lines
 
 PAGE = ["book", "page_no"]
 
@@ -204,85 +200,18 @@ def structure(rows: DataFrame, titles: DataFrame | None = None, words: frozenset
     return page_blocks(classified(page_lines(rows, not page_only), titles), words)
 
 
-_SENTENCE_END = re.compile("[.!?:“”\"')’]$")
-_EXCLUDED = re.compile("|".join(X.PUBLISHER_WORDS) + r"|\b(1[5-9]|20)[0-9][0-9]\b")
-
-
-def _runs_on(previous: str, following: str) -> bool:
-    return bool(previous and following) and (previous[-1] in X.HYPHENS or not _SENTENCE_END.search(previous) and following[0].islower())
-
-
-def _plain(text: str) -> str:
-    return " ".join(re.sub(r"[^\w]|_", " ", text.lower()).split())
-
-
-def _on_cover(text: str, title: str) -> bool:
-    """Whether a cover heading repeats the title or is a publisher's line."""
-    key, whole = _plain(text), _plain(title)
-    return key in whole or whole in key or bool(_EXCLUDED.search(text.lower())) or sum(map(str.isalpha, text)) < 2
-
-
-def _open_block(blocks: list[list], kind: str, over: tuple) -> list | None:
-    """The last block if only such kinds stand behind it."""
-    for b in reversed(blocks):
-        if b[0] == kind:
-            return b
-        if b[0] not in over:
-            return None
-    return None
-
-
-def assemble(pages: list[tuple[int, str | None, int | None, list[tuple]]], title: str | None = None, knows=None) -> list[tuple]:
-    """A book's blocks (kind, level, text, scan, printed) from (number, printed, duplicate of, [(kind, level, text, note)])."""
-    out: list[list] = []
-    for number, printed, twin, blocks in pages:
-        if twin is not None:
-            out += [["pageBreak", 0, "", number, None], ["note", 0, f"Scan {number} ist ein Duplikat von Scan {twin} und wurde übersprungen", number, None]]
-            continue
-        here = []
-        for kind, level, text, note in blocks:
-            if note:
-                here.append(["note", 0, note, number, None])
-            if kind == "heading" and title and number == pages[0][0] and _on_cover(text, title):
-                kind, level = "paragraph", 0
-            here.append([kind, level, text, number, None])
-        first = next((b for b in here if b[0] != "note"), None)
-        if first and first[0] == "paragraph":
-            for kind, over in (("paragraph", ("footnote", "note", "pageBreak")), ("footnote", ("note", "pageBreak"))):
-                last = _open_block(out, kind, over)
-                if last and _runs_on(last[2], first[2]):
-                    last[2] = join_lines([last[2], first[2]], knows)
-                    here = [b for b in here if b is not first]
-                    break
-        out += [["pageBreak", 0, "", number, printed], *here]
-    return [tuple(b) for b in out]
-
-
 def books(rows: DataFrame, words: frozenset | None = None, titles: DataFrame | None = None) -> DataFrame:
     """(book, block_no, kind, level, text, scan, printed): every book assembled; titles (book, title) are optional.
 
-    A fold over a book's blocks, some hundred rows; pages without blocks take part through their numbers.
+    Blocks and pages are written down once, as the assembly reads them several times.
     """
     contents = toc_titles(rows)
-    blocks = structure(rows, contents, words)
+    blocks = kept(structure(rows, contents, words))
     twins = duplicate_pages(page_keys(rows.withColumn("conf_pct", F.col("confidence") * 100)))
-    pages = rows.select(*PAGE).distinct().join(twins.withColumnRenamed("of", "twin"), PAGE, "left")
-    packed = F.array_sort(F.collect_list(F.struct("block_no", "kind", "level", "text", "uncertain")))
     printed = printed_numbers(rows.where("text <> ''")).where("lo > 0")
     label = F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(F.concat(F.col("lo").cast("string"), F.lit("–"), F.col("hi").cast("string")))
-    pages = pages.join(blocks.groupBy(*PAGE).agg(packed.alias("blocks")), PAGE, "left").join(printed.select(*PAGE, label.alias("printed")), PAGE, "left")
-    books = gathered(pages, ["book"], "page_no", "printed", "twin", "blocks")
-    books = books.join(titles.select("book", "title"), "book", "left") if titles is not None else books.withColumn("title", F.lit(None).cast("string"))
-    knows = word_test(words)
-
-    def fold(row: dict) -> Iterator[tuple]:
-        twin = lambda p: None if p["twin"] is None else p["twin"] + 1
-        given = [(p["page_no"] + 1, p["printed"], twin(p), [(b["kind"], b["level"], b["text"], b["uncertain"]) for b in p["blocks"] or ()]) for p in row["members"]]
-        for i, block in enumerate(assemble(given, row["title"], knows)):
-            yield row["book"], i, *block
-
-    kinds = [("book", pa.int64()), ("block_no", pa.int32()), ("kind", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("scan", pa.int32()), ("printed", pa.string())]
-    return each_row(books, fold, "book long, block_no int, kind string, level int, text string, scan int, printed string", pa.schema(kinds))
+    pages = rows.select(*PAGE).distinct().join(twins.withColumnRenamed("of", "twin"), PAGE, "left").join(printed.select(*PAGE, label.alias("printed")), PAGE, "left")
+    return assembled(kept(pages), blocks, words, titles)
 
 
 #: What the queries below make of the lines: chapter lines, contents pages that list them, titles of two lines, footnotes in

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode only."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="folio-")
+    return f"{path.rstrip('/')}/folio-{uuid.uuid4().hex}"
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """``rows`` written as Parquet to a shared folder, for what is read more than once; it goes when the driver's JVM ends."""
+    spark = rows.sparkSession
+    folder = shared_folder(spark)
+    rows.write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line of every document, as a book: ten words a line, thirty lines a page.
 

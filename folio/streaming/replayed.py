@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +11,7 @@ from pyspark.sql.types import StructType
 from folio.operators.frames import _FIRED_SQL, EVENT_RULE, _levels, fired
 from folio.operators.similarity import SQL as _PAGES_SQL
 from folio.operators.similarity import _page_words
-from folio.sources.tables import lines
+from folio.sources.tables import lines, shared_folder
 from folio.streaming.motion import episodes, settled_pages
 from folio.streaming.ordered import use_state_store
 from folio.streaming.pages import judged_pages, timely
@@ -24,16 +22,6 @@ PARTS = 3
 LATE_HOURS = 24
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode only."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="folio-stream-")
-    return f"{path.rstrip('/')}/folio-stream-{uuid.uuid4().hex}"
-
-
 def as_stream(rows: DataFrame, seconds: str, end: DataFrame, folder: str) -> DataFrame:
     """``rows`` as a stream of unordered files in which a row is up to ``LATE_HOURS`` late, and ``end`` as its last one."""
     spark, (first, last) = rows.sparkSession, rows.agg(F.min(seconds), F.max(seconds)).first()
