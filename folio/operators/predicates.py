@@ -70,7 +70,7 @@ def f9_line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts and ends with numbers, capitals, footnote marks, excluded titles; capitals also of the upper-cased line."""
     text = F.col("text")
     return _key(
-        lines(spark, sf_dir), starts=X.starts_with_number(text), ends=X.ends_with_number(text), caps=X.is_all_caps(text), upper_caps=X.is_all_caps(F.upper(text)),
+        lines(spark, sf_dir), starts=X.starts_with_number(text), ends=X.ends_with_number(text), caps=X.is_all_caps(text), upper_caps=X.is_all_caps(X.capitals(text)),
         mark=X.starts_with_footnote_marker(text), excluded=X.is_excluded_title(text),
     )
 

@@ -30,3 +30,10 @@ def test_listed_lines_go_by_place_not_by_number(spark):
     rows = spark.createDataFrame([(1, 0, 2 * i + 7, f"z{i}", 12, 80) for i in range(57)] + [(1, 1, 1, "x", 12, 40)], "book long, page_no int, line_no int, text string, cw_mil int, conf_pct int")
     assert [r.text for r in T.listed_lines(rows).where("page_no = 0").orderBy("line_no").collect()] == [f"z{i}" for i in range(40)]
     assert [(r.n_lines, r.listed, r.uncertain) for r in T.quality(rows).orderBy("page_no").collect()] == [(57, 40, 0), (1, 1, 1)]
+
+
+def test_capitals_are_one_character_each(spark):
+    df = spark.createDataFrame([("straße ŉ ᾳ äé", "geschßä%%% au.&&&")], "t string, s string")
+    row = df.select(X.capitals(F.col("t")).alias("t"), X.capitals(F.col("s")).alias("s"), X.is_all_caps(X.capitals(F.lit("ößß.$$$ b###"))).alias("c")).first()
+    assert (row.t, row.s) == ("STRAẞE ŉ ᾼ ÄÉ", "GESCHẞÄ%%% AU.&&&")
+    assert not row.c
