@@ -26,8 +26,19 @@ def word_test(words: Iterable[str] | None) -> Callable[[str], bool] | None:
     return lambda w: w in listed or w.lower() in listed or w[:1].upper() + w[1:].lower() in listed
 
 
+def _head(text: str) -> str:
+    """The letters at a text's end, looked for from there, as the text may be long."""
+    reach = 64
+    while True:
+        start = max(0, len(text) - reach)
+        found = _HEAD.search(text, start)
+        if found.start() > start or not start:
+            return found[0]
+        reach *= 4
+
+
 def _capitals(text: str) -> bool:
-    letters = [c for c in (text.split() or [text])[-1] if c.isalpha()]
+    letters = [c for c in (text.rsplit(maxsplit=1) or [text])[-1] if c.isalpha()]
     return len(letters) >= 2 and all(c.isupper() for c in letters)
 
 
@@ -47,9 +58,10 @@ def _spaced(out: str, line: str, knows: Callable | None) -> bool:
     tail = _TAIL.match(line)[0]
     if out[-1] in HYPHENS:
         return not tail or knows is not None
-    head = _HEAD.search(out)[0]
-    split_word = knows is not None and len(head) >= 2 and len(tail) >= 2 and line[0].islower()
-    return not (split_word and not knows(head) and not knows(tail) and knows(head + tail))
+    if knows is None or len(tail) < 2 or not line[0].islower():
+        return True
+    head = _head(out)
+    return not (len(head) >= 2 and not knows(head) and not knows(tail) and knows(head + tail))
 
 
 def _seam(out: str, line: str, knows: Callable | None) -> str:

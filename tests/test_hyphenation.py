@@ -1,6 +1,7 @@
 """Joining lines by a dictionary table against the word list that travels with the function."""
 
 import random
+import time
 
 from folio.operators import hyphenation as H
 
@@ -32,3 +33,11 @@ def test_dictionary_table_gives_what_a_word_list_gives(spark):
     assert got == {(b, p): H.join_lines(texts, knows) for b, p, texts in pages}
     none = {(r.book, r.page_no): r.text for r in H.joined_by_dictionary(df, table.where("false")).collect()}
     assert none == {(b, p): H.join_lines(texts, lambda w: False) for b, p, texts in pages}
+
+
+def test_a_long_paragraph_is_joined_in_linear_time():
+    lines = ["ein Absatz ohne Ende, dessen Zeilen alle klein beginnen und"] * 8000
+    for knows in (None, H.word_test(["ende"])):
+        began = time.process_time()
+        assert H.join_lines(lines, knows) == " ".join(lines)
+        assert time.process_time() - began < 5
