@@ -2,6 +2,7 @@
 
 import datetime as dt
 import functools
+import time
 
 import duckdb
 import numpy as np
@@ -11,11 +12,11 @@ from pyspark.sql import functions as F
 
 from folio.functions import images as I
 from folio.functions import text as X
-from folio.operators import render
+from folio.operators import render, similarity
 from folio.operators.frames import fired, luma_means, timely_judgements
 from folio.operators.geometry import cut_places, quadrant, reading_order, rotated_box
 from folio.operators.sequence import ISSUES_SQL, PRINTED_SQL, live_issues, printed_numbers, sequence_issues
-from folio.operators.similarity import ReadWords, c10_new_pages, new_pages, same_page, within, word_share
+from folio.operators.similarity import ReadWords, c10_new_pages, new_pages, same_page, within, word_share, words_alike
 from folio.operators.titles import composed
 from folio.schema import Motion
 from folio.streaming.motion import step
@@ -145,6 +146,21 @@ def test_words():
     assert same_page(read(one, 3), read(two, 3), lambda: 1.0) and not same_page(read("a"), read("b"), lambda: 0.5) and same_page(read(""), read(""), lambda: 0.1)
 
 
+def test_alike_pages_by_parts_and_with_very_long_words(monkeypatch):
+    rng = np.random.default_rng(6)
+    words = sorted({"".join(rng.choice(list("abcä"), rng.integers(1, 9))) for _ in range(160)})
+    for _ in range(300):
+        one, two = (ReadWords(list(rng.choice(words, rng.integers(0, 30)))) for _ in range(2))
+        monkeypatch.setattr(similarity, "PAIRS", int(rng.choice([1, 40, 1 << 20])))
+        share = float(rng.choice([0, 0.3, 0.6, 1]))
+        assert words_alike(one, two, share) == (word_share(one, two) >= share)
+    long = ["".join(rng.choice(list("abcdefgh"), 600)) for _ in range(40)]
+    began = time.process_time()
+    assert words_alike(ReadWords(long), ReadWords([w[:300] + "x" + w[301:] for w in long]), 0.6)
+    assert not words_alike(ReadWords(long), ReadWords([w[:5] + "xxx" + w[8:] for w in long]), 0.6)
+    assert time.process_time() - began < 2
+
+
 def test_motion_trigger():
     state, since, fires = "idle", None, []
     for i, level in enumerate([0, 24, 24, 4, 0, 0, 0, 0, 0, 0, 0, 0, 0]):
