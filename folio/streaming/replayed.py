@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -13,7 +13,7 @@ from folio.operators.similarity import SQL as _PAGES_SQL
 from folio.operators.similarity import _page_words
 from folio.sources.tables import lines, shared_folder
 from folio.streaming.motion import episodes, settled_pages
-from folio.streaming.ordered import use_state_store
+from folio.streaming.ordered import SETTINGS, use_state_store
 from folio.streaming.pages import judged_pages, timely
 
 _FOREVER = 100 * 365 * 86_400
@@ -22,23 +22,41 @@ PARTS = 3
 LATE_HOURS = 24
 
 
-def as_stream(rows: DataFrame, seconds: str, end: DataFrame, folder: str) -> DataFrame:
-    """``rows`` as a stream of unordered files in which a row is up to ``LATE_HOURS`` late, and ``end`` as its last one."""
+def as_stream(rows: DataFrame, seconds: str, folder: str, **end: Column) -> DataFrame:
+    """``rows`` as a stream of unordered files in which a row is up to ``LATE_HOURS`` late, and a last one 400 days on.
+
+    The rows are written once, dealt to parts; ``all_of`` lets one part after the other into the stream's folder.
+    """
     spark, (first, last) = rows.sparkSession, rows.agg(F.min(seconds), F.max(seconds)).first()
     width = ((last or 0) - (first or 0)) / PARTS + 1
     late = F.pmod(F.xxhash64("event_id"), F.lit(LATE_HOURS * 3600))
-    part = F.least(F.floor((F.col(seconds) - (first or 0) + late) / width), F.lit(PARTS - 1))
-    for number in range(PARTS):
-        rows.where(part == number).write.mode("append").parquet(folder)
-    end.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in rows.schema]).write.mode("append").parquet(folder)
-    files = max(1, len(spark.read.parquet(folder).inputFiles()) // (PARTS + 1))
-    return spark.readStream.schema(StructType(rows.schema.fields)).option("maxFilesPerTrigger", files).parquet(folder)
-
-
-def all_of(stream: DataFrame, folder: str) -> DataFrame:
-    """What a stream gives once all of its input was read."""
-    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
-    query.awaitTermination()
+    part = F.least(F.floor((F.col(seconds) - (first or 0) + late) / width), F.lit(PARTS - 1)).cast("int")
+    rows.withColumn("dealt_to", part).write.partitionBy("dealt_to").parquet(f"{folder}/dealt")
+    final = {"stream": F.lit(-1), "event_id": F.lit(-1), seconds: F.lit((last or 0) + 400 * 86_400), **end}
+    spark.range(1).select(*[final[f.name].cast(f.dataType).alias(f.name) for f in rows.schema]).write.parquet(f"{folder}/dealt/dealt_to={PARTS}")
+    files, path = _files(spark, folder)
+    files.mkdirs(path("in"))
+    return spark.readStream.schema(StructType(rows.schema.fields)).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+
+
+def _files(spark: SparkSession, folder: str) -> tuple:
+    """The file system of a folder, and what makes paths below it."""
+    path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    return path("in").getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def all_of(stream: DataFrame, folder: str, *inputs: str) -> DataFrame:
+    """What a stream gives once all parts of its inputs, folders of ``as_stream``, were read, a part a micro-batch.
+
+    The query is started anew for each part and goes on from its progress, so that parts of any number of files stay whole: with
+    a number of files a micro-batch, rows of a part that was cut would come after its latest ones, and count as late.
+    """
+    for part in range(PARTS + 1):
+        for files, path in (_files(stream.sparkSession, name) for name in inputs):
+            if files.exists(path(f"dealt/dealt_to={part}")):
+                files.rename(path(f"dealt/dealt_to={part}"), path(f"in/{part}"))
+        query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+        query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
@@ -46,13 +64,13 @@ def _with_store(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     """The query with the state store that it needs, which the session keeps only while the query runs."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        name = "spark.sql.streaming.stateStore.providerClass"
-        before = spark.conf.get(name, None)
+        before = {name: spark.conf.get(name, None) for name in SETTINGS}
         use_state_store(spark)
         try:
             return fn(spark, sf_dir)
         finally:
-            spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+            for name, value in before.items():
+                spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
     run.__doc__ = fn.__doc__
     return run
@@ -60,36 +78,34 @@ def _with_store(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 def _level_stream(spark: SparkSession, sf_dir: str, folder: str) -> tuple[DataFrame, DataFrame]:
     levels = _levels(spark, sf_dir)
-    end = levels.agg(F.lit(-1).alias("stream"), F.lit(-1).alias("event_id"), (F.coalesce(F.max("seconds"), F.lit(0)) + 400 * 86_400).alias("seconds"), F.lit(0.0).alias("level"))
-    return levels, as_stream(levels, "seconds", end, f"{folder}/levels")
+    return levels, as_stream(levels, "seconds", folder, level=F.lit(0.0))
 
 
 def t9_unordered_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where streams settle, from a stream of events that come up to a day late."""
     folder = shared_folder(spark)
-    _, stream = _level_stream(spark, sf_dir, folder)
-    return all_of(settled_pages(stream, EVENT_RULE, f"{2 * LATE_HOURS} hours", _FOREVER), folder).select("stream", "event_id", F.col("seconds").cast("long").alias("seconds"))
+    _, stream = _level_stream(spark, sf_dir, f"{folder}/levels")
+    found = all_of(settled_pages(stream, EVENT_RULE, f"{2 * LATE_HOURS} hours", _FOREVER), folder, f"{folder}/levels")
+    return found.select("stream", "event_id", F.col("seconds").cast("long").alias("seconds"))
 
 
 def t5_streamed_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of judgements that take up to six days, those that no movement overtook, from two unordered streams."""
     folder = shared_folder(spark)
-    levels, stream = _level_stream(spark, sf_dir, folder)
+    levels, stream = _level_stream(spark, sf_dir, f"{folder}/levels")
     judged = fired(levels, EVENT_RULE).withColumn("done_at", F.col("seconds") + F.col("event_id") % 7 * 86_400).select("stream", "event_id", "done_at")
-    end = levels.agg(F.lit(-1).alias("stream"), F.lit(-1).alias("event_id"), (F.coalesce(F.max("seconds"), F.lit(0)) + 400 * 86_400).alias("done_at"))
-    done = as_stream(judged, "done_at", end, f"{folder}/judged").withColumn("done_at", F.timestamp_seconds("done_at"))
+    done = as_stream(judged, "done_at", f"{folder}/judged").withColumn("done_at", F.timestamp_seconds("done_at"))
     delay = f"{2 * LATE_HOURS} hours"
     kept = timely(done, episodes(stream, EVENT_RULE, delay, _FOREVER), "7 days", delay)
-    return all_of(kept, folder).where("stream >= 0").select("stream", "event_id", F.unix_seconds("done_at").alias("done_at"))
+    return all_of(kept, folder, f"{folder}/levels", f"{folder}/judged").where("stream >= 0").select("stream", "event_id", F.unix_seconds("done_at").alias("done_at"))
 
 
 def c10_streamed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New pages by words, from an unordered stream of all books' pages, one every three hours."""
     folder = shared_folder(spark)
     pages = _page_words(lines(spark, sf_dir)).select(F.col("book").alias("stream"), F.col("page_no").cast("long").alias("event_id"), ((F.col("page_no") + 1) * 10_800).cast("long").alias("seconds"), "words")
-    end = pages.agg(F.lit(-1).alias("stream"), F.lit(-1).alias("event_id"), (F.coalesce(F.max("seconds"), F.lit(0)) + 400 * 86_400).alias("seconds"), F.array().alias("words"))
-    stream = as_stream(pages, "seconds", end, f"{folder}/pages").withColumn("at", F.timestamp_seconds("seconds"))
-    found = all_of(judged_pages(stream, delay=f"{2 * LATE_HOURS} hours", forget=_FOREVER), folder).where("stream >= 0")
+    stream = as_stream(pages, "seconds", f"{folder}/pages", words=F.array()).withColumn("at", F.timestamp_seconds("seconds"))
+    found = all_of(judged_pages(stream, delay=f"{2 * LATE_HOURS} hours", forget=_FOREVER), folder, f"{folder}/pages").where("stream >= 0")
     return found.select(F.col("stream").alias("book"), F.col("event_id").cast("int").alias("page_no"), "is_new")
 
 

@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from folio.operators.frames import fired, timely_judgements
+from folio.operators.frames import EVENT_RULE, fired, timely_judgements
 from folio.operators.similarity import new_pages
 from folio.schema import Motion
+from folio.streaming import replayed
 from folio.streaming.motion import episodes, settled_pages
 from folio.streaming.ordered import use_state_store
 from folio.streaming.pages import judged_pages, timely
@@ -118,3 +119,15 @@ def test_streamed_pages_match_the_batch(spark, streams):
     stream = source(shuffled(shots, lambda r: (r[2] - EPOCH).total_seconds(), 3, 4.0, rng, (99, -1, EPOCH + dt.timedelta(seconds=10_000), [], None)), schema)
     got = {r.event_id: r.is_new for r in rows(judged_pages(stream, delay="5 seconds")) if r.stream != 99}
     assert got == want and set(want.values()) == {True, False}
+
+
+def test_parts_of_uneven_numbers_of_files_stay_whole(spark, tmp_path):
+    use_state_store(spark)
+    rng = random.Random(9)
+    hours = sorted({(s, int(24 * 60 * rng.random() ** 3)) for s in range(20) for _ in range(60)})
+    rows = [(s, i, 3600 * (hour + 1), rng.choice([0.0, 0.0, 30.0, 90.0])) for i, (s, hour) in enumerate(hours)]
+    levels = spark.createDataFrame(rows, "stream long, event_id long, seconds long, level double").repartitionByRange(9, "seconds")
+    stream = replayed.as_stream(levels, "seconds", f"file://{tmp_path}/levels", level=F.lit(0.0))
+    found = replayed.all_of(settled_pages(stream, EVENT_RULE, "48 hours", 1e9), f"file://{tmp_path}", f"file://{tmp_path}/levels").collect()
+    want = fired(levels, EVENT_RULE).collect()
+    assert sorted((r.stream, r.event_id) for r in found) == sorted((r.stream, r.event_id) for r in want) and len(want) > 50
