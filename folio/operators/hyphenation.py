@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folio.functions.text import CONJUNCTIONS, HYPHENS
-from folio.sources.tables import LINES_SQL, lines, table
+from folio.sources.tables import LINES_SQL, kept, lines, table
 
 _HEAD = re.compile(r"[^\W\d_]*$")
 _TAIL = re.compile(r"^[^\W\d_]*")
@@ -139,7 +139,8 @@ def joined_by_dictionary(pages: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(book, page_no, text) of pages (book, page_no, texts) by a table of words (word) of any size.
 
     The words that a page's seams and inner hyphens ask for are looked up by a join, in three spellings: as they stand, in
-    small letters, and with a capital. What the dictionary knows of them goes back to the page, whose lines are then joined.
+    small letters, and with a capital, each word once for all pages. What the dictionary knows of them goes back to the page,
+    whose lines are then joined. Pages and their words are written down, as they are read three times.
     """
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -150,10 +151,12 @@ def joined_by_dictionary(pages: DataFrame, dictionary: DataFrame) -> DataFrame:
     def run(texts: pd.Series, known: pd.Series) -> pd.Series:
         return pd.Series([join_lines(x, frozenset(k).__contains__) for x, k in zip(texts, known, strict=True)], dtype=object)
 
-    words = pages.select("book", "page_no", F.explode(asked("texts")).alias("asked"))
+    pages = kept(pages.select("book", "page_no", "texts", asked("texts").alias("asked")))
+    words = pages.select("book", "page_no", F.explode("asked").alias("asked"))
     low = F.lower("asked")
-    spelled = words.withColumn("word", F.explode(F.array_distinct(F.array("asked", low, F.concat(F.upper(F.substring(low, F.lit(1), F.lit(1))), F.substring(low, F.lit(2), F.length(low)))))))
-    known = spelled.join(dictionary.select("word"), "word", "left_semi").groupBy("book", "page_no").agg(F.collect_set("asked").alias("known"))
+    spellings = F.array_distinct(F.array("asked", low, F.concat(F.upper(F.substring(low, F.lit(1), F.lit(1))), F.substring(low, F.lit(2), F.length(low)))))
+    listed = words.select("asked").distinct().withColumn("word", F.explode(spellings)).join(dictionary.select("word"), "word", "left_semi").select("asked").distinct()
+    known = words.join(listed, "asked", "left_semi").groupBy("book", "page_no").agg(F.collect_set("asked").alias("known"))
     none = F.array().cast("array<string>")
     return pages.join(known, ["book", "page_no"], "left").select("book", "page_no", run("texts", F.coalesce("known", none)).alias("text"))
 
