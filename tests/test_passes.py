@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from folio.operators import similarity, structure, titles
+from folio.operators import hyphenation, similarity, structure, titles
 
 COVER = "book long, page_no int, line_no int, text string, conf_pct int, cw_mil int, mid_mil int"
 
@@ -65,3 +65,20 @@ def test_titles_are_looked_up_without_texts(spark):
     assert not {"prev_text", "next_text"} & set(lines.columns)
     found = {r.line_no: (r.in_toc, r.pair_in_toc) for r in structure.with_contents(lines, listed).collect()}
     assert found == {0: (False, True), 1: (False, False), 2: (False, False), 3: (True, True)}
+
+
+def test_shared_words_compare_only_what_is_not_equal(spark):
+    a, b = ["haus", "garten", "gartem", "wanderer", "", None, "ufer"], ["haus", "garten", "wandrerer", "ufern", "", None, "boot", "segel", "fluss"]
+    df = similarity.shared_words(spark.createDataFrame([(1, 0, a, b), (1, 1, [], b)], "book long, page_no int, a array<string>, b array<string>"))
+    assert [tuple(r) for r in df.orderBy("page_no").collect()] == [(1, 0, 7, 4), (1, 1, 0, 0)]
+    assert scans(df) == 3
+
+
+def test_written_once(spark, given):
+    """Lines and pages that are read several times are not made anew of the documents."""
+    read = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("lang#")
+    for query in (similarity.j3_toc_matches, similarity.j7_shared_words):
+        assert read(query(spark, given)) == 0
+    pages = spark.read.parquet(f"{given}/documents.parquet").where("text <> ''").select(F.col("doc_id").alias("book"), F.lit(0).alias("page_no"), F.array("text", "text").alias("texts"), "lang")
+    found = hyphenation.joined_by_dictionary(pages, spark.createDataFrame([("Wort",)], "word string"))
+    assert read(found) == 0 and found.count() == 8
