@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,17 +25,18 @@ def judged_pages(snapshots: DataFrame, rule: SamePage = SamePage(), delay: str =
     pixels = F.col("pixels") if "pixels" in snapshots.columns else F.lit(None)
 
     def fold(key: tuple, state: tuple | None, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
-        known = [(ReadWords(list(w)), square(p) if len(p) else None) for w, p in zip(*state, strict=True)] if state else []
+        known = [(ReadWords(json.loads(w)), square(p) if len(p) else None) for w, p in zip(*state, strict=True)] if state else []
         out = []
         for micros, event, words, frame in rows:
-            is_new, known = judge_page(known, words, frame, rule)
+            is_new, known = judge_page(known, json.loads(words), frame, rule)
             out.append((key[0], event, pd.Timestamp(micros, unit="us"), is_new))
-        return ([page.listed for page, _ in known], [[] if frame is None else frame.ravel().astype(int).tolist() for _, frame in known]), out
+        return ([json.dumps(page.listed, ensure_ascii=False) for page, _ in known], [[] if frame is None else frame.ravel().astype(int).tolist() for _, frame in known]), out
 
-    fields = "micros long, event_id long, words array<string>, pixels array<int>"
-    machine = InOrder(fields, "words array<array<string>>, pixels array<array<int>>", ["stream", "event_id", "at", "is_new"], fold, round(forget * 1e6))
+    # A page's words are one text in the state, as each of their strings would cost several steps there and back.
+    fields = "micros long, event_id long, words string, pixels array<int>"
+    machine = InOrder(fields, "words array<string>, pixels array<array<int>>", ["stream", "event_id", "at", "is_new"], fold, round(forget * 1e6))
     empty = F.array().cast("array<int>")
-    rows = snapshots.select("stream", "event_id", "at", F.coalesce("words", F.array().cast("array<string>")).alias("words"), F.coalesce(pixels.cast("array<int>"), empty).alias("pixels"))
+    rows = snapshots.select("stream", "event_id", "at", F.coalesce(F.to_json("words"), F.lit("[]")).alias("words"), F.coalesce(pixels.cast("array<int>"), empty).alias("pixels"))
     rows = rows.withWatermark("at", delay).withColumn("micros", F.unix_micros("at"))
     return in_order(rows, "stream", machine, "stream long, event_id long, at timestamp, is_new boolean", "at")
 

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 from folio.operators.frames import _FIRED_SQL, EVENT_RULE, _levels, fired
 from folio.operators.similarity import SQL as _PAGES_SQL
 from folio.operators.similarity import _page_words
-from folio.sources.tables import lines, shared_folder
+from folio.sources.tables import pages, shared_folder
 from folio.streaming.motion import episodes, settled_pages
 from folio.streaming.ordered import SETTINGS, use_state_store
 from folio.streaming.pages import judged_pages, timely
@@ -25,9 +25,12 @@ LATE_HOURS = 24
 def as_stream(rows: DataFrame, seconds: str, folder: str, **end: Column) -> DataFrame:
     """``rows`` as a stream of unordered files in which a row is up to ``LATE_HOURS`` late, and a last one 400 days on.
 
-    The rows are written once, dealt to parts; ``all_of`` lets one part after the other into the stream's folder.
+    The rows are made once and written down, then dealt to parts; ``all_of`` lets one part after the other into the stream's folder.
     """
-    spark, (first, last) = rows.sparkSession, rows.agg(F.min(seconds), F.max(seconds)).first()
+    spark, made = rows.sparkSession, f"{folder}/made"
+    rows.write.parquet(made)
+    rows = spark.read.schema(rows.schema).parquet(made)
+    first, last = rows.agg(F.min(seconds), F.max(seconds)).first()
     width = ((last or 0) - (first or 0)) / PARTS + 1
     late = F.pmod(F.xxhash64("event_id"), F.lit(LATE_HOURS * 3600))
     part = F.least(F.floor((F.col(seconds) - (first or 0) + late) / width), F.lit(PARTS - 1)).cast("int")
@@ -35,6 +38,7 @@ def as_stream(rows: DataFrame, seconds: str, folder: str, **end: Column) -> Data
     final = {"stream": F.lit(-1), "event_id": F.lit(-1), seconds: F.lit((last or 0) + 400 * 86_400), **end}
     spark.range(1).select(*[final[f.name].cast(f.dataType).alias(f.name) for f in rows.schema]).write.parquet(f"{folder}/dealt/dealt_to={PARTS}")
     files, path = _files(spark, folder)
+    files.delete(path("made"), True)
     files.mkdirs(path("in"))
     return spark.readStream.schema(StructType(rows.schema.fields)).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
 
@@ -103,8 +107,8 @@ def t5_streamed_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c10_streamed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New pages by words, from an unordered stream of all books' pages, one every three hours."""
     folder = shared_folder(spark)
-    pages = _page_words(lines(spark, sf_dir)).select(F.col("book").alias("stream"), F.col("page_no").cast("long").alias("event_id"), ((F.col("page_no") + 1) * 10_800).cast("long").alias("seconds"), "words")
-    stream = as_stream(pages, "seconds", f"{folder}/pages", words=F.array()).withColumn("at", F.timestamp_seconds("seconds"))
+    words = _page_words(pages(spark, sf_dir)).select(F.col("book").alias("stream"), F.col("page_no").cast("long").alias("event_id"), ((F.col("page_no") + 1) * 10_800).cast("long").alias("seconds"), "words")
+    stream = as_stream(words, "seconds", f"{folder}/pages", words=F.array()).withColumn("at", F.timestamp_seconds("seconds"))
     found = all_of(judged_pages(stream, delay=f"{2 * LATE_HOURS} hours", forget=_FOREVER), folder, f"{folder}/pages").where("stream >= 0")
     return found.select(F.col("stream").alias("book"), F.col("event_id").cast("int").alias("page_no"), "is_new")
 
