@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from folio.functions import text as X
 from folio.functions.arrays import gathered, last, let
 from folio.operators.hyphenation import join_lines, word_test
+from folio.sources.tables import dropped, kept
 
 PAGE = ["book", "page_no"]
 #: Pages of a run, runs of a run of runs ..; with LEVELS the last row of a book has its pages by RUN ** LEVELS.
@@ -69,8 +70,8 @@ def goes_on(opening: Column, state: Column) -> Column:
 
 def _then(state: Column, f: Column) -> Column:
     """The state after a function, with the places that it left alone."""
-    kept = lambda y, c: F.coalesce(y[c], state[c]).alias(c)
-    return let(F.get(f, state["s"]), lambda y: F.struct(y["s"].alias("s"), kept(y, "paragraph"), kept(y, "footnote")).cast(_STATE))
+    place = lambda y, c: F.coalesce(y[c], state[c]).alias(c)
+    return let(F.get(f, state["s"]), lambda y: F.struct(y["s"].alias("s"), place(y, "paragraph"), place(y, "footnote")).cast(_STATE))
 
 
 def states_before(functions: DataFrame, run: int = RUN, levels: int = LEVELS) -> DataFrame:
@@ -91,36 +92,37 @@ def states_before(functions: DataFrame, run: int = RUN, levels: int = LEVELS) ->
     return groups.select("book", F.explode(F.aggregate("members", start, step, lambda w: w["met"])).alias("m")).select("book", "m.at", "m.state")
 
 
-def joined_in_turn(texts: Column, words: Iterable[str] | None = None) -> Column:
-    """Each text joined to what the ones before it gave."""
+def joined_in_turn(lists: Column, words: Iterable[str] | None = None) -> Column:
+    """Of an array of lists of texts, each list's texts joined to what the ones before them gave; null for null."""
     listed = None if words is None else frozenset(words)
 
-    @F.pandas_udf(T.StringType())
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(batch: pd.Series) -> pd.Series:
         knows = word_test(listed)
-        return batch.map(lambda texts: reduce(lambda a, b: join_lines([a, b], knows), texts))
+        whole = lambda texts: None if texts is None else reduce(lambda a, b: join_lines([a, b], knows), texts)
+        return batch.map(lambda page: None if page is None else [whole(texts) for texts in page])
 
-    return run(texts)
+    return run(lists)
 
 
-def merged(blocks: DataFrame, words: Iterable[str] | None = None, run: int = RUN) -> DataFrame:
-    """``blocks`` (book, page_no, block_no, kind, text, ..) with openings that go on a block before joined to it.
+def with_tails(blocks: DataFrame, functions: DataFrame, run: int = RUN) -> DataFrame:
+    """``blocks`` (book, page_no, block_no, kind, text, ..) with ``tail``, the texts of openings that go on it; functions are those of their pages.
 
-    Such an opening keeps its row with a null kind and text, as its note stays.
+    Such an opening keeps its row with a null kind, as its note stays. Blocks are joined by page, as they lie; a condition that
+    names a block as equal would deal them out anew.
     """
-    pages = page_functions(blocks)
-    came = states_before(pages.select("book", F.col("page_no").cast("long").alias("at"), "f"), run)
+    came = states_before(functions.select("book", F.col("page_no").cast("long").alias("at"), "f"), run)
     goes = goes_on(F.col("opening"), F.col("state.s"))
-    found = pages.where("opening IS NOT NULL").withColumn("at", F.col("page_no").cast("long")).join(came, ["book", "at"]).withColumn("goes", goes).where("goes <> ''")
-    moved = found.select(*PAGE, F.col("opening.block_no").alias("block_no"), F.when(F.col("goes") == "paragraph", F.col("state.paragraph")).otherwise(F.col("state.footnote")).alias("target"))
-    place = [*PAGE, "block_no"]
-    pieces = moved.join(blocks.select(*place, "text"), place)
-    tails = pieces.groupBy("book", F.col("target.page_no").alias("page_no"), F.col("target.block_no").alias("block_no")).agg(
+    found = functions.where("opening IS NOT NULL").withColumn("at", F.col("page_no").cast("long")).join(came, ["book", "at"]).withColumn("goes", goes).where("goes <> ''")
+    moved = found.select(*PAGE, F.col("opening.block_no").alias("gone"), F.when(F.col("goes") == "paragraph", F.col("state.paragraph")).otherwise(F.col("state.footnote")).alias("target"))
+    pieces = blocks.select(*PAGE, "block_no", "text").join(moved, PAGE).where(F.col("block_no").between(F.col("gone"), F.col("gone")))
+    ends = pieces.groupBy("book", F.col("target.page_no").alias("page_no"), F.col("target.block_no").alias("block_no")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]).alias("tail")
     )
-    rows = blocks.join(moved.select(*place, F.lit(True).alias("gone")), place, "left").join(tails, place, "left")
-    text = F.when(F.col("tail").isNull(), F.col("text")).otherwise(joined_in_turn(F.concat(F.array("text"), F.coalesce("tail", F.array().cast("array<string>"))), words))
-    return rows.withColumn("text", F.when(F.col("gone").isNull(), text)).withColumn("kind", F.when(F.col("gone").isNull(), F.col("kind"))).drop("gone", "tail")
+    tails = ends.groupBy(*PAGE).agg(F.collect_list(F.struct("block_no", "tail")).alias("tails"))
+    rows = blocks.join(moved.drop("target"), PAGE, "left").join(tails, PAGE, "left")
+    rows = rows.withColumn("tail", F.get(F.filter("tails", lambda t: t["block_no"] == F.col("block_no")), F.lit(0))["tail"])
+    return rows.withColumn("kind", F.when(F.coalesce(F.col("gone") != F.col("block_no"), F.lit(True)), F.col("kind"))).drop("gone", "tails")
 
 
 def covers_plain(blocks: DataFrame, pages: DataFrame, titles: DataFrame) -> DataFrame:
@@ -133,31 +135,38 @@ def covers_plain(blocks: DataFrame, pages: DataFrame, titles: DataFrame) -> Data
     return rows.withColumn("kind", F.when(F.col("falls"), "paragraph").otherwise(F.col("kind"))).withColumn("level", F.when(F.col("falls"), 0).otherwise(F.col("level"))).select(*blocks.columns)
 
 
-def numbered(elements: DataFrame, run: int = RUN) -> DataFrame:
-    """``elements`` (book, page_no, place, ..) with block_no from 0 in their book, by running sums over pages and runs of pages."""
-    counts = elements.groupBy(*PAGE).agg(F.count("*").alias("n")).withColumn("run", F.floor(F.col("page_no") / run))
+def numbered(pages: DataFrame, run: int = RUN) -> DataFrame:
+    """Each of the ``elements`` of ``pages`` (book, page_no, elements) with block_no from 0 in its book, by running sums over pages and runs of pages."""
+    counts = pages.select(*PAGE, F.size("elements").alias("n")).withColumn("run", F.floor(F.col("page_no") / run))
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     runs = counts.groupBy("book", "run").agg(F.sum("n").alias("n")).select("book", "run", before(Window.partitionBy("book").orderBy("run")).alias("base"))
     starts = counts.withColumn("start", before(Window.partitionBy("book", "run").orderBy("page_no"))).join(runs, ["book", "run"]).select(*PAGE, (F.col("base") + F.col("start")).alias("start"))
-    rank = F.row_number().over(Window.partitionBy(*PAGE).orderBy("place")) - 1
-    return elements.withColumn("rank", rank).join(starts, PAGE).withColumn("block_no", (F.col("start") + F.col("rank")).cast("int")).drop("rank", "start")
+    found = pages.join(starts, PAGE).select(*PAGE, "start", F.posexplode("elements").alias("rank", "e"))
+    return found.select(*PAGE, (F.col("start") + F.col("rank")).cast("int").alias("block_no"), "e.*")
 
 
 def assembled(pages: DataFrame, blocks: DataFrame, words: Iterable[str] | None = None, titles: DataFrame | None = None, run: int = RUN) -> DataFrame:
     """(book, block_no, kind, level, text, scan, printed) of pages (book, page_no, twin, printed) and their blocks.
 
     Every page begins with a break; a duplicate has only a note behind it, its blocks are left out. Pages without blocks,
-    books of one page and texts that are empty are all allowed; blocks of pages that are not listed are left out.
+    books of one page and texts that are empty are all allowed; blocks of pages that are not listed are left out. The pages'
+    elements are written down, so that nothing else is read for the result, and texts are not dealt out again.
     """
     blocks = blocks.join(pages.where("twin IS NULL").select(*PAGE), PAGE)
-    blocks = merged(blocks if titles is None else covers_plain(blocks, pages, titles), words, run)
-    row = lambda where, kind, level, text, printed: (F.struct(*where).alias("place"), kind.alias("kind"), level.cast("int").alias("level"), text.alias("text"), printed.cast("string").alias("printed"))
-    none, zero = F.lit(None), F.lit(0)
-    breaks = pages.select(*PAGE, *row((F.lit(-1).alias("b"), zero.alias("i")), F.lit("pageBreak"), zero, F.lit(""), F.when(F.col("twin").isNull(), F.col("printed"))))
-    told = F.concat(F.lit("Scan "), F.col("page_no") + 1, F.lit(" ist ein Duplikat von Scan "), F.col("twin") + 1, F.lit(" und wurde übersprungen"))
-    twins = pages.where("twin IS NOT NULL").select(*PAGE, *row((zero.alias("b"), zero.alias("i")), F.lit("note"), zero, told, none))
-    at = lambda i: (F.col("block_no").alias("b"), F.lit(i).alias("i"))
-    notes = blocks.where("uncertain <> ''").select(*PAGE, *row(at(0), F.lit("note"), zero, F.col("uncertain"), none))
-    texts = blocks.where("kind IS NOT NULL").select(*PAGE, *row(at(1), F.col("kind"), F.col("level"), F.col("text"), none))
-    found = numbered(breaks.unionByName(twins).unionByName(notes).unionByName(texts), run)
-    return found.select("book", "block_no", "kind", "level", "text", (F.col("page_no") + 1).cast("int").alias("scan"), "printed")
+    blocks = blocks if titles is None else covers_plain(blocks, pages, titles)
+    functions = kept(page_functions(blocks))
+    member = F.struct("block_no", "kind", "level", "text", "uncertain", "tail")
+    found = pages.join(with_tails(blocks, functions, run).groupBy(*PAGE).agg(F.sort_array(F.collect_list(member)).alias("blocks")), PAGE, "left")
+    whole = F.transform("blocks", lambda b: F.when(b["tail"].isNotNull(), F.concat(F.array(b["text"]), b["tail"])))
+    found = found.withColumn("whole", joined_in_turn(whole, words))
+    element = lambda kind, level, text, printed: F.struct(kind.alias("kind"), level.cast("int").alias("level"), text.alias("text"), printed.cast("string").alias("printed"))
+    none, zero, twin = F.lit(None), F.lit(0), F.col("twin")
+    told = F.concat(F.lit("Scan "), F.col("page_no") + 1, F.lit(" ist ein Duplikat von Scan "), twin + 1, F.lit(" und wurde übersprungen"))
+    opens = F.array(element(F.lit("pageBreak"), zero, F.lit(""), F.when(twin.isNull(), F.col("printed"))), F.when(twin.isNotNull(), element(F.lit("note"), zero, told, none)))
+    note = lambda b: F.when(b["uncertain"] != "", element(F.lit("note"), zero, b["uncertain"], none))
+    own = lambda b, i: F.when(b["kind"].isNotNull(), element(b["kind"], b["level"], F.coalesce(F.get("whole", i), b["text"]), none))
+    rest = F.flatten(F.transform("blocks", lambda b, i: F.array(note(b), own(b, i))))
+    elements = F.array_compact(F.when(F.col("blocks").isNull(), opens).otherwise(F.concat(opens, rest)))
+    made = kept(found.select(*PAGE, elements.alias("elements")), *PAGE, dealt=True)
+    dropped(functions)
+    return numbered(made, run).select("book", "block_no", "kind", "level", "text", (F.col("page_no") + 1).cast("int").alias("scan"), "printed")
