@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 from folio.operators.frames import _FIRED_SQL, EVENT_RULE, _levels, fired
 from folio.operators.similarity import SQL as _PAGES_SQL
 from folio.operators.similarity import _page_words
-from folio.sources.tables import pages, shared_folder
+from folio.sources.tables import pages, shared_folder, shuffles_go
 from folio.streaming.motion import episodes, settled_pages
 from folio.streaming.ordered import SETTINGS, use_state_store
 from folio.streaming.pages import judged_pages, timely
@@ -28,13 +28,14 @@ def as_stream(rows: DataFrame, seconds: str, folder: str, **end: Column) -> Data
     The rows are made once and written down, then dealt to parts; ``all_of`` lets one part after the other into the stream's folder.
     """
     spark, made = rows.sparkSession, f"{folder}/made"
-    rows.write.parquet(made)
+    with shuffles_go(spark):
+        rows.write.option("compression", "zstd").parquet(made)
     rows = spark.read.schema(rows.schema).parquet(made)
     first, last = rows.agg(F.min(seconds), F.max(seconds)).first()
     width = ((last or 0) - (first or 0)) / PARTS + 1
     late = F.pmod(F.xxhash64("event_id"), F.lit(LATE_HOURS * 3600))
     part = F.least(F.floor((F.col(seconds) - (first or 0) + late) / width), F.lit(PARTS - 1)).cast("int")
-    rows.withColumn("dealt_to", part).write.partitionBy("dealt_to").parquet(f"{folder}/dealt")
+    rows.withColumn("dealt_to", part).write.partitionBy("dealt_to").option("compression", "zstd").parquet(f"{folder}/dealt")
     final = {"stream": F.lit(-1), "event_id": F.lit(-1), seconds: F.lit((last or 0) + 400 * 86_400), **end}
     spark.range(1).select(*[final[f.name].cast(f.dataType).alias(f.name) for f in rows.schema]).write.parquet(f"{folder}/dealt/dealt_to={PARTS}")
     files, path = _files(spark, folder)
